@@ -1,0 +1 @@
+"""Table operators: each takes and returns DataFrames and stays lazy."""
