@@ -219,7 +219,7 @@ def math_ops(spark, folder):
 
 @register(
     "null_replace",
-    f"""select o_orderkey, coalesce(n, 0) as n_lines, {r('coalesce(mean_price, o_totalprice)', 2)} as price
+    f"""select o_orderkey, coalesce(n, 0) as n_lines, {r('coalesce(mean_price, o_totalprice)', 5)} as price
     from orders left join (select l_orderkey, count(*) as n, avg(l_extendedprice) as mean_price
       from lineitem group by 1) on o_orderkey = l_orderkey""",
 )
@@ -231,7 +231,7 @@ def null_replace(spark, folder):
     out = o.select(
         "o_orderkey", sem.fill_from("n", 0).alias("n_lines"), sem.fill_from("mean_price", F.col("o_totalprice")).alias("price")
     )
-    return rounded(out, 2)
+    return rounded(out, 5)
 
 
 @register(
@@ -248,7 +248,7 @@ def category_collapse(spark, folder):
 @register(
     "lookup_with_default",
     f"""with {EV_BASE}, vol(gear, run_s, v) as (values {VOLUMES})
-    select event, gear, run_s, coalesce(v, {DEFAULT_VOLUME}) as fished_vol
+    select event, gear, run_s, coalesce(v, {DEFAULT_VOLUME}e0) as fished_vol
     from ev_base left join vol using (gear, run_s)""",
 )
 def lookup_with_default(spark, folder):

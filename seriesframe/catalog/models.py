@@ -229,7 +229,7 @@ def impute_norm_noise(spark, folder):
 _PMM = f"""{_GX}, {_FIT}, pr as (select gx.*, a + b * slot as pred from gx join fit using (series)),
 rk as (select *, sum(case when value is not null then 1 else 0 end) over (partition by series order by pred, slot) as rnk from pr),
 dn as (select series, rnk, pred as dp, value as dy from rk where value is not null),
-cd as (select q.series, q.slot, d.rnk, dy, row_number() over (partition by q.series, q.slot order by abs(dp - q.pred), d.rnk) as o,
+cd as (select q.series, q.slot, d.rnk, dy, row_number() over (partition by q.series, q.slot order by round(abs(dp - q.pred), 9), d.rnk) as o,
   from rk q join dn d on d.series = q.series and d.rnk > q.rnk - 5 and d.rnk <= q.rnk + 5 where q.value is null),
 sz as (select series, slot, least(count(*), 5) as c from cd group by 1, 2),
 mm as (select unnest(generate_series(1, 5)) as m),

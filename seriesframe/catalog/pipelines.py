@@ -32,10 +32,10 @@ def events_with_cpue(spark, folder):
 
 
 _EVV = f"""{EV}, vol(gear, run_s, v) as (values {VOLUMES}),
-evv as (select ev.*, coalesce(v, {DEFAULT_VOLUME}) as fished_vol, total / coalesce(v, {DEFAULT_VOLUME}) as cpue
+evv as (select ev.*, coalesce(v, {DEFAULT_VOLUME}e0) as fished_vol, total / coalesce(v, {DEFAULT_VOLUME}e0) as cpue
   from ev left join vol using (gear, run_s))"""
-_DEPTH = f"case gear when 'Vertical' then {GEAR_DEPTH['Vertical']} else {GEAR_DEPTH['RST']} end"
-_CURRENT = f"case depth_ft when 6 then velocity * {CURRENT_SCALE[6]} when 12 then velocity * {CURRENT_SCALE[12]} else velocity end"
+_DEPTH = f"case gear when 'Vertical' then {GEAR_DEPTH['Vertical']}e0 else {GEAR_DEPTH['RST']}e0 end"
+_CURRENT = f"case depth_ft when 6 then velocity * {CURRENT_SCALE[6]}e0 when 12 then velocity * {CURRENT_SCALE[12]}e0 else velocity end"
 
 
 @register(
@@ -79,12 +79,12 @@ def subsample_expansion_daily(spark, folder):
 @register(
     "effort_metrics",
     f"""with {EXPANDED} select event, category, fished_vol, {r('cpue', 8)} as cpue, {r('n_exp / nullif(velocity, 0)')} as per_velocity,
-      {r('n_exp / nullif(velocity, 0) / run_s', 8)} as per_velocity_s from exv""",
+      {r('n_exp / nullif(velocity, 0) / run_s', 10)} as per_velocity_s from exv""",
 )
 def effort_metrics(spark, folder):
     out = catch.effort_metrics(expanded(spark, folder), "n_exp", "velocity", "run_s")
     out = out.select("event", "category", "fished_vol", "cpue", "per_velocity", "per_velocity_s")
-    return rounded(out, 8, per_velocity=6)
+    return rounded(out, 8, per_velocity=6, per_velocity_s=10)
 
 
 @register(
@@ -140,7 +140,7 @@ def abundance_m1(spark, folder):
 @register(
     "abundance_m2",
     f"""with {EXPANDED}, pe as (select category, date, event, sum(n_exp) as n,
-      avg(cpue * ({BAY_WIDTH!r} * {GEAR_DEPTH['RST']} * velocity * run_s)) as ia
+      avg(cpue * ({BAY_WIDTH!r}e0 * {GEAR_DEPTH['RST']}e0 * velocity * run_s)) as ia
       from exv where gear = 'RST' group by 1, 2, 3)
     select category, date, {r('sum(n)', 4)} as total_n_exp, {r('avg(ia)', 4)} as mean_ia from pe group by 1, 2""",
 )
@@ -151,7 +151,7 @@ def abundance_m2(spark, folder):
 
 @register(
     "abundance_by_depth",
-    f"""with {EXPANDED}, dd as (select date, depth_ft, sum(cpue * ({BAY_WIDTH!r} * {_DEPTH} * velocity * run_s)) as x
+    f"""with {EXPANDED}, dd as (select date, depth_ft, sum(cpue * ({BAY_WIDTH!r}e0 * {_DEPTH} * velocity * run_s)) as x
       from exv where gear <> 'IPT' group by 1, 2)
     select date, depth_ft, {r('x', 4)} as ia_depth, {r('x / nullif(sum(x) over (partition by date), 0)')} as share_of_day from dd""",
 )
@@ -162,10 +162,10 @@ def abundance_by_depth(spark, folder):
 
 @register(
     "depth_scaled",
-    f"""with {EXPANDED}, evv as (select ev.*, total / coalesce(v, {DEFAULT_VOLUME}) as cpue from ev left join vol using (gear, run_s)),
-    a as (select date, sum(cpue * ({BAY_WIDTH!r} * {_DEPTH} * ({_CURRENT}) * run_s)) as m4 from exv where gear <> 'IPT' group by 1),
-    b as (select date, sum(cpue * case when depth_ft <> 0 then {GEAR_RATIO} else 1 end
-      * ({BAY_WIDTH!r} * {GEAR_DEPTH['RST']} * ({_CURRENT}) * run_s)) as m5 from evv where gear <> 'IPT' group by 1)
+    f"""with {EXPANDED}, evv as (select ev.*, total / coalesce(v, {DEFAULT_VOLUME}e0) as cpue from ev left join vol using (gear, run_s)),
+    a as (select date, sum(cpue * ({BAY_WIDTH!r}e0 * {_DEPTH} * ({_CURRENT}) * run_s)) as m4 from exv where gear <> 'IPT' group by 1),
+    b as (select date, sum(cpue * case when depth_ft <> 0 then {GEAR_RATIO}e0 else 1 end
+      * ({BAY_WIDTH!r}e0 * {GEAR_DEPTH['RST']}e0 * ({_CURRENT}) * run_s)) as m5 from evv where gear <> 'IPT' group by 1)
     select date, {r('m4', 4)} as m4_total, {r('m5', 4)} as m5_total from a join b using (date)""",
 )
 def depth_scaled(spark, folder):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seriesframe.catalog.common import daily_sql, grid_sql, r, registry, rounded
 from seriesframe.operators import breaks, gaps, impute, signal
 from seriesframe.operators.grid import with_index
+from seriesframe.operators.running import running_total
 from seriesframe.plans.sheets import DAY_SLOTS, HALF_HOUR_SLOTS, daily_series, grid_series, series_events
 
 QUERIES, SQL, register = registry()
@@ -88,18 +89,23 @@ def impute_linear(spark, folder):
     sx as (select g.*, coalesce(sm - lvl, 0) as season, value - coalesce(sm - lvl, 0) as rest
       from g join lv using (series) join se on se.series = g.series and se.pos = g.slot % 144),
     {_LINEAR.format(v='rest', src='sx')}
-    select series, t, {r('coalesce(value, filled + season)')} as filled from li""",
+    select series, t, {r('coalesce(value, filled + season)', 8)} as filled from li""",
 )
 def impute_seasonal(spark, folder):
     out = impute.impute_seasonal(grid_series(spark, folder), BY, "slot", "value", DAY_SLOTS)
-    return rounded(out.select("series", "t", "filled"))
+    return rounded(out.select("series", "t", "filled"), 8)
 
 
 # Brute force over 0, 1 and 2 breaks with the same shortest segment and BIC.
-BREAKS_SQL = f"""{daily_sql()},
+# Series ending in _run are running sums of the daily means, which do shift their level.
+_RUN = "dr as (select series, slot, t, sum(value) over (partition by series order by slot) as value from d)"
+_BOTH = f"""{daily_sql()}, {_RUN}, bsrc as (select series, slot, t, value from d
+  union all select series || '_run', slot, t, value from dr)"""
+_ONLY_RUN = f"{daily_sql()}, {_RUN}, bsrc as (select * from dr)"
+_BREAKS = """
 pt as (select series, t, value, row_number() over (partition by series order by slot) as i,
   count(*) over (partition by series) as n,
-  avg(value) over (partition by series) as mu from d where value is not null),
+  avg(value) over (partition by series) as mu from bsrc where value is not null),
 ps as (select *, sum(value - mu) over w as s1, sum((value - mu) * (value - mu)) over w as s2,
   greatest(cast(floor(n * 0.15) as bigint), 2) as h from pt window w as (partition by series order by i)),
 en as (select series, n, h, s1, s2 from ps where i = n),
@@ -122,21 +128,28 @@ segments as (select series, cast(segment as int) as segment, min(t) as from_t, m
   avg(value) as mean from seg group by 1, 2)"""
 
 
+def _running(spark, folder):
+    d = running_total(daily_series(spark, folder), "t", "value", BY, "run")
+    return d.select("series", "t", F.col("run").alias("value"))
+
+
 def _breaks(spark, folder):
-    return breaks.mean_breakpoints(daily_series(spark, folder), BY, "t", "value", max_breaks=2)
+    return breaks.mean_breakpoints(_running(spark, folder), BY, "t", "value", max_breaks=2)
 
 
 @register(
     "mean_breakpoints",
-    f"with {BREAKS_SQL} select series, segment, from_t, to_t, n_points, {r('mean')} as mean from segments",
+    f"with {_BOTH}, {_BREAKS} select series, segment, from_t, to_t, n_points, {r('mean')} as mean from segments",
 )
 def mean_breakpoints(spark, folder):
-    return rounded(_breaks(spark, folder))
+    run = _running(spark, folder).withColumn("series", F.concat("series", F.lit("_run")))
+    both = daily_series(spark, folder).select("series", "t", "value").unionByName(run)
+    return rounded(breaks.mean_breakpoints(both, BY, "t", "value", max_breaks=2))
 
 
 @register(
     "assign_segments",
-    f"""with {BREAKS_SQL} select e.series, cast(coalesce(s.segment, 1) as int) as segment, count(*) as n,
+    f"""with {_ONLY_RUN}, {_BREAKS} select e.series, cast(coalesce(s.segment, 1) as int) as segment, count(*) as n,
       {r('avg(e.value)')} as mean
     from e left join (select *, lead(from_t) over (partition by series order by segment) as until from segments) s
       on s.series = e.series and (e.ts >= s.from_t or s.segment = 1) and (s.until is null or e.ts < s.until)
@@ -150,7 +163,7 @@ def assign_segments(spark, folder):
 
 @register(
     "impute_timeslot_median",
-    f"""with {BREAKS_SQL}, {grid_sql().replace('e as (', 'e2 as (').replace('sl as', 'sl2 as').replace('from sl', 'from sl2').replace('join sl ', 'join sl2 ')},
+    f"""with {_ONLY_RUN}, {_BREAKS}, {grid_sql().replace('e as (', 'e2 as (').replace('sl as', 'sl2 as').replace('from sl', 'from sl2').replace('join sl ', 'join sl2 ')},
     gs as (select g.series, g.slot, g.t, g.value, coalesce(s.segment, 1) as segment, g.slot % 144 // 3 as half_hour
       from g left join (select *, lead(from_t) over (partition by series order by segment) as until from segments) s
       on s.series = g.series and (g.t >= s.from_t or s.segment = 1) and (s.until is null or g.t < s.until)),

@@ -68,7 +68,7 @@ def na_strict_agg(spark, folder):
     f"""with {EV_BASE}, {SPEC}, a as (
       select category, date, event, sum(length) as total, avg(velocity) as v
       from sp join ev_base using (event) group by 1, 2, 3)
-    select category, date, {r('sum(total)', 2)} as total, {r('avg(total)')} as mean_total, {r('avg(v)')} as mean_v,
+    select category, date, {r('sum(total)', 2)} as total, {r('avg(total)', 7)} as mean_total, {r('avg(v)', 8)} as mean_v,
       count(*) as n_events from a group by 1, 2""",
 )
 def regroup_two_level(spark, folder):
@@ -81,13 +81,13 @@ def regroup_two_level(spark, folder):
         F.avg("v").alias("mean_v"),
         F.count(F.lit(1)).alias("n_events"),
     )
-    return rounded(out, total=2)
+    return rounded(out, 7, total=2, mean_v=8)
 
 
 @register(
     "env_daily_summary",
-    f"""select cast(o_orderdate as date) as date, {r('avg(c_acctbal)', 4)} as mean_temp,
-    {r('avg(c_nationkey * 2.54)')} as clarity_cm, {r('sum(o_totalprice)', 2)} as total, count(*) as n
+    f"""select cast(o_orderdate as date) as date, {r('avg(c_acctbal)', 7)} as mean_temp,
+    {r('avg(c_nationkey * 2.54e0)', 7)} as clarity_cm, {r('sum(o_totalprice)', 2)} as total, count(*) as n
     from orders left join customer on o_custkey = c_custkey group by 1""",
 )
 def env_daily_summary(spark, folder):
@@ -99,7 +99,7 @@ def env_daily_summary(spark, folder):
         F.sum("o_totalprice").alias("total"),
         F.count(F.lit(1)).alias("n"),
     )
-    return rounded(out, mean_temp=4, total=2)
+    return rounded(out, 7, total=2)
 
 
 _HALF_HOUR = "strftime(make_timestamp(cast(floor((epoch_us(ts) + 900000000) / 1800000000.0) as bigint) * 1800000000), '%H:%M:%S')"

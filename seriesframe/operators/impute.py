@@ -109,14 +109,15 @@ def impute_pmm(
     seed: int = 1,
     name: str = "filled",
     parts: int | None = None,
+    digits: int = 9,
 ) -> DataFrame:
     """Predictive mean matching: ``m`` draws per missing value from its ``k`` nearest donors.
 
     Donors are rows with ``y``, compared by regression value. They are ranked in order of
     (regression value, id); a missing row looks at the k donors at or before its own place
     and the k after it, fetched by an equality join on the rank. That holds the k nearest for
-    certain, so no pair of rows beyond 2k per missing value is ever formed. Equal distances
-    go to the lower rank. Result: observed rows ``m`` times, and the drawn rows.
+    certain, so no pair of rows beyond 2k per missing value is ever formed. Distances
+    equal to ``digits`` decimals go to the lower rank. Result: observed rows ``m`` times, and the drawn rows.
     """
     fits = regression_stats(df, by, y, x).drop("_s")
     fitted = attach(df, fits, by).withColumn("_pred", F.col("_a") + F.col("_b") * F.col(x)).drop("_a", "_b")
@@ -131,11 +132,12 @@ def impute_pmm(
         *by, row_id, "_pred", F.explode(F.sequence(F.col("_rank") - (k - 1), F.col("_rank") + k)).alias("_dr")
     )
     found = join_keep_left(asks, donors, [*by, "_dr"], "inner", null_safe=True)
+    distance = F.round(F.abs(F.col("_dp") - F.col("_pred")), digits)
     near = found.groupBy(*by, row_id).agg(
         F.slice(
             F.sort_array(
                 F.collect_list(
-                    F.struct(F.abs(F.col("_dp") - F.col("_pred")).alias("d"), F.col("_dr").alias("r"), F.col("_dy").alias("y"))
+                    F.struct(distance.alias("d"), F.col("_dr").alias("r"), F.col("_dy").alias("y"))
                 )
             ),
             1,

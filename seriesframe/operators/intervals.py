@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from seriesframe.functions.times import epoch_micros, from_epoch_micros
-from seriesframe.operators.relate import join_keep_left
-from seriesframe.operators.scan import range_chunks
+from seriesframe.operators.scan import chunk_key, join_carry, range_chunks
 
 
 def resolve_overlaps(
@@ -24,8 +23,10 @@ def resolve_overlaps(
     """
     key, gap = [*by, "_s", tie], gap_s * 1000000
     base = df.withColumns({"_s": epoch_micros(start), "_e": epoch_micros(end)})
-    rows = range_chunks(base, key, parts).withColumn("_len", F.col("_e") - F.col("_s"))
-    inside = Window.partitionBy(*by, "_chunk").orderBy("_s", tie)
+    rows = range_chunks(base, key, parts).withColumns(
+        {"_len": F.col("_e") - F.col("_s"), "_key": chunk_key(by)}
+    )
+    inside = Window.partitionBy("_key").orderBy("_s", tie)
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
@@ -40,20 +41,20 @@ def resolve_overlaps(
     )
     # The last row of a chunk knows the chunk's whole length and maximum.
     last = local.where(F.col("_ls").isNull()).select(
-        *by, "_chunk", (F.col("_c0") + F.col("_len")).alias("_tot"), F.col("_m").alias("_top")
+        "_key", (F.col("_c0") + F.col("_len")).alias("_tot"), F.col("_m").alias("_top")
     )
-    first = rows.groupBy(*by, "_chunk").agg(F.min("_s").alias("_first"))
-    chunks = Window.partitionBy(*by).orderBy("_chunk")
+    first = rows.groupBy("_key").agg(F.min("_s").alias("_first"))
+    chunks = Window.partitionBy(*[F.col("_key")[c] for c in by]).orderBy(F.col("_key")["_chunk"])
     before = chunks.rowsBetween(Window.unboundedPreceding, -1)
-    carry = join_keep_left(last, first, [*by, "_chunk"], "inner", null_safe=True)
+    carry = last.join(first, "_key")
     carry = carry.withColumn("_off", F.coalesce(F.sum("_tot").over(before), zero))
     carry = carry.withColumns(
         {
             "_ctop": F.max(F.col("_top") - F.col("_off")).over(before),
             "_cnext": F.lead("_first").over(chunks),
         }
-    ).select(*by, "_chunk", "_off", "_ctop", "_cnext")
-    out = join_keep_left(local, carry, [*by, "_chunk"], "left", null_safe=True)
+    ).select("_key", "_off", "_ctop", "_cnext")
+    out = join_carry(local, carry)
     top = F.greatest(F.col("_m") - F.col("_off"), F.col("_ctop"))
     top_before = F.greatest(F.col("_m0") - F.col("_off"), F.col("_ctop"))
     used = F.col("_c0") + F.col("_off")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, OneHotEncoder, VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesframe.operators.relate import attach, join_full_many
@@ -170,6 +170,16 @@ def decay_fits(df: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
     )
 
 
+def _design(numeric: list[str], factors: list[str]) -> list:
+    stages, inputs = [], list(numeric)
+    for f in factors:
+        # Descending order puts the first name last, where the encoder drops it.
+        stages.append(StringIndexer(inputCol=f, outputCol=f"_i_{f}", stringOrderType="alphabetDesc"))
+        stages.append(OneHotEncoder(inputCol=f"_i_{f}", outputCol=f"_o_{f}"))
+        inputs.append(f"_o_{f}")
+    return [*stages, VectorAssembler(inputCols=inputs, outputCol="_features")]
+
+
 def glm(
     df: DataFrame,
     y: str,
@@ -179,23 +189,55 @@ def glm(
     link: str,
     tol: float = 1e-10,
     max_iter: int = 50,
-):
-    """Generalised linear model over rows without missing values; the first level of each
-    factor (in name order) is the reference, as contrasts usually are."""
+) -> PipelineModel:
+    """Generalised linear model over rows without missing values.
+
+    The first level of each factor (in name order) is the reference, as contrasts usually
+    are. The last stage of the result holds ``intercept`` and ``coefficients``.
+    """
     data = df.dropna(subset=[y, *numeric, *factors])
-    stages, inputs = [], list(numeric)
-    for f in factors:
-        # Descending order puts the first name last, where the encoder drops it.
-        stages.append(StringIndexer(inputCol=f, outputCol=f"_i_{f}", stringOrderType="alphabetDesc"))
-        stages.append(OneHotEncoder(inputCol=f"_i_{f}", outputCol=f"_o_{f}"))
-        inputs.append(f"_o_{f}")
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="_features"))
-    stages.append(
-        GeneralizedLinearRegression(
+    design = Pipeline(stages=_design(numeric, factors)).fit(data)
+    rows = design.transform(data)
+    if (family, link) == ("gamma", "inverse"):
+        last = _gamma_inverse(rows, y, tol, max_iter)
+    else:
+        last = GeneralizedLinearRegression(
             labelCol=y, featuresCol="_features", family=family, link=link, tol=tol, maxIter=max_iter
-        )
+        ).fit(rows)
+    return PipelineModel(stages=[*design.stages, last])
+
+
+def _gamma_inverse(rows: DataFrame, y: str, tol: float, max_iter: int):
+    """Gamma regression with inverse link by reweighted least squares.
+
+    The built-in fit starts from an unweighted line through 1/y, which small responses pull so
+    far up that later steps leave the positive range. Starting from mean = response with
+    weights mean^2 avoids that. Every step is one distributed weighted fit; a fit that
+    leaves the positive range is an error. ``prediction`` of the returned
+    linear stage is 1 / mean.
+    """
+    line = LinearRegression(
+        labelCol="_z", featuresCol="_features", weightCol="_w", predictionCol="_eta", solver="normal", standardization=False
     )
-    return Pipeline(stages=stages).fit(data)
+    data = rows.select("_features", F.col(y).cast("double").alias("_y")).persist()
+    try:
+        eta, model, before = 1 / F.col("_y"), None, None
+        current = data
+        for _ in range(max_iter):
+            mu = 1 / eta
+            step = current.select("_features", "_y", (eta - (F.col("_y") - mu) / (mu * mu)).alias("_z"), (mu * mu).alias("_w"))
+            model = line.fit(step)
+            now = [float(model.intercept), *map(float, model.coefficients)]
+            current, eta = model.transform(data), F.col("_eta")
+            lowest = current.agg(F.min("_eta")).first()[0]
+            if lowest is not None and lowest <= 0:
+                raise ValueError("gamma fit with inverse link left the positive range")
+            if before and max(abs(a - b) for a, b in zip(now, before)) <= tol * max(1e-12, max(map(abs, now))):
+                break
+            before = now
+        return model
+    finally:
+        data.unpersist()
 
 
 def glm_coefficients(model, numeric: list[str], factors: list[str], spark) -> DataFrame:

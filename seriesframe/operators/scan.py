@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from seriesframe.operators.relate import join_keep_left
 from seriesframe.session import ensure_checkpoint_dir
 
 CHUNK = 4096
@@ -37,43 +36,57 @@ def range_chunks(df: DataFrame, order: list[str], parts: int | None = None) -> D
     return ranged.withColumn("_chunk", F.spark_partition_id()).checkpoint(eager=False)
 
 
+def chunk_key(by: list[str]) -> Column:
+    """Series and chunk as one struct: windows, aggregates and joins share one partitioning.
+
+    Equality of structs also matches missing series names with each other.
+    """
+    return F.struct(*by, "_chunk")
+
+
+def join_carry(local: DataFrame, carry: DataFrame) -> DataFrame:
+    """Bring the carried values to the rows of their chunk; the rows are not shuffled again."""
+    return local.join(carry.withColumnRenamed("_key", "_ck"), F.col("_key") == F.col("_ck"), "left").drop("_ck")
+
+
 def nearest_observed(df: DataFrame, by: list[str], slot: str, value: str, size: int = CHUNK) -> DataFrame:
     """Add the last observation at or before each slot and the first at or after it.
 
     New columns: ``prev_slot``, ``prev_value``, ``next_slot``, ``next_value``.
     """
     seen = F.when(F.col(value).isNotNull(), F.col(slot))
-    rows = df.withColumns({"_chunk": slot_chunk(slot, size), "_seen": seen})
-    inside = Window.partitionBy(*by, "_chunk").orderBy(slot)
-    back = inside.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = inside.rowsBetween(0, Window.unboundedFollowing)
+    rows = df.withColumns({"_chunk": slot_chunk(slot, size), "_seen": seen}).withColumn("_key", chunk_key(by))
+    # Two running frames, one per direction: a frame that ends at the series end would be
+    # evaluated anew for every row.
+    upto = (Window.unboundedPreceding, 0)
+    back = Window.partitionBy("_key").orderBy(slot).rowsBetween(*upto)
+    ahead = Window.partitionBy("_key").orderBy(F.col(slot).desc()).rowsBetween(*upto)
     local = rows.withColumns(
         {
             "_ps": F.last("_seen", True).over(back),
             "_pv": F.last(value, True).over(back),
-            "_ns": F.first("_seen", True).over(ahead),
-            "_nv": F.first(value, True).over(ahead),
+            "_ns": F.last("_seen", True).over(ahead),
+            "_nv": F.last(value, True).over(ahead),
         }
     )
-    edges = rows.groupBy(*by, "_chunk").agg(
+    edges = rows.groupBy("_key").agg(
         F.min("_seen").alias("_first_s"),
         F.min_by(value, "_seen").alias("_first_v"),
         F.max("_seen").alias("_last_s"),
         F.max_by(value, "_seen").alias("_last_v"),
     )
-    chunks = Window.partitionBy(*by).orderBy("_chunk")
-    before = chunks.rowsBetween(Window.unboundedPreceding, -1)
-    after = chunks.rowsBetween(1, Window.unboundedFollowing)
+    names = [F.col("_key")[c] for c in by]
+    chunk = F.col("_key")["_chunk"]
+    before = Window.partitionBy(*names).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*names).orderBy(chunk.desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry = edges.select(
-        *by,
-        "_chunk",
+        "_key",
         F.last("_last_s", True).over(before).alias("_cps"),
         F.last("_last_v", True).over(before).alias("_cpv"),
-        F.first("_first_s", True).over(after).alias("_cns"),
-        F.first("_first_v", True).over(after).alias("_cnv"),
+        F.last("_first_s", True).over(after).alias("_cns"),
+        F.last("_first_v", True).over(after).alias("_cnv"),
     )
-    joined = join_keep_left(local, carry, [*by, "_chunk"], "left", null_safe=True)
-    return joined.select(
+    return join_carry(local, carry).select(
         *df.columns,
         F.coalesce("_ps", "_cps").alias("prev_slot"),
         F.coalesce("_pv", "_cpv").alias("prev_value"),
@@ -84,16 +97,16 @@ def nearest_observed(df: DataFrame, by: list[str], slot: str, value: str, size:
 
 def fill_down(df: DataFrame, by: list[str], slot: str, cols: list[str], size: int = CHUNK) -> DataFrame:
     """Carry the last value of each column forward inside its group."""
-    rows = df.withColumn("_chunk", slot_chunk(slot, size))
-    back = Window.partitionBy(*by, "_chunk").orderBy(slot).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn("_chunk", slot_chunk(slot, size)).withColumn("_key", chunk_key(by))
+    back = Window.partitionBy("_key").orderBy(slot).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumns({f"_l_{c}": F.last(c, True).over(back) for c in cols})
-    ends = rows.groupBy(*by, "_chunk").agg(
+    ends = rows.groupBy("_key").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(slot))).alias(f"_e_{c}") for c in cols]
     )
-    before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(*by, "_chunk", *[F.last(f"_e_{c}", True).over(before).alias(f"_c_{c}") for c in cols])
-    joined = join_keep_left(local, carry, [*by, "_chunk"], "left", null_safe=True)
-    return joined.select(
+    series = Window.partitionBy(*[F.col("_key")[c] for c in by]).orderBy(F.col("_key")["_chunk"])
+    before = series.rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select("_key", *[F.last(f"_e_{c}", True).over(before).alias(f"_c_{c}") for c in cols])
+    return join_carry(local, carry).select(
         *[F.coalesce(f"_l_{c}", f"_c_{c}").alias(c) if c in cols else F.col(c) for c in df.columns]
     )
 
@@ -114,12 +127,12 @@ def with_halo(df: DataFrame, slot: str, reach: int, size: int = CHUNK) -> DataFr
 
 def running_count(chunked: DataFrame, by: list[str], order: list[str], flag: Column, name: str) -> DataFrame:
     """Running number of rows with ``flag`` per group, for rows cut by ``range_chunks``."""
-    rows = chunked.withColumn("_f", flag.cast("long"))
-    inside = Window.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = chunked.withColumns({"_f": flag.cast("long"), "_key": chunk_key(by)})
+    inside = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumn("_l", F.sum("_f").over(inside))
-    sums = rows.groupBy(*by, "_chunk").agg(F.sum("_f").alias("_t"))
-    before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(*by, "_chunk", F.sum("_t").over(before).alias("_c"))
-    joined = join_keep_left(local, carry, [*by, "_chunk"], "left", null_safe=True)
+    sums = rows.groupBy("_key").agg(F.sum("_f").alias("_t"))
+    series = Window.partitionBy(*[F.col("_key")[c] for c in by]).orderBy(F.col("_key")["_chunk"])
+    before = series.rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select("_key", F.sum("_t").over(before).alias("_c"))
     total = F.col("_l") + F.coalesce(F.col("_c"), F.lit(0))
-    return joined.select(*[c for c in chunked.columns if c != name], total.alias(name))
+    return join_carry(local, carry).select(*[c for c in chunked.columns if c != name], total.alias(name))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from seriesframe.operators.relate import attach
-from seriesframe.operators.scan import CHUNK, with_halo
+from seriesframe.operators.scan import CHUNK, chunk_key, with_halo
 
 
 def autocorrelation(
@@ -19,7 +19,7 @@ def autocorrelation(
     mean = df.groupBy(*by).agg(F.avg(value).alias("_mu"))
     centred = attach(df, mean, by).withColumn("_d", F.col(value) - F.col("_mu")).select(*by, slot, "_d")
     halo = with_halo(centred, slot, max_lag, size)
-    w = Window.partitionBy(*by, "_chunk").orderBy(slot)
+    w = Window.partitionBy(chunk_key(by)).orderBy(slot)
     lagged = halo.withColumns({f"_d{k}": F.lag("_d", k).over(w) for k in range(1, max_lag + 1)})
     sums = lagged.where("_home").groupBy(*by).agg(
         F.sum(F.col("_d") * F.col("_d")).alias("_c0"),
@@ -32,7 +32,7 @@ def autocorrelation(
 def ar1_fit(df: DataFrame, by: list[str], slot: str, value: str, size: int = CHUNK) -> DataFrame:
     """First-order autoregression by conditional least squares: phi, mean, innovation variance."""
     halo = with_halo(df.select(*by, slot, F.col(value).alias("_x")), slot, 1, size)
-    w = Window.partitionBy(*by, "_chunk").orderBy(slot)
+    w = Window.partitionBy(chunk_key(by)).orderBy(slot)
     pairs = halo.withColumn("_p", F.lag("_x").over(w)).where("_home")
     phi, c, n = F.regr_slope("_x", "_p"), F.regr_intercept("_x", "_p"), F.regr_count("_x", "_p")
     rss = F.regr_syy("_x", "_p") - phi * phi * F.regr_sxx("_x", "_p")
@@ -62,7 +62,7 @@ def centred_average(
     """
     reach = period // 2
     halo = with_halo(df, slot, reach, size)
-    w = Window.partitionBy(*by, "_chunk").orderBy(slot)
+    w = Window.partitionBy(chunk_key(by)).orderBy(slot)
     frame = w.rowsBetween(-reach, reach)
     total = F.sum(value).over(frame)
     if period % 2 == 0:

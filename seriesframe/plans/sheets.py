@@ -50,7 +50,7 @@ def specimen_sheet(spark: SparkSession, folder: str) -> DataFrame:
 def event_sheet(spark: SparkSession, folder: str) -> DataFrame:
     """One row per event: total (specimens plus released) and mean velocity."""
     per_event = specimen_sheet(spark, folder).groupBy("event").agg(
-        F.countDistinct(*IDS).alias("_n"), F.avg("velocity").alias("velocity")
+        F.count(F.lit(1)).alias("_n"), F.avg("velocity").alias("velocity")
     )
     out = join_keep_left(event_base(spark, folder), per_event, ["event"])
     return out.withColumn("total", F.coalesce(F.col("_n"), F.lit(0)) + F.col("released")).drop("_n")
