@@ -33,8 +33,8 @@ def roundtrip_sink(spark, folder):
     agg = table(spark, folder, "lineitem").groupBy(
         F.col("l_returnflag").alias("category"), F.col("l_linestatus").alias("status")
     ).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("total"))
-    first = files.tee(rounded(agg, 2), new_stage_path(spark, "totals"))
-    return files.stage(first, new_stage_path(spark, "totals-again"))
+    copy = files.tee(rounded(agg, 2), new_stage_path(spark, "totals-csv"))
+    return files.stage(copy, new_stage_path(spark, "totals"))
 
 
 @register(

@@ -8,6 +8,7 @@ from seriesframe.catalog.common import daily_sql, grid_sql, r, registry, rounded
 from seriesframe.operators import breaks, gaps, impute, signal
 from seriesframe.operators.grid import with_index
 from seriesframe.operators.running import running_total
+from seriesframe.sources.files import settle
 from seriesframe.plans.sheets import DAY_SLOTS, HALF_HOUR_SLOTS, daily_series, grid_series, series_events
 
 QUERIES, SQL, register = registry()
@@ -134,7 +135,7 @@ def _running(spark, folder):
 
 
 def _breaks(spark, folder):
-    return breaks.mean_breakpoints(_running(spark, folder), BY, "t", "value", max_breaks=2)
+    return settle(breaks.mean_breakpoints(_running(spark, folder), BY, "t", "value", max_breaks=2), "segments")
 
 
 @register(

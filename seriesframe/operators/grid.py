@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesframe.functions.times import slot_of, slot_start
 from seriesframe.operators.relate import attach, join_keep_left
+from seriesframe.sources.files import settle
 from seriesframe.sources.spines import expand_slots, one_value
 
 
@@ -36,9 +37,11 @@ def densify(
 ) -> DataFrame:
     """Aggregate to slots and keep every slot of the season.
 
-    Data and spine meet on (series, slot), so one long series spreads over all tasks.
+    Data and spine meet on (series, slot), so one long series spreads over all tasks. The slot
+    table is written once: its ends, its spine and every later branch read it, and the source
+    is scanned a single time.
     """
-    slotted = to_slots(df, ts, step_s, by, aggs)
+    slotted = settle(to_slots(df, ts, step_s, by, aggs), "slots")
     spine = grid_spine(slotted, by, common)
     out = join_keep_left(spine, slotted, [*by, "slot"], "left", null_safe=True)
     if fill:

@@ -9,7 +9,7 @@ from pyspark.ml.feature import StringIndexer, OneHotEncoder, VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seriesframe.operators.relate import attach, join_full_many
+from seriesframe.operators.relate import attach
 
 
 def _aic(n: Column, rss: Column, k: int) -> Column:
@@ -71,13 +71,17 @@ def rank_models(df: DataFrame, y: str, xs: dict[str, Column]) -> DataFrame:
 
 def model_terms(df: DataFrame, y: str, xs: dict[str, Column], digits: int = 8) -> DataFrame:
     """Coefficients side by side: one row per term, one column per model, absent terms null."""
-    tables = []
-    for name, c in xs.items():
-        data = df.select(F.col(y).alias("_y"), c.alias("_x"))
-        fit = data.agg(F.regr_intercept("_y", "_x").alias("(intercept)"), F.regr_slope("_y", "_x").alias(name))
-        long = fit.unpivot([], ["(intercept)", name], "term", "_est")
-        tables.append(long.select("term", F.round("_est", digits).alias(f"est_{name}")))
-    return join_full_many(tables, ["term"])
+    data = df.select(F.col(y).alias("_y"), *[c.alias(name) for name, c in xs.items()])
+    fits = [
+        F.struct(F.lit(term).alias("term"), F.lit(name).alias("model"), F.round(estimate, digits).alias("est"))
+        for name in xs
+        for term, estimate in (("(intercept)", F.regr_intercept("_y", name)), (name, F.regr_slope("_y", name)))
+    ]
+    # One pass fits every model; the one row of estimates unfolds to (term, model, estimate).
+    long = data.agg(F.array(*fits).alias("_fits")).select(F.inline("_fits"))
+    return long.groupBy("term").agg(
+        *[F.max(F.when(F.col("model") == name, F.col("est"))).alias(f"est_{name}") for name in xs]
+    )
 
 
 def anova(df: DataFrame, y: str, g: str) -> DataFrame:
@@ -197,13 +201,17 @@ def glm(
     """
     data = df.dropna(subset=[y, *numeric, *factors])
     design = Pipeline(stages=_design(numeric, factors)).fit(data)
-    rows = design.transform(data)
-    if (family, link) == ("gamma", "inverse"):
-        last = _gamma_inverse(rows, y, tol, max_iter)
-    else:
-        last = GeneralizedLinearRegression(
-            labelCol=y, featuresCol="_features", family=family, link=link, tol=tol, maxIter=max_iter
-        ).fit(rows)
+    # Every iteration passes over these rows again.
+    rows = design.transform(data).select(F.col(y).cast("double").alias(y), "_features").persist()
+    try:
+        if (family, link) == ("gamma", "inverse"):
+            last = _gamma_inverse(rows, y, tol, max_iter)
+        else:
+            last = GeneralizedLinearRegression(
+                labelCol=y, featuresCol="_features", family=family, link=link, tol=tol, maxIter=max_iter
+            ).fit(rows)
+    finally:
+        rows.unpersist()
     return PipelineModel(stages=[*design.stages, last])
 
 
@@ -219,25 +227,21 @@ def _gamma_inverse(rows: DataFrame, y: str, tol: float, max_iter: int):
     line = LinearRegression(
         labelCol="_z", featuresCol="_features", weightCol="_w", predictionCol="_eta", solver="normal", standardization=False
     )
-    data = rows.select("_features", F.col(y).cast("double").alias("_y")).persist()
-    try:
-        eta, model, before = 1 / F.col("_y"), None, None
-        current = data
-        for _ in range(max_iter):
-            mu = 1 / eta
-            step = current.select("_features", "_y", (eta - (F.col("_y") - mu) / (mu * mu)).alias("_z"), (mu * mu).alias("_w"))
-            model = line.fit(step)
-            now = [float(model.intercept), *map(float, model.coefficients)]
-            current, eta = model.transform(data), F.col("_eta")
-            lowest = current.agg(F.min("_eta")).first()[0]
-            if lowest is not None and lowest <= 0:
-                raise ValueError("gamma fit with inverse link left the positive range")
-            if before and max(abs(a - b) for a, b in zip(now, before)) <= tol * max(1e-12, max(map(abs, now))):
-                break
-            before = now
-        return model
-    finally:
-        data.unpersist()
+    data = rows.select("_features", F.col(y).alias("_y"))
+    eta, model, before, current = 1 / F.col("_y"), None, None, data
+    for _ in range(max_iter):
+        mu = 1 / eta
+        step = current.select("_features", (eta - (F.col("_y") - mu) / (mu * mu)).alias("_z"), (mu * mu).alias("_w"))
+        model = line.fit(step)
+        now = [float(model.intercept), *map(float, model.coefficients)]
+        current, eta = model.transform(data), F.col("_eta")
+        lowest = current.agg(F.min("_eta")).first()[0]
+        if lowest is not None and lowest <= 0:
+            raise ValueError("gamma fit with inverse link left the positive range")
+        if before and max(abs(a - b) for a, b in zip(now, before)) <= tol * max(map(abs, now)):
+            break
+        before = now
+    return model
 
 
 def glm_coefficients(model, numeric: list[str], factors: list[str], spark) -> DataFrame:

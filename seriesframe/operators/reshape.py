@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesframe.functions.times import epoch_seconds, slot_of, slot_start
-from seriesframe.operators.relate import join_fan_out
+from seriesframe.operators.relate import not_in
+from seriesframe.sources.files import settle
 from seriesframe.sources.spines import expand_slots
 
 
@@ -24,11 +25,13 @@ def pad(df: DataFrame, ts: str, step_s: int, by: list[str], t: str = "t") -> Dat
     Rows that start inside a slot are joined to it; empty slots carry nulls.
     """
     keyed = df.withColumn("_slot", slot_of(ts, step_s))
-    ends = keyed.groupBy(*by).agg(F.min("_slot").alias("_lo"), F.max("_slot").alias("_hi"))
-    spine = expand_slots(ends, "_lo", "_hi", "_slot")
+    used = settle(keyed.select(*by, "_slot").distinct(), "slots")
+    ends = used.groupBy(*by).agg(F.min("_slot").alias("_lo"), F.max("_slot").alias("_hi"))
+    gaps = not_in(expand_slots(ends, "_lo", "_hi", "_slot"), used, [*by, "_slot"], null_safe=True)
+    # The rows themselves are not joined: only empty slots are added below them.
     rows = keyed.drop(ts) if t == ts else keyed
-    matched = join_fan_out(spine, rows, [*by, "_slot"], null_safe=True)
-    return matched.withColumn(t, slot_start("_slot", step_s)).drop("_slot")
+    out = rows.unionByName(gaps, allowMissingColumns=True)
+    return out.withColumn(t, slot_start("_slot", step_s)).drop("_slot")
 
 
 def interval_grid(

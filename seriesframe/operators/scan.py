@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from seriesframe.session import ensure_checkpoint_dir
+from seriesframe.sources.files import settle
 
 CHUNK = 4096
 
@@ -28,12 +28,11 @@ def slot_chunk(slot: str, size: int = CHUNK) -> Column:
 def range_chunks(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
     """Add ``_chunk``: the range partition of each row under ``order``.
 
-    The partition borders come from a sample, so the numbered rows are checkpointed: every
+    The partition borders come from a sample, so the numbered rows are written out: every
     later use, and every recomputation after a lost executor, sees the same chunks.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     ranged = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
-    return ranged.withColumn("_chunk", F.spark_partition_id()).checkpoint(eager=False)
+    return settle(ranged.withColumn("_chunk", F.spark_partition_id()), "chunks")
 
 
 def chunk_key(by: list[str]) -> Column:

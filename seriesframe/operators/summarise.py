@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seriesframe.functions.semantics import nulls_last
-from seriesframe.operators.relate import attach, join_keep_left
+from seriesframe.operators.relate import attach
 
 
 def summarise(df: DataFrame, by: list[str], **aggs: Column) -> DataFrame:
@@ -33,6 +33,12 @@ def share(df: DataFrame, value: str, within: list[str], name: str = "share") ->
     return attach(df, totals, within).withColumn(name, F.try_divide(F.col(value), F.col("_total"))).drop("_total")
 
 
+def share_small(df: DataFrame, value: str, within: list[str], name: str = "share") -> DataFrame:
+    """``share`` by a window, for tables aggregated to a few rows per group (one per category)."""
+    total = F.sum(value).over(Window.partitionBy(*within))
+    return df.withColumn(name, F.try_divide(F.col(value), total))
+
+
 def repeated(df: DataFrame, key: list[str], name: str = "n") -> DataFrame:
     """Keys that occur more than once, with their count."""
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > 1)
@@ -44,36 +50,29 @@ def duplicate_flags(df: DataFrame, key: list[str], order: list[str]) -> DataFram
     ``order`` must tell the rows of one key apart. The group's first row and size come from a
     partial aggregate, not from a window over the group.
     """
-    first = F.min(F.struct(*order))
-    stats = df.groupBy(*key).agg(first.alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # A single column keeps the aggregate hash-based; structs are compared by sorting.
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    stats = df.groupBy(*key).agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
     flagged = attach(df, stats, key)
-    return flagged.withColumns(
-        {"dup_later": F.struct(*order) > F.col("_first"), "dup_any": F.col("_n") > 1}
-    ).drop("_first", "_n")
+    return flagged.withColumns({"dup_later": place > F.col("_first"), "dup_any": F.col("_n") > 1}).drop("_first", "_n")
 
 
 def keep_best(df: DataFrame, by: list[str], order: list[tuple[str, bool]]) -> DataFrame:
     """First row of each group under ``order`` (column, descending), missing values last.
 
-    The row travels through one ``min_by``-style aggregate that combines on the map side.
-    Descending columns must be numeric.
+    The rank filter becomes a group limit that already runs before the shuffle, so each map
+    task sends at most one row of a group, hot or not.
     """
-    rank = []
-    for col, descending in order:
-        c = F.col(col)
-        rank += [c.isNull(), -c if descending else c]
-    rest = [c for c in df.columns if c not in by]
-    best = df.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(*rank)).alias("_best"))
-    return best.select(*by, *[F.col("_best")[c].alias(c) for c in rest]).select(*df.columns)
+    w = Window.partitionBy(*by).orderBy(*[nulls_last(c, descending) for c, descending in order])
+    return df.withColumn("_place", F.row_number().over(w)).where(F.col("_place") == 1).drop("_place")
 
 
 def argmax_rows(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Rows holding their group's maximum, ties kept.
-
-    The maxima join back on group and value together, so a hot group spreads by value.
-    """
-    top = df.groupBy(*by).agg(F.max(value).alias(value))
-    return join_keep_left(df, top, [*by, value], "left_semi")
+    """Rows holding their group's maximum, ties kept; limited before the shuffle like
+    ``keep_best``."""
+    w = Window.partitionBy(*by).orderBy(nulls_last(value, True))
+    top = df.withColumn("_place", F.rank().over(w)).where(F.col("_place") == 1).drop("_place")
+    return top.where(F.col(value).isNotNull())
 
 
 def top_categories(df: DataFrame, category: str, value: str, k: int, above=None) -> DataFrame:

@@ -17,7 +17,7 @@ from seriesframe.functions.semantics import safe_divide
 from seriesframe.functions.times import DAY_S
 from seriesframe.operators.clean import lookup
 from seriesframe.operators.relate import attach, join_full, join_keep_left
-from seriesframe.operators.summarise import share
+from seriesframe.operators.summarise import share_small
 
 
 def category_counts(specimens: DataFrame, keys: list[str], ids: list[str], name: str = "n_cat") -> DataFrame:
@@ -51,17 +51,17 @@ def expand_season(
     ``by`` (such as a date column of ``events``) asks for totals per day instead of per season.
     """
     by = by or []
-    found = join_keep_left(specimens, events.select(event, *by), [event], "inner") if by else specimens
-    per_event = category_counts(found, [*by, event, category], ids, "_assigned")
-    per_event = share(per_event, "_assigned", [event], "_propn")
-    let_go = events.where(F.col(released) != 0).select(event, F.col(released).alias("_released"))
-    added = join_keep_left(per_event, let_go, [event], "inner")
-    added = added.groupBy(*by, category).agg(F.sum(F.col("_released") * F.col("_propn")).alias("n_added"))
-    old = per_event.groupBy(*by, category).agg(F.sum("_assigned").alias("n_old"))
-    out = join_keep_left(old, added, [*by, category], "left", null_safe=True)
+    per_event = category_counts(specimens, [event, category], ids, "_assigned")
+    # One row per category is left of each event, so the window holds a handful of rows.
+    per_event = share_small(per_event, "_assigned", [event], "_propn")
+    sheet = events.select(event, *by, F.when(F.col(released) != 0, F.col(released)).alias("_released"))
+    found = join_keep_left(per_event, sheet, [event], "inner")
+    out = found.groupBy(*by, category).agg(
+        F.sum("_assigned").alias("n_old"), F.sum(F.col("_released") * F.col("_propn")).alias("n_added")
+    )
     out = out.withColumn("n_new", F.coalesce(F.col("n_old") + F.col("n_added"), F.col("n_old").cast("double")))
-    out = share(out, "n_old", by, "old_share")
-    return share(out, "n_new", by, "new_share")
+    out = share_small(out, "n_old", by, "old_share")
+    return share_small(out, "n_new", by, "new_share")
 
 
 def with_volume(df: DataFrame, gear: str, seconds: str, volumes=FISHED_VOLUME, default=DEFAULT_VOLUME,
@@ -141,7 +141,7 @@ def abundance_by_depth(expanded: DataFrame, date: str, depth: str, velocity: str
     """Daily totals per depth and their share of the day."""
     ia = event_abundance(expanded, velocity, seconds, gear)
     daily = ia.groupBy(date, depth).agg(F.sum("ia").alias("ia_depth"))
-    return share(daily, "ia_depth", [date], "share_of_day")
+    return share_small(daily, "ia_depth", [date], "share_of_day")
 
 
 def abundance_m4(expanded: DataFrame, date: str, depth: str, velocity: str, seconds: str, gear: str,

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from seriesframe.operators.relate import join_keep_left
 from seriesframe.operators.running import by_date, crossing, cumulative_share, find_peaks, zero_fill
 from seriesframe.operators.summarise import argmax_rows
+from seriesframe.sources.files import settle
 from seriesframe.sources.spines import day_spine
 
 
@@ -15,7 +16,7 @@ def run_timing(df: DataFrame, date: str, category: str, value: str) -> DataFrame
 
     The earliest date stands for tied peaks.
     """
-    daily = by_date(df, date, value, [category], "n")
+    daily = settle(by_date(df, date, value, [category], "n"), "daily")
     ends = daily.where(F.col("n") > 0).groupBy(category).agg(
         F.min(date).alias("first_date"), F.max(date).alias("last_date"), F.sum("n").alias("total")
     )
@@ -32,11 +33,12 @@ def compare_sites(a: DataFrame, b: DataFrame, date: str, value: str, n_peaks: in
 
     The calendar spans both sites, so each has a value on every day.
     """
-    days = a.select(date).unionByName(b.select(date)).agg(F.min(date).alias("_lo"), F.max(date).alias("_hi"))
+    daily_a, daily_b = [settle(by_date(s, date, value, [], "n"), "daily") for s in (a, b)]
+    days = daily_a.unionByName(daily_b).agg(F.min(date).alias("_lo"), F.max(date).alias("_hi"))
     spine = day_spine(days, "_lo", "_hi", date)
 
-    def one(df: DataFrame, tag: str) -> DataFrame:
-        daily = zero_fill(by_date(df, date, value, [], "n"), date, ["n"], spine, [])
+    def one(counts: DataFrame, tag: str) -> DataFrame:
+        daily = zero_fill(counts, date, ["n"], spine, [])
         curve = cumulative_share(daily, date, "n", [], "run", "cum")
         peaks = find_peaks(daily, date, "n", [], n_peaks, threshold).select(F.col("t").alias(date), "peak_rank")
         out = join_keep_left(curve, peaks, [date])
@@ -44,4 +46,4 @@ def compare_sites(a: DataFrame, b: DataFrame, date: str, value: str, n_peaks: in
             {"n": f"{tag}_n", "run": f"{tag}_run", "cum": f"{tag}_cum", "peak_rank": f"{tag}_peak"}
         )
 
-    return join_keep_left(one(a, "a"), one(b, "b"), [date])
+    return join_keep_left(one(daily_a, "a"), one(daily_b, "b"), [date])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from seriesframe.session import new_stage_path
+
 # Fixed value: full-precision text form of a timestamp, so a CSV round trip loses nothing.
 TIMESTAMP_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
@@ -34,16 +36,23 @@ def write_survey_csv(df: DataFrame, path: str, null: str = "NA", mode: str = "ov
     )
 
 
-def tee(df: DataFrame, path: str) -> DataFrame:
-    """Write the frame as parquet and carry on with the written copy.
-
-    The input is computed once; what follows reads the files, so a lost executor costs a
-    re-read and no recomputation of the stages before.
-    """
-    return stage(df, path)
-
-
 def stage(df: DataFrame, path: str) -> DataFrame:
     """Materialise as parquet and read back with the same schema."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tee(df: DataFrame, path: str) -> DataFrame:
+    """Write CSV for people and carry on with a parquet copy: the input is computed once."""
+    copy = settle(df, "tee")
+    write_survey_csv(copy, path)
+    return copy
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table that several branches of a plan read.
+
+    Without it every branch would scan and aggregate the source again. The files lie in the
+    shared folder, so a lost executor costs a re-read, never a recomputation.
+    """
+    return stage(df, new_stage_path(df.sparkSession, name))
