@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from seriesframe.catalog.common import E_SERIES, grid_sql, r, registry, rounded
 from seriesframe.functions.times import add_seconds, slot_start
 from seriesframe.operators import clean, relate, reshape
-from seriesframe.operators.grid import densify, grid_spine, to_slots
+from seriesframe.operators.grid import densify, grid_spine
 from seriesframe.operators.intervals import resolve_overlaps as repair
 from seriesframe.operators.models import model_terms as fold_terms
 from seriesframe.operators.running import zero_fill
 from seriesframe.operators.scan import fill_down
 from seriesframe.plans.sheets import series_events, table
+from seriesframe.sources.files import settle
 from seriesframe.sources.spines import day_spine
 
 QUERIES, SQL, register = registry()
@@ -210,9 +211,9 @@ _MINUTE_WIDE = ", ".join(f"max(value) filter (where series = '{s}') as {s}" for
 def minute_grid(spark, folder):
     e = series_events(spark, folder)
     spans = e.withColumn("stop", add_seconds("ts", (F.col("user_id") % 20 + 5) * 60))
-    cells = reshape.interval_grid(spans, "ts", "stop", 60, ["series"], ["value"])
-    # One value per series and minute before the pivot, then the season spine keeps empty minutes.
-    slots = to_slots(cells, "t", 60, ["series"], [F.max("value").alias("value")])
+    cells = reshape.interval_grid(spans, "ts", "stop", 60, ["series", "value"])
+    # One value per series and minute, then the pivot; the season spine keeps empty minutes.
+    slots = settle(cells.groupBy("series", "slot").agg(F.max("value").alias("value")), "minutes")
     wide = reshape.to_wide(slots, ["slot"], "series", SERIES, F.max("value"))
     out = relate.join_keep_left(grid_spine(slots, []), wide, ["slot"])
     return out.select(slot_start("slot", 60).alias("t"), *SERIES)

@@ -53,10 +53,15 @@ def lookup(df: DataFrame, table: dict[tuple, float], on: list[str], value: str,
 
     The table is program text, so its size is fixed and it is broadcast.
     """
-    rows = [(*(k if isinstance(k, tuple) else (k,)), v) for k, v in table.items()]
     types = dict(df.dtypes)
-    schema = ", ".join([f"`_k{i}` {types[c]}" for i, c in enumerate(on)] + [f"`{value}` double"])
-    small = F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+
+    def row(key, v):
+        parts = key if isinstance(key, tuple) else (key,)
+        keys = [F.lit(p).cast(types[c]).alias(f"_k{i}") for i, (p, c) in enumerate(zip(parts, on))]
+        return F.struct(*keys, F.lit(float(v)).alias(value))
+
+    entries = F.array(*[row(k, v) for k, v in table.items()])
+    small = F.broadcast(df.sparkSession.range(1).select(F.inline(entries)))
     match = [F.col(c) == F.col(f"_k{i}") for i, c in enumerate(on)]
     out = df.join(small, match, "left").drop(*[f"_k{i}" for i in range(len(on))])
     return out if default is None else out.withColumn(value, F.coalesce(F.col(value), F.lit(float(default))))

@@ -114,36 +114,30 @@ def impute_pmm(
     """Predictive mean matching: ``m`` draws per missing value from its ``k`` nearest donors.
 
     Donors are rows with ``y``, compared by regression value. They are ranked in order of
-    (regression value, id); a missing row looks at the k donors at or before its own place
-    and the k after it, fetched by an equality join on the rank. That holds the k nearest for
-    certain, so no pair of rows beyond 2k per missing value is ever formed. Distances
-    equal to ``digits`` decimals go to the lower rank. Result: observed rows ``m`` times, and the drawn rows.
+    (regression value, id). A missing row looks at the k donors at or before its own place
+    and the k after it, which hold the k nearest for certain; distances equal to ``digits``
+    decimals go to the lower rank. The 2k candidates of a place are fetched once by an equality
+    join on the rank, however many missing rows share the place. Result: observed rows ``m``
+    times, and the drawn rows.
     """
     fits = regression_stats(df, by, y, x).drop("_s")
-    fitted = attach(df, fits, by).withColumn("_pred", F.col("_a") + F.col("_b") * F.col(x)).drop("_a", "_b")
-    order = [*by, "_pred", row_id]
-    chunked = range_chunks(fitted, order, parts)
-    ranked = running_count(chunked, by, ["_pred", row_id], F.col(y).isNotNull(), "_rank").drop("_chunk")
+    fitted = attach(df, fits, by).withColumn("_pred", F.col("_a") + F.col("_b") * F.col(x))
+    fitted = fitted.select(*by, row_id, y, "_pred")
+    chunked = range_chunks(fitted, [*by, "_pred", row_id], parts)
+    ranked = running_count(chunked, by, ["_pred", row_id], F.col(y).isNotNull(), "_rank")
     donors = ranked.where(F.col(y).isNotNull()).select(
-        *by, F.col("_rank").alias("_dr"), F.col("_pred").alias("_dp"), F.col(y).alias("_dy")
+        *by, F.col("_rank").alias("_dr"), F.struct(F.col("_rank").alias("r"), F.col("_pred").alias("p"), F.col(y).alias("y")).alias("_donor")
     )
     need = ranked.where(F.col(y).isNull()).select(*by, row_id, "_pred", "_rank")
-    asks = need.select(
-        *by, row_id, "_pred", F.explode(F.sequence(F.col("_rank") - (k - 1), F.col("_rank") + k)).alias("_dr")
-    )
-    found = join_keep_left(asks, donors, [*by, "_dr"], "inner", null_safe=True)
-    distance = F.round(F.abs(F.col("_dp") - F.col("_pred")), digits)
-    near = found.groupBy(*by, row_id).agg(
-        F.slice(
-            F.sort_array(
-                F.collect_list(
-                    F.struct(distance.alias("d"), F.col("_dr").alias("r"), F.col("_dy").alias("y"))
-                )
-            ),
-            1,
-            k,
-        ).alias("_pool")
+    places = need.select(*by, "_rank").distinct()
+    asked = places.select(
+        *by, "_rank", F.explode(F.sequence(F.col("_rank") - (k - 1), F.col("_rank") + k)).alias("_dr")
     )
+    pools = join_keep_left(asked, donors, [*by, "_dr"], "inner", null_safe=True)
+    pools = pools.groupBy(*by, "_rank").agg(F.collect_list("_donor").alias("_pool"))
+    distance = lambda d: F.round(F.abs(d["p"] - F.col("_pred")), digits)
+    by_distance = F.transform("_pool", lambda d: F.struct(distance(d).alias("d"), d["r"].alias("r"), d["y"].alias("y")))
+    near = attach(need, pools, [*by, "_rank"]).withColumn("_pool", F.slice(F.sort_array(by_distance), 1, k))
     drawn = near.withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(m))))
     key = [*[F.col(c).cast("string") for c in [*by, row_id, "m"]], F.lit(str(seed))]
     place = F.floor(hash_uniform(*key) * F.size("_pool")).cast("int")

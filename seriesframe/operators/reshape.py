@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seriesframe.functions.times import epoch_seconds, slot_of, slot_start
+from seriesframe.functions.times import slot_of, slot_start
 from seriesframe.operators.relate import not_in
 from seriesframe.sources.files import settle
 from seriesframe.sources.spines import expand_slots
@@ -34,17 +34,10 @@ def pad(df: DataFrame, ts: str, step_s: int, by: list[str], t: str = "t") -> Dat
     return out.withColumn(t, slot_start("_slot", step_s)).drop("_slot")
 
 
-def interval_grid(
-    df: DataFrame, start: str, end: str, step_s: int, by: list[str], keep: list[str], t: str = "t"
-) -> DataFrame:
-    """One row per step an interval covers, first and last step included."""
-    cols = [*by, *keep]
-    spans = df.select(*cols, slot_of(start, step_s).alias("_lo"), slot_of(end, step_s).alias("_hi"))
-    slots = spans.where(F.col("_lo") <= F.col("_hi")).select(
-        *cols, F.explode(F.sequence("_lo", "_hi")).alias("_slot")
-    )
-    return slots.select(*cols, slot_start("_slot", step_s).alias(t))
+def interval_grid(df: DataFrame, start: str, end: str, step_s: int, keep: list[str], slot: str = "slot") -> DataFrame:
+    """One row per step an interval covers, first and last step included.
 
-
-def interval_seconds(start: str, end: str) -> Column:
-    return epoch_seconds(end) - epoch_seconds(start)
+    Steps come as slot numbers, ready to be aggregated and joined to a spine.
+    """
+    spans = df.select(*keep, slot_of(start, step_s).alias("_lo"), slot_of(end, step_s).alias("_hi"))
+    return expand_slots(spans, "_lo", "_hi", slot, spread=False)

@@ -13,12 +13,19 @@ from seriesframe.functions.times import slot_of, slot_start
 BLOCK = 4096
 
 
-def expand_slots(df: DataFrame, lo: str, hi: str, slot: str = "slot", block: int = BLOCK) -> DataFrame:
-    """One row per slot number ``lo..hi`` of each input row; ``lo`` and ``hi`` are dropped."""
+def expand_slots(
+    df: DataFrame, lo: str, hi: str, slot: str = "slot", block: int = BLOCK, spread: bool = True
+) -> DataFrame:
+    """One row per slot number ``lo..hi`` of each input row; ``lo`` and ``hi`` are dropped.
+
+    ``spread`` sends the blocks of a long range to different tasks; inputs with many short
+    ranges are spread already and skip that shuffle.
+    """
     first, last = F.floor(F.col(lo) / block), F.floor(F.col(hi) / block)
     keep = [c for c in df.columns if c not in (lo, hi)]
     blocks = df.where(F.col(lo) <= F.col(hi)).select(*df.columns, F.explode(F.sequence(first, last)).alias("_block"))
-    blocks = blocks.repartition(*keep, "_block") if keep else blocks.repartition("_block")
+    if spread:
+        blocks = blocks.repartition(*keep, "_block")
     start = F.greatest(F.col(lo), F.col("_block") * block)
     stop = F.least(F.col(hi), F.col("_block") * block + (block - 1))
     return blocks.select(*keep, F.explode(F.sequence(start, stop)).alias(slot))
