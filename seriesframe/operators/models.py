@@ -191,7 +191,7 @@ def glm(
     factors: list[str],
     family: str,
     link: str,
-    tol: float = 1e-10,
+    tol: float = 1e-8,
     max_iter: int = 50,
 ) -> PipelineModel:
     """Generalised linear model over rows without missing values.
