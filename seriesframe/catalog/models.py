@@ -8,7 +8,7 @@ from seriesframe.catalog.common import E_SERIES, grid_sql, r, registry, rounded
 from seriesframe.functions.semantics import presence
 from seriesframe.operators import impute, models as op
 from seriesframe.operators.grid import densify
-from seriesframe.operators.relate import attach
+from seriesframe.operators.relate import attach, join_keep_left
 from seriesframe.plans.sheets import grid_series, series_events, table
 
 QUERIES, SQL, register = registry()
@@ -154,15 +154,20 @@ def glm_gamma(spark, folder):
 
 @register(
     "glm_binomial",
-    f"""with {grid_sql(1800)}, p as (select series, avg(case when n > 0 then 1.0 else 0.0 end) as p from g group by 1),
-    l as (select series, ln(p / (1 - p)) as lo from p)
-    select '(intercept)' as term, {r('lo', 4)} as estimate from l where series = 'click'
-    union all select 'series=' || series, {r("lo - (select lo from l where series = 'click')", 4)} from l where series <> 'click'""",
+    f"""with c as (select o_orderpriority as bay, case when n > 0 then 1.0 else 0.0 end as y from orders left join (
+      select l_orderkey, count(*) as n from lineitem where l_returnflag = 'R' group by 1) on o_orderkey = l_orderkey),
+    l as (select bay, ln(avg(y) / (1 - avg(y))) as lo from c group by 1)
+    select '(intercept)' as term, {r('lo', 4)} as estimate from l where bay = '1-URGENT'
+    union all select 'bay=' || bay, {r("lo - (select lo from l where bay = '1-URGENT')", 4)} from l where bay <> '1-URGENT'""",
 )
 def glm_binomial(spark, folder):
-    g = densify(series_events(spark, folder), "ts", 1800, BY, [F.count(F.lit(1)).alias("n")], {"n": 0})
-    fit = op.glm(g.select("series", presence("n").alias("caught")), "caught", [], BY, "binomial", "logit")
-    return rounded(op.glm_coefficients(fit, [], BY, spark), 4)
+    caught = table(spark, folder, "lineitem").where("l_returnflag = 'R'").groupBy(
+        F.col("l_orderkey").alias("o_orderkey")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    o = table(spark, folder, "orders").select("o_orderkey", F.col("o_orderpriority").alias("bay"))
+    rows = join_keep_left(o, caught, ["o_orderkey"]).select("bay", presence(F.coalesce("n", F.lit(0))).alias("caught"))
+    fit = op.glm(rows, "caught", [], ["bay"], "binomial", "logit")
+    return rounded(op.glm_coefficients(fit, [], ["bay"], spark), 4)
 
 
 _HOURS = "(slot % 144) / 6.0"
