@@ -87,6 +87,19 @@ def loglinear_decay(spark, folder):
     return rounded(op.decay_fits(_lines(spark, folder), ["category"], "price", "qty"), exp_scale=4, pow_scale=4)
 
 
+@register(
+    "decay_curve",
+    f"""with {_L}, d as (select category, ln(price) as ly, qty as x, ln(qty) as lx from l where price > 0 and qty > 0),
+    f as (select category, exp(regr_intercept(ly, x)) as ea, regr_slope(ly, x) as eb, exp(regr_intercept(ly, lx)) as pa,
+      regr_slope(ly, lx) as pb from d group by 1)
+    select category, 1.0e0 + i * 0.5e0 as x, {r('ea * exp(eb * (1 + i * 0.5e0))', 3)} as exp_fit,
+      {r('pa * power(1 + i * 0.5e0, pb)', 3)} as pow_fit from f, (select unnest(generate_series(0, 98)) as i)""",
+)
+def decay_curve(spark, folder):
+    fits = op.decay_fits(_lines(spark, folder), ["category"], "price", "qty")
+    return rounded(op.decay_curves(fits, ["category"], 1, 50, 0.5), 3)
+
+
 @register(
     "anova_oneway",
     f"""with {E_SERIES}, g as (select series, count(*) as n, avg(value) as m, var_pop(value) as v from e group by 1),

@@ -166,6 +166,23 @@ def unpivot_bays(spark, folder):
     return reshape.to_long(pivot_bays(spark, folder), ["hour"], SERIES, "series", "value")
 
 
+@register(
+    "catch_table_long",
+    f"""with {E_SERIES}, w as (select date_trunc('hour', ts) as hour, series, {r('avg(value)')} as cpue from e group by 1, 2),
+    c as (select series, cast(ts as date) as date, max(value) as top, count(*) as n_day from e group by 1, 2 having max(value) > 200)
+    select w.hour, w.series, w.cpue, c.top, c.n_day from w join c on c.series = w.series and c.date = cast(w.hour as date)
+    where w.cpue is not null""",
+)
+def catch_table_long(spark, folder):
+    e = series_events(spark, folder)
+    covariates = e.groupBy("series", F.to_date("ts").alias("date")).agg(
+        F.max("value").alias("top"), F.count(F.lit(1)).alias("n_day")
+    ).where("top > 200")
+    long = reshape.to_long(pivot_bays(spark, folder), ["hour"], SERIES, "series", "cpue")
+    joined = relate.join_keep_left(long.withColumn("date", F.to_date("hour")), covariates, ["series", "date"])
+    return clean.drop_incomplete(joined).select("hour", "series", "cpue", "top", "n_day")
+
+
 @register(
     "pad_by_group",
     """with e as (select user_id, date_trunc('hour', ts) as t, event_id, value from events)

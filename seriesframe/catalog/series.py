@@ -194,6 +194,19 @@ def raw_vs_imputed(spark, folder):
     return rounded(out, cum_value=4)
 
 
+@register(
+    "raw_vs_imputed_overall",
+    f"""with {grid_sql()}, {_LINEAR.format(v='value', src='g')},
+    dy as (select cast(t as date) as date, avg(value) as raw_mean, avg(filled) as filled_mean from li group by 1),
+    lg as (select date, 'raw_mean' as kind, raw_mean as value from dy union all select date, 'filled_mean', filled_mean from dy)
+    select date, kind, {r('value')} as value, {r('sum(value) over (partition by kind order by date)', 4)} as cum_value from lg""",
+)
+def raw_vs_imputed_overall(spark, folder):
+    filled = impute.impute_linear(grid_series(spark, folder), BY, "slot", "value")
+    out = impute.compare_daily(filled, [], F.to_date("t"), "value", "filled")
+    return rounded(out, cum_value=4)
+
+
 @register(
     "autocorrelation",
     f"""with {daily_sql()}, c as (select series, slot, value - avg(value) over (partition by series) as x from d),

@@ -9,7 +9,7 @@ from seriesframe.functions import semantics as sem, times
 from seriesframe.operators import relate, summarise as op
 from seriesframe.operators.grid import densify
 from seriesframe.operators.median import grouped_median
-from seriesframe.plans.sheets import event_base, series_events, specimen_sheet, table
+from seriesframe.plans.sheets import IDS, event_base, series_events, specimen_sheet, table
 
 QUERIES, SQL, register = registry()
 
@@ -43,6 +43,37 @@ def group_stats(spark, folder):
     return rounded(out, 4, total=2)
 
 
+@register(
+    "length_table",
+    f"""with {EV_BASE}, {SPEC} select gear, depth_ft, l_linestatus as status,
+      count(distinct (event, l_partkey, l_linenumber)) as total, {r('avg(length)', 4)} as mean, {r('stddev_samp(length)', 4)} as sd,
+      min(length) as low, max(length) as high from sp join ev_base using (event) group by 1, 2, 3""",
+)
+def length_table(spark, folder):
+    sheet = event_base(spark, folder).select("event", "gear", "depth_ft")
+    fish = relate.join_keep_left(specimen_sheet(spark, folder), sheet, ["event"], "inner")
+    out = op.summarise(
+        fish.withColumnRenamed("l_linestatus", "status"), ["gear", "depth_ft", "status"],
+        total=sem.n_distinct("event", *IDS), mean=F.avg("length"), sd=F.stddev_samp("length"),
+        low=F.min("length"), high=F.max("length"),
+    )
+    return rounded(out, 4)
+
+
+@register(
+    "length_by_category",
+    f"""select l_partkey as category, count(*) as n, {r('avg(l_quantity)', 4)} as mean, {r('stddev_samp(l_quantity)', 4)} as sd
+    from lineitem group by 1 having count(*) > 20""",
+)
+def length_by_category(spark, folder):
+    fish = table(spark, folder, "lineitem").withColumnRenamed("l_partkey", "category")
+    out = op.summarise(
+        fish, ["category"], n=F.count(F.lit(1)), mean=F.avg("l_quantity"), sd=F.stddev_samp("l_quantity")
+    )
+    # Categories with too few specimens are no basis for a comparison of lengths.
+    return rounded(out.where("n > 20"), 4)
+
+
 @register(
     "na_strict_agg",
     f"""with {grid_sql()} select series, cast(t as date) as date,

@@ -174,6 +174,18 @@ def decay_fits(df: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
     )
 
 
+def decay_curves(fits: DataFrame, by: list[str], lo: float, hi: float, step: float) -> DataFrame:
+    """Fitted exponential and power curves over an even grid of x values."""
+    points = F.explode(F.sequence(F.lit(0), F.lit(int(round((hi - lo) / step))))).alias("_i")
+    grid = fits.select("*", points).withColumn("x", F.lit(float(lo)) + F.col("_i") * F.lit(float(step)))
+    return grid.select(
+        *by,
+        "x",
+        (F.col("exp_scale") * F.exp(F.col("exp_rate") * F.col("x"))).alias("exp_fit"),
+        (F.col("pow_scale") * F.pow("x", "pow_rate")).alias("pow_fit"),
+    )
+
+
 def _design(numeric: list[str], factors: list[str]) -> list:
     stages, inputs = [], list(numeric)
     for f in factors:
