@@ -149,7 +149,7 @@ def correlation_matrix(spark, folder):
     from s""",
 )
 def zero_inflation(spark, folder):
-    g = densify(series_events(spark, folder), "ts", 1800, BY, [F.count(F.lit(1)).alias("n")], {"n": 0})
+    g = densify(series_events(spark, folder), "ts", 1800, BY, [F.count(F.lit(1)).alias("n")], {"n": 0}, reuse=False)
     return rounded(op.zero_test(g, BY, "n"))
 
 

@@ -127,7 +127,7 @@ def model_terms(spark, folder):
 )
 def grid_densify(spark, folder):
     e = series_events(spark, folder)
-    out = densify(e, "ts", 3600, ["series"], [F.count(F.lit(1)).alias("n"), F.avg("value").alias("value")], {"n": 0})
+    out = densify(e, "ts", 3600, ["series"], [F.count(F.lit(1)).alias("n"), F.avg("value").alias("value")], {"n": 0}, reuse=False)
     return rounded(out.select("series", "t", "n", "value"))
 
 

@@ -84,7 +84,7 @@ def length_by_category(spark, folder):
 )
 def na_strict_agg(spark, folder):
     e = series_events(spark, folder)
-    g = densify(e, "ts", 600, ["series"], [F.avg("value").alias("value"), F.count(F.lit(1)).alias("n")])
+    g = densify(e, "ts", 600, ["series"], [F.avg("value").alias("value"), F.count(F.lit(1)).alias("n")], reuse=False)
     out = g.groupBy("series", F.to_date("t").alias("date")).agg(
         sem.aggregate(F.avg, "value", na_rm=False).alias("strict_mean"),
         sem.aggregate(F.avg, "value").alias("mean"),

@@ -34,12 +34,14 @@ def densify(
     fill: dict[str, object] | None = None,
     common: bool = True,
     t: str = "t",
+    reuse: bool = True,
 ) -> DataFrame:
     """Aggregate to slots and keep every slot of the season.
 
     Data and spine meet on (series, slot), so one long series spreads over all tasks. The slot
-    table is written once: its ends, its spine and every later branch read it, and the source
-    is scanned a single time.
+    table is written once, because its ends, its spine and the join read it: the source is
+    scanned a single time. With ``reuse`` the grid is written too; imputation and gap
+    statistics read it in several branches, which would otherwise join it anew each.
     """
     slotted = settle(to_slots(df, ts, step_s, by, aggs), "slots")
     spine = grid_spine(slotted, by, common)
@@ -47,7 +49,8 @@ def densify(
     if fill:
         types = dict(out.dtypes)
         out = out.withColumns({c: F.coalesce(F.col(c), F.lit(v).cast(types[c])) for c, v in fill.items()})
-    return out.withColumn(t, slot_start("slot", step_s))
+    out = out.withColumn(t, slot_start("slot", step_s))
+    return settle(out, "grid") if reuse else out
 
 
 def with_index(df: DataFrame, by: list[str], slot: str = "slot", name: str = "idx") -> DataFrame:
