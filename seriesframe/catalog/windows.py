@@ -15,11 +15,17 @@ _DAILY = f"""with {EV_BASE}, {SPEC},
 d as (select date, category, sum(length) as n from sp join ev_base using (event) group by 1, 2)"""
 
 
+def _catch_per_event(spark, folder):
+    """Catch per event and category with its date. Specimens are summed up before the join, so an
+    event with very many of them is a few rows by then."""
+    days = event_base(spark, folder).select("event", "date")
+    sums = specimen_sheet(spark, folder).groupBy("event", "category").agg(F.sum("length").alias("length"))
+    return relate.join_keep_left(sums, days, ["event"], "inner")
+
+
 def daily_catch(spark, folder):
     """Catch per day and category; the day comes from the event of each specimen."""
-    days = event_base(spark, folder).select("event", "date")
-    sp = relate.join_keep_left(specimen_sheet(spark, folder), days, ["event"], "inner")
-    return running.by_date(sp, "date", "length", ["category"], "n")
+    return running.by_date(_catch_per_event(spark, folder), "date", "length", ["category"], "n")
 
 
 @register(
@@ -85,9 +91,7 @@ def crossing_date(spark, folder):
     left join p using (category) left join h on h.category = e.category and rn = 1""",
 )
 def run_timing(spark, folder):
-    days = event_base(spark, folder).select("event", "date")
-    sp = relate.join_keep_left(specimen_sheet(spark, folder), days, ["event"], "inner")
-    return rounded(timing(sp, "date", "category", "length"), 2, half_day=4)
+    return rounded(timing(_catch_per_event(spark, folder), "date", "category", "length"), 2, half_day=4)
 
 
 PEAKS_SQL = """

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from seriesframe.sources.files import settle
+from seriesframe.sources.spines import one_value
+
 # Half-width of the rank bracket around the middle, and the sketch accuracy that resolves it.
 BRACKET = 5e-5
 ACCURACY = 50_000
@@ -12,19 +15,24 @@ ACCURACY = 50_000
 # Groups up to this many values use the built-in median, which holds one group in memory.
 LARGE = 1_000_000
 
+# Groups above N / MOST_LARGE of N values are at most MOST_LARGE in number.
+MOST_LARGE = 1_000_000
+
 
 def grouped_median(df: DataFrame, by: list[str], value: str, name: str = "median", large: int = LARGE) -> DataFrame:
     """Exact median of ``value`` per group.
 
     Groups of more than ``large`` values are found by a count and take the way of
-    ``_large_median``; the others use the built-in median. When no group is large, adaptive
-    execution finds that branch empty and drops it.
+    ``_large_median``; the others use the built-in median. The limit rises with the table so
+    that at most ``MOST_LARGE`` groups are above it: their names can be broadcast, and a hot
+    group is never shuffled as a whole. When no group is large, adaptive execution finds that
+    branch empty and drops it.
     """
     key = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
     seen = df.where(F.col(value).isNotNull()).select(key.alias("_g"), F.col(value).cast("double").alias("_x"))
-    sizes = seen.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    # At most (all values / large) groups.
-    heavy = sizes.where(F.col("_n") > large).select("_g")
+    sizes = settle(seen.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")), "sizes")
+    limit = F.greatest(F.lit(large), one_value(sizes, F.sum("_n") / MOST_LARGE))
+    heavy = F.broadcast(sizes.where(F.col("_n") > limit).select("_g"))
     light = seen.join(heavy, "_g", "left_anti").groupBy("_g").agg(F.median("_x").alias(name))
     both = light.unionByName(_large_median(seen.join(heavy, "_g", "left_semi"), name))
     return both.select(*[F.col("_g")[c].alias(c) for c in by], name)

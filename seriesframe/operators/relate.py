@@ -3,6 +3,10 @@
 Joins whose one side may hold many rows of one key are written as inner and anti joins:
 adaptive execution can split a hot key on either side of an inner join, but never the
 right side of a left join or any side of a full join.
+
+It does not split either when a later grouping relies on the join's partitioning. Null-safe
+keys are derived expressions, on which no grouping by the plain columns can rely; use them, or
+aggregate first, before grouping by a key that was just joined on.
 """
 
 from __future__ import annotations
