@@ -196,7 +196,7 @@ _HOURS = "(slot % 144) / 6.0"
 def glm_gaussian_impute(spark, folder):
     g = grid_series(spark, folder).withColumn("hr", F.col("slot") % 144 / 6.0)
     fit = op.glm(g.where(F.col("value").isNotNull()), "value", ["hr"], BY, "gaussian", "identity")
-    return rounded(op.glm_fill(g, fit, "value").select("series", "t", "filled"), 4)
+    return rounded(op.glm_fill(g, fit, "value", ["hr"], BY).select("series", "t", "filled"), 4)
 
 
 _FIT = """fit as (select series, regr_slope(value, slot) as b, regr_intercept(value, slot) as a,

@@ -233,8 +233,8 @@ def _gamma_inverse(rows: DataFrame, y: str, tol: float, max_iter: int):
     The built-in fit starts from an unweighted line through 1/y, which small responses pull so
     far up that later steps leave the positive range. Starting from mean = response with
     weights mean^2 avoids that. Every step is one distributed weighted fit; a fit that
-    leaves the positive range is an error. ``prediction`` of the returned
-    linear stage is 1 / mean.
+    leaves the positive range is an error. ``_eta`` of the
+    returned linear stage is 1 / mean.
     """
     line = LinearRegression(
         labelCol="_z", featuresCol="_features", weightCol="_w", predictionCol="_eta", solver="normal", standardization=False
@@ -268,10 +268,19 @@ def glm_coefficients(model, numeric: list[str], factors: list[str], spark) -> Da
     return spark.createDataFrame(rows, "term string, estimate double")
 
 
-def glm_fill(df: DataFrame, model, y: str, name: str = "filled") -> DataFrame:
-    """Missing responses become the model's prediction; rows need complete predictors.
+def glm_fill(df: DataFrame, model, y: str, numeric: list[str], factors: list[str], name: str = "filled") -> DataFrame:
+    """Missing responses become the model's prediction.
 
-    Factor levels the fit never saw would stop the job, so such rows should not be passed.
+    Rows with a missing predictor, or a factor level the fit never saw, keep their response
+    as it is.
     """
-    predicted = model.transform(df)
-    return predicted.select(*df.columns, F.coalesce(F.col(y), F.col("prediction")).alias(name))
+    known = F.lit(True)
+    for c in numeric:
+        known = known & F.col(c).isNotNull()
+    indexers = [s for s in model.stages if hasattr(s, "labels")]
+    for f, indexer in zip(factors, indexers):
+        known = known & F.col(f).isNotNull() & F.col(f).isin(list(indexer.labels))
+    fitted = model.transform(df.where(known))
+    mean = 1 / F.col("_eta") if "_eta" in fitted.columns else F.col("prediction")
+    filled = fitted.select(*df.columns, F.coalesce(F.col(y), mean).alias(name))
+    return filled.unionByName(df.where(~known).withColumn(name, F.col(y).cast("double")))

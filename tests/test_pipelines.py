@@ -138,8 +138,12 @@ def test_generalised_models(spark):
     coef = models.glm_coefficients(models.glm(df, "y", ["x"], ["f"], "gaussian", "identity"), ["x"], ["f"], spark)
     assert sorted(r.term for r in coef.collect()) == ["(intercept)", "f=b", "x"]
     holes = df.withColumn("y", F.when(F.col("x") > 1.5, F.col("y")))
-    filled = models.glm_fill(holes, models.glm(holes, "y", ["x"], ["f"], "gaussian", "identity"), "y")
-    assert filled.where("filled is null or (y is not null and y <> filled)").count() == 0
+    for family, link in (("gaussian", "identity"), ("gamma", "inverse")):
+        filled = models.glm_fill(holes, models.glm(holes, "y", ["x"], ["f"], family, link), "y", ["x"], ["f"])
+        assert filled.where("filled is null or (y is not null and y <> filled)").count() == 0
+    strange = spark.createDataFrame([(2.0, None, "new"), (None, 4.0, "a"), (None, None, None)], "x double, y double, f string")
+    kept = models.glm_fill(strange, models.glm(df, "y", ["x"], ["f"], "gaussian", "identity"), "y", ["x"], ["f"])
+    assert sorted(str(r.filled) for r in kept.collect()) == ["4.0", "None", "None"]
 
 
 def test_zero_test(spark):
