@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesframe.llm import mixing, near_dup, sharding
+from seriesframe.llm import decontaminate, html_text, language_model, mixing, near_dup, neighbours, quality, sharding
 from seriesframe.llm.sql import SQL as SQL
 
 
@@ -16,6 +16,19 @@ def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, folder, "documents"), size=4, share=80)
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.drop("score")
+
+
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, folder, "embeddings"), "vec_id % 50 = 0", k=5)
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     queue = mixing.fair_queue(_table(spark, folder, "documents"))
     return queue.select("doc_id", "size", "source_size", "target", "taken")
@@ -25,4 +38,12 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shuffled_slots(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op5_mixing, op8_sharding)}
+def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_texts(_table(spark, folder, "pages"))
+
+
+def op10_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.scores(_table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_decontamination, op3_quality, op4_neighbours, op5_mixing, op8_sharding, op9_html_text, op10_language_model)}

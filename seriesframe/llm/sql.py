@@ -19,6 +19,48 @@ select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id
 from (select a as doc_id, min(b) as component_id from reach group by 1) left join n using (doc_id)
 """
 
+#: Shingles of the items found anywhere, counted in passages of two stretches as long as the longest item.
+OP2 = r"""
+with low as (select *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from benchmark),
+i as (select item_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from low),
+cut as (
+  select item_id, w, coalesce(nullif(nullif(list_position(list_transform(w, lambda x: x like '%?'), true), 0), len(w)), (len(w) + 1) // 2) as cut_at from i),
+half as (select item_id, 'q' as part, w[1:cut_at] as w from cut union all select item_id, 'a', w[cut_at + 1:len(w)] from cut),
+g as (
+  select distinct item_id, part, case when len(w) < 5 then w else w[k:k+4] end as g
+  from half, unnest(generate_series(1, greatest(1, len(w) - 4))) as t(k) where len(w) > 0),
+n as (select item_id, count(*) filter (part = 'q') as n_question, count(*) filter (part = 'a') as n_answer from g group by 1),
+longest as (select max(len(w)) as m from i),
+d as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as w from documents),
+sh as (
+  select doc_id, k - 1 as pos, w[k:k+4] as g from d, unnest(generate_series(1, greatest(1, len(w) - 4))) as t(k) where len(w) > 0),
+hit as (
+  select distinct doc_id, item_id, part, g, p from sh join g using (g), longest, unnest([pos // m - 1, pos // m]) as t(p)
+  where p >= 0 and pos + len(g) <= (p + 2) * m),
+best as (
+  select doc_id, item_id, p, count(*) filter (part = 'q') as q, count(*) filter (part = 'a') as a from hit group by 1, 2, 3)
+select doc_id, item_id, n_question, n_answer, q as question_found, a as answer_found
+from best join n using (item_id)
+where 100 * (q + a) >= 80 * (n_question + n_answer) and 2 * q >= n_question and 2 * a >= n_answer
+qualify row_number() over (partition by doc_id, item_id order by q + a desc, p) = 1
+"""
+
+#: All candidates of all queries, products added in the order of the dimensions.
+OP4 = r"""
+with v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)
+    / (sqrt(list_inner_product(c.e, c.e)) * sqrt(list_inner_product(q.e, q.e))) as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e))
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from s qualify rank <= 5
+"""
+
 OP5 = r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
@@ -44,4 +86,4 @@ select doc_id, cast(size as bigint) as size, source_size, target,
 from q
 """
 
-SQL = {"op1_near_duplicates": OP1, "op5_mixing": OP5}
+SQL = {"op1_near_duplicates": OP1, "op2_decontamination": OP2, "op4_neighbours": OP4, "op5_mixing": OP5}
