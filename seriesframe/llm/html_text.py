@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import random
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -36,7 +37,7 @@ PARTS = re.compile(r"[a-z]+")
 PATH_SLOTS, WORD_SLOTS, NUMBERS = 64, 16, 6
 INPUTS, HIDDEN = PATH_SLOTS + WORD_SLOTS + NUMBERS, 16
 #: Made-up labelled pages of the training set, passes over them, pages of a step, and the step size.
-PAGES, EPOCHS, BATCH, RATE = 700, 14, 35, 0.01
+PAGES, EPOCHS, BATCH, RATE = 1_000, 15, 32, 0.01
 #: Marks the label in made-up text; a code point for private use.
 MARK = "\ue000"
 #: Words and paths kept in a task's memo.
@@ -57,7 +58,7 @@ class Block:
 
 
 def _names(attrs: str) -> str:
-    """Words of class, id and role."""
+    """Words of class, id and role, each after a dot."""
     return " ".join("." + w for value in NAMES.findall(attrs) for w in PARTS.findall(value.lower())) if attrs else ""
 
 
@@ -308,47 +309,45 @@ PHRASES = {
 }
 
 
-def made_up_page(rng: np.random.Generator) -> list[tuple[str, int]]:
+def made_up_page(rng: random.Random) -> list[tuple[str, int]]:
     """A page as (markup, label of the text in it): 1 for the article, 0 for what stands around it."""
-    syllables = ["".join(rng.choice(list("aeioustrnlmdhgp"), rng.integers(2, 5))) for _ in range(60)]
+    syllables = ["".join(rng.choices("aeioustrnlmdhgp", k=rng.randint(2, 4))) for _ in range(60)]
 
     def words(low: int, high: int) -> str:
-        out = ["".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(rng.integers(low, high))]
-        return " ".join(out).capitalize() + rng.choice([".", "", "!", "?", "."], p=[0.6, 0.2, 0.05, 0.05, 0.1])
+        out = ["".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(rng.randint(low, high))]
+        return " ".join(out).capitalize() + rng.choice([".", ".", ".", ".", "", "!", "?"])
 
     def small(kind: str) -> str:
         phrase = PHRASES[kind].split()
-        own = " ".join(rng.choice(phrase, min(len(phrase), rng.integers(1, 6)), replace=False))
-        return str(rng.choice([own, words(1, 9), words(6, 30)], p=[0.35, 0.4, 0.25]))
+        own = " ".join(rng.sample(phrase, min(len(phrase), rng.randint(1, 6))))
+        return rng.choice([own, words(1, 8), words(1, 8), words(6, 30), f"&copy; {words(3, 12)}" if kind == "footer" else own])
 
     def named(names: list[str]) -> str:
-        name = str(rng.choice(names))
-        name += str(rng.choice(["", f" {rng.choice(['wrap', 'box', 'inner', 'col'])}", f"-{rng.choice(['wrap', 'box', 'inner', 'area'])}"]))
+        name = rng.choice(names) + rng.choice(["", "", " wrap", " box", " inner", "-wrap", "-box", "-area"])
         return f' {rng.choice(["class", "class", "id"])}="{name}"'
 
     def side(kind: str) -> list[tuple[str, int]]:
         tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind, "div")
         if rng.random() < 0.35:
-            tag = str(rng.choice(["div", "section"])) if kind != "form" else "form"
+            tag = rng.choice(["div", "section"]) if kind != "form" else "form"
         bare = tag not in ("div", "section") and rng.random() < 0.6
-        open_ = f"<{tag}{'' if bare else named(SIDE_NAMES[kind].split())}>"
-        style = rng.integers(0, 3) if kind not in ("nav", "comments", "form") else {"nav": 0, "comments": 1, "form": 3}[kind]
-        n = int(rng.integers(1, 8))
-        out = [(open_, 0)]
-        for _ in range(n if style != 2 else 1):
+        style = {"nav": 0, "comments": 1, "form": 3}.get(kind, rng.choice([0, 1, 2, 2]))
+        out = [(f"<{tag}{'' if bare else named(SIDE_NAMES[kind].split())}>", 0)]
+        for _ in range(rng.randint(1, 7) if style != 2 else 1):
             if style == 0:
                 out.append((f'<ul><li><a href="#">{small(kind)}</a></li></ul>', 0))
             elif style == 1:
-                out.append((f"<div{named(SIDE_NAMES[kind].split())}><p>{words(4, 60) if kind == 'comments' else small(kind)}</p></div>", 0))
+                inner = named(SIDE_NAMES[kind].split()) if rng.random() < 0.6 else ""
+                out.append((f"<div{inner}><p>{words(4, 60) if kind == 'comments' else small(kind)}</p></div>", 0))
             elif style == 2:
-                out.append((f"{small(kind)}", 0))
+                out.append((small(kind), 0))
             else:
                 out.append((f"<label>{small(kind)}</label><select><option>{small(kind)}</option></select><button>{small(kind)}</button>", 0))
         return [*out, (f"</{tag}>", 0)]
 
     def story() -> list[tuple[str, int]]:
         out = [(f"<h1>{words(3, 12)}</h1>", 1)] if rng.random() < 0.85 else []
-        for _ in range(rng.integers(1, 16)):
+        for _ in range(rng.randint(1, 15)):
             kind = rng.random()
             long = words(8, 120) if rng.random() < 0.7 else words(1, 8)
             if kind < 0.68:
@@ -366,7 +365,7 @@ def made_up_page(rng: np.random.Generator) -> list[tuple[str, int]]:
             elif kind < 0.95:
                 out.append((f'<p><a href="#">{words(2, 12)}</a> {words(2, 20)}</p>', 1))
             else:
-                out += side(str(rng.choice(["ad", "share", "aside", "notice", "form"])))
+                out += side(rng.choice(["ad", "share", "aside", "notice", "form"]))
         return out
 
     page: list[tuple[str, int]] = []
@@ -374,24 +373,24 @@ def made_up_page(rng: np.random.Generator) -> list[tuple[str, int]]:
         page += side(kind) if rng.random() < (0.7 if kind == "nav" else 0.45) else []
     style = rng.random()
     if style < 0.6:
-        wrap = ("<article>", "</article>") if rng.random() < 0.6 else (f"<article{named(MAIN_NAMES)}>", "</article>")
+        wrap = "<article>" if rng.random() < 0.6 else f"<article{named(MAIN_NAMES)}>", "</article>"
     elif style < 0.75:
         wrap = ("<main>", "</main>") if rng.random() < 0.5 else ("<main><article>", "</article></main>")
     else:
-        wrap = (f"<{'div' if rng.random() < 0.7 else 'section'}{named(MAIN_NAMES)}>",) * 1
-        wrap = (wrap[0], "</div>" if wrap[0].startswith("<div") else "</section>")
+        tag = rng.choice(["div", "div", "section"])
+        wrap = f"<{tag}{named(MAIN_NAMES)}>", f"</{tag}>"
     page += [(wrap[0], 0), *story()]
     if rng.random() < 0.2:
         page += side("comments")
     page += [(wrap[1], 0)]
     for kind in ("share", "comments", "aside", "ad", "form", "notice", "footer"):
-        page += side(kind) if rng.random() < (0.7 if kind == "footer" else 0.35) else []
+        page += side(kind) if rng.random() < (0.75 if kind == "footer" else 0.35) else []
     return page
 
 
 def trained_labeller() -> Labeller:
     """Trains on PAGES made-up pages; nothing of it depends on the data, so it is the same on every run."""
-    rng, vectors, pages, labels = np.random.default_rng(2_024), Vectors(), [], []
+    rng, vectors, pages, labels = random.Random(2_024), Vectors(), [], []
     for _ in range(PAGES):
         parts = made_up_page(rng)
         # Each piece of text starts with a mark and its label; the first mark in a block is the block's label.
