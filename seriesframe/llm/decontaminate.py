@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from seriesframe.llm.sharing import received, sent
 from seriesframe.llm.words import WordHash, hashes_of, in_pieces, shingles, texts_of, words_of
 
 #: Usual BM25 constants.
@@ -176,7 +177,7 @@ def _indexes(benchmark: DataFrame, size: int, share: int) -> Iterator[Index]:
 
 def _finder(shared) -> Callable:
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = received(shared)
         for batch in in_pieces(batches, 256):
             ids = batch.column(0).to_pylist()
             found = index.matches([words_of(t) for t in texts_of(batch)])
@@ -209,13 +210,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: in
     schema = "doc_id long, item_id long, n_question long, n_answer long, question_found long, answer_found long, score double"
     out = spark.createDataFrame([], schema)
     for index in _indexes(benchmark, size, share):
-        out = out.unionByName(docs.mapInArrow(_finder(spark.sparkContext.broadcast(index)), schema))
+        out = out.unionByName(docs.mapInArrow(_finder(sent(spark, index)), schema))
     return out
 
 
 def _cleaner(shared) -> Callable:
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = received(shared)
         for batch in in_pieces(batches, 256):
             found = {d for d, _ in index.matches([words_of(t) for t in texts_of(batch)])}
             yield batch.filter(pa.array([k not in found for k in range(batch.num_rows)], pa.bool_()))
@@ -226,5 +227,5 @@ def _cleaner(shared) -> Callable:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: int = 80) -> DataFrame:
     """The rows of ``docs``, with all their columns, that contain no test item; rows never leave their task."""
     for index in _indexes(benchmark, size, share):
-        docs = docs.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+        docs = docs.mapInArrow(_cleaner(sent(docs.sparkSession, index)), docs.schema)
     return docs

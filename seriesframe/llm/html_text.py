@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from seriesframe.llm.sharing import received, sent
 from seriesframe.llm.words import in_pieces
 
 # Element kinds of HTML.
@@ -408,7 +409,7 @@ def trained_labeller() -> Labeller:
 
 def _extractor(shared) -> Callable:
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, vectors = shared.value, Vectors()
+        model, vectors = received(shared), Vectors()
         for batch in in_pieces(batches, 256):
             pages = [blocks_of(p) for p in batch.column(2).to_pylist()]
             chances = model.label([vectors.page(b) if b else np.empty((0, INPUTS), np.float32) for b in pages])
@@ -434,5 +435,5 @@ def main_texts(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     """
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    shared = spark.sparkContext.broadcast(model or trained_labeller())
+    shared = sent(spark, model or trained_labeller())
     return pages.mapInArrow(_extractor(shared), "page_id long, url string, text string, n_chars long")

@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from seriesframe.llm.sharing import received, sent
 from seriesframe.llm.words import fold, in_pieces, texts_of, words_of
 from seriesframe.sources.files import settle
 
@@ -219,7 +220,7 @@ def start_chain(base: np.ndarray, sample: list[np.ndarray]) -> Chain:
 
 def _encoder(shared) -> Callable:
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, logs = shared.value
+        own, logs = received(shared)
         classes = Classes(own)
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         for batch in in_pieces(batches):
@@ -245,7 +246,7 @@ def _encoder(shared) -> Callable:
 def _expecter(shared) -> Callable:
     def expect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Expected counts of a partition: a row of one number per state for each class and each other distribution."""
-        chain: Chain = shared.value
+        chain: Chain = received(shared)
         classes = chain.emits.shape[1]
         counts = Expected(classes)
         for batch in in_pieces(batches, 1_024):
@@ -266,11 +267,11 @@ def trained(encoded: DataFrame, unigrams: Unigrams) -> Chain:
     base = 10**unigrams.logs
     train = encoded.filter("not held_out").select("classes")
     by_hash = encoded.filter("not held_out").orderBy(F.xxhash64("classes"), "classes").select("classes").limit(START_TEXTS)
-    sample = [np.frombuffer(r.classes, np.uint16).astype(np.int64)[:SEGMENT] for r in by_hash.collect()]
+    sample = [np.frombuffer(r.classes, np.uint16).astype(np.int64) for r in by_hash.collect()]
     chain = start_chain(base, sample)
     columns = [f"s{s}" for s in range(STATES)]
     for _ in range(STEPS):
-        parts = train.mapInArrow(_expecter(spark.sparkContext.broadcast(chain)), "row long, " + ", ".join(f"{c} double" for c in columns))
+        parts = train.mapInArrow(_expecter(sent(spark, chain)), "row long, " + ", ".join(f"{c} double" for c in columns))
         summed = parts.groupBy("row").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
         rows = np.zeros((len(base) + STATES + 2, STATES))
         rows[summed["row"].to_numpy()] = summed[columns].to_numpy()
@@ -283,7 +284,7 @@ def trained(encoded: DataFrame, unigrams: Unigrams) -> Chain:
 
 def _scorer(shared) -> Callable:
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain = shared.value
+        chain = received(shared)
         for batch in in_pieces(batches, 1_024):
             found = log_likelihoods(chain, _decoded(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["row_id", "chain_score"])
@@ -322,7 +323,7 @@ def scores(docs: DataFrame) -> DataFrame:
     unigrams = Unigrams(own, np.array([r.c for r in top], float), shape_counts, shape_kinds, tokens, kinds)
 
     schema = "doc_id long, held_out boolean, n_tokens long, own_known long, own_base double, shape_base double, classes binary, rare array<long>, times array<long>"
-    encoded = docs.mapInArrow(_encoder(spark.sparkContext.broadcast((own, unigrams.logs))), schema)
+    encoded = docs.mapInArrow(_encoder(sent(spark, (own, unigrams.logs))), schema)
     encoded = settle(encoded.withColumn("row_id", F.monotonically_increasing_id()), "encoded")
     chain = trained(encoded, unigrams)
 
@@ -337,7 +338,7 @@ def scores(docs: DataFrame) -> DataFrame:
         .agg(F.sum("worth").alias("rare_base"), F.sum("known").alias("rare_known"))
     )
     chained = encoded.select("row_id", "classes").mapInArrow(
-        _scorer(spark.sparkContext.broadcast(chain)), "row_id long, chain_score double"
+        _scorer(sent(spark, chain)), "row_id long, chain_score double"
     )
     rare_base = F.coalesce("rare_base", F.lit(0.0))
     return (

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from seriesframe.llm.sharing import received, sent
 from seriesframe.sources.files import settle
 
 #: Rows of a tile on the candidates' side, and bytes of query vectors that one broadcast holds.
@@ -52,7 +53,7 @@ def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def _searcher(shared, k: int) -> Callable:
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = shared.value
+        ids, vectors = received(shared)
         unit = vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
         q = quantised(unit)
         heaps: list[list] = [[] for _ in ids]
@@ -122,7 +123,7 @@ def nearest(vectors: DataFrame, queries: F.Column | str, k: int = 5) -> DataFram
             own = sorted(map(tuple, own.select("vec_id", "embedding").collect()))
             pack = (np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], np.float64).reshape(len(own), d))
             found = candidates.mapInArrow(
-                _searcher(spark.sparkContext.broadcast(pack), k), "query_id long, vec_id long, score double"
+                _searcher(sent(spark, pack), k), "query_id long, vec_id long, score double"
             )
             merged = found if merged is None else merged.unionByName(found)
     if merged is None:

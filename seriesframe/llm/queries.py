@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seriesframe.llm import decontaminate, html_text, language_model, mixing, near_dup, neighbours, quality, sharding
+from seriesframe.llm import decontaminate, html_text, language_model, licenses, line_dedup, mixing, near_dup, neighbours, quality, sharding
 from seriesframe.llm.sql import SQL as SQL
 
 
@@ -34,6 +34,17 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return queue.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = line_dedup.without_repeated_lines(_table(spark, folder, "documents"))
+    return out.select(
+        "doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", F.crc32(F.encode("text", "utf-8")).alias("text_crc32")
+    )
+
+
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_matches(_table(spark, folder, "documents"))
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shuffled_slots(_table(spark, folder, "documents"))
 
@@ -46,4 +57,4 @@ def op10_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return language_model.scores(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_decontamination, op3_quality, op4_neighbours, op5_mixing, op8_sharding, op9_html_text, op10_language_model)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_decontamination, op3_quality, op4_neighbours, op5_mixing, op6_line_dedup, op7_licenses, op8_sharding, op9_html_text, op10_language_model)}
