@@ -35,10 +35,10 @@ PIECES = re.compile(
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 PARTS = re.compile(r"[a-z]+")
 
-PATH_SLOTS, WORD_SLOTS, NUMBERS = 64, 16, 6
+PATH_SLOTS, WORD_SLOTS, NUMBERS = 128, 16, 6
 INPUTS, HIDDEN = PATH_SLOTS + WORD_SLOTS + NUMBERS, 16
 #: Made-up labelled pages of the training set, passes over them, pages of a step, and the step size.
-PAGES, EPOCHS, BATCH, RATE = 1_000, 15, 32, 0.01
+PAGES, EPOCHS, BATCH, RATE = 1_200, 14, 32, 0.01
 #: Marks the label in made-up text; a code point for private use.
 MARK = "\ue000"
 #: Words and paths kept in a task's memo.
@@ -343,7 +343,8 @@ def made_up_page(rng: random.Random) -> list[tuple[str, int]]:
             elif style == 2:
                 out.append((small(kind), 0))
             else:
-                out.append((f"<label>{small(kind)}</label><select><option>{small(kind)}</option></select><button>{small(kind)}</button>", 0))
+                field = rng.choice(["<select><option>{}</option></select>", "<textarea>{}</textarea>", "<legend>{}</legend>", "<p>{}</p>", "{}"])
+                out.append((f"<label>{small(kind)}</label>{field.format(small(kind))}<button>{small(kind)}</button>", 0))
         return [*out, (f"</{tag}>", 0)]
 
     def story() -> list[tuple[str, int]]:
@@ -361,9 +362,9 @@ def made_up_page(rng: random.Random) -> list[tuple[str, int]]:
                 out.append((f"<blockquote>{long}</blockquote>", 1))
             elif kind < 0.90:
                 out.append((f"<table><tr><td>{words(1, 5)}</td><td>{words(1, 5)}</td></tr></table>", 1))
-            elif kind < 0.93:
+            elif kind < 0.92:
                 out.append((f"<pre>{long}</pre>", 1))
-            elif kind < 0.95:
+            elif kind < 0.94:
                 out.append((f'<p><a href="#">{words(2, 12)}</a> {words(2, 20)}</p>', 1))
             else:
                 out += side(rng.choice(["ad", "share", "aside", "notice", "form"]))
