@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seriesframe.catalog.common import EV_BASE, VOLUMES, r, registry, rounded
+from seriesframe.catalog.common import DEFAULTS, EV_BASE, VOLUMES, r, registry, rounded
 from seriesframe.functions import semantics as sem, text, times
-from seriesframe.functions.lookups import DEFAULT_VOLUME, SENTINELS
+from seriesframe.functions.lookups import SENTINELS
 from seriesframe.operators import clean as op, relate
 from seriesframe.plans.catch import with_volume
 from seriesframe.plans.sheets import event_base, table
@@ -248,7 +248,7 @@ def category_collapse(spark, folder):
 @register(
     "lookup_with_default",
     f"""with {EV_BASE}, vol(gear, run_s, v) as (values {VOLUMES})
-    select event, gear, run_s, coalesce(v, {DEFAULT_VOLUME}e0) as fished_vol
+    select event, gear, run_s, coalesce(v, {DEFAULTS}) as fished_vol
     from ev_base left join vol using (gear, run_s)""",
 )
 def lookup_with_default(spark, folder):

@@ -44,6 +44,8 @@ def registry():
     return queries, sql, register
 
 
+#: Volume of a run length without an entry, by gear.
+DEFAULTS = "case gear " + " ".join(f"when '{g}' then {v!r}e0" for g, v in DEFAULT_VOLUME.items()) + " end"
 VOLUMES = ", ".join(f"('{g}', {s}, {v!r}e0)" for g, runs in FISHED_VOLUME.items() for s, v in runs.items())
 
 # Sheets as common table expressions, the counterparts of plans/sheets.py.
@@ -76,7 +78,7 @@ ex as (
   from ev left join ncat using (event)),
 vol(gear, run_s, v) as (values {VOLUMES}),
 exv as (
-  select ex.*, coalesce(v, {DEFAULT_VOLUME}e0) as fished_vol, n_exp / coalesce(v, {DEFAULT_VOLUME}e0) as cpue
+  select ex.*, coalesce(v, {DEFAULTS}) as fished_vol, n_exp / coalesce(v, {DEFAULTS}) as cpue
   from ex left join vol using (gear, run_s))"""
 E_SERIES = "e as (select event_id, ts, user_id, event_type as series, value from events)"
 

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seriesframe.catalog.common import DISCHARGE, E_SERIES, EV, EV_BASE, EXPANDED, SPEC, VOLUMES, r, registry, rounded
+from seriesframe.catalog.common import DEFAULTS, DISCHARGE, E_SERIES, EV, EV_BASE, EXPANDED, SPEC, VOLUMES, r, registry, rounded
 from seriesframe.catalog.windows import PEAKS_SQL
-from seriesframe.functions.lookups import BAY_WIDTH, CURRENT_SCALE, DEFAULT_VOLUME, GEAR_DEPTH, GEAR_RATIO, SURFACE_TO_DEPTH
+from seriesframe.functions.lookups import BAY_WIDTH, CURRENT_SCALE, GEAR_DEPTH, GEAR_RATIO, SURFACE_TO_DEPTH
 from seriesframe.functions.semantics import collapse, safe_divide
 from seriesframe.operators import relate
 from seriesframe.operators.running import zero_fill
 from seriesframe.plans import catch
 from seriesframe.plans.sheets import IDS, discharge, event_base, event_sheet, series_events, specimen_sheet
 from seriesframe.plans.timing import compare_sites
-from seriesframe.sources.spines import day_spine
+from seriesframe.sources.files import settle
+from seriesframe.sources.spines import day_spine, one_value
 
 QUERIES, SQL, register = registry()
 
@@ -32,7 +33,7 @@ def events_with_cpue(spark, folder):
 
 
 _EVV = f"""{EV}, vol(gear, run_s, v) as (values {VOLUMES}),
-evv as (select ev.*, coalesce(v, {DEFAULT_VOLUME}e0) as fished_vol, total / coalesce(v, {DEFAULT_VOLUME}e0) as cpue
+evv as (select ev.*, coalesce(v, {DEFAULTS}) as fished_vol, total / coalesce(v, {DEFAULTS}) as cpue
   from ev left join vol using (gear, run_s))"""
 _DEPTH = f"case gear when 'Vertical' then {GEAR_DEPTH['Vertical']}e0 else {GEAR_DEPTH['RST']}e0 end"
 _CURRENT = f"case depth_ft when 6 then velocity * {CURRENT_SCALE[6]}e0 when 12 then velocity * {CURRENT_SCALE[12]}e0 else velocity end"
@@ -162,7 +163,7 @@ def abundance_by_depth(spark, folder):
 
 @register(
     "depth_scaled",
-    f"""with {EXPANDED}, evv as (select ev.*, total / coalesce(v, {DEFAULT_VOLUME}e0) as cpue from ev left join vol using (gear, run_s)),
+    f"""with {EXPANDED}, evv as (select ev.*, total / coalesce(v, {DEFAULTS}) as cpue from ev left join vol using (gear, run_s)),
     a as (select date, sum(cpue * ({BAY_WIDTH!r}e0 * {_DEPTH} * ({_CURRENT}) * run_s)) as m4 from exv where gear <> 'IPT' group by 1),
     b as (select date, sum(cpue * case when depth_ft <> 0 then {GEAR_RATIO}e0 else 1 end
       * ({BAY_WIDTH!r}e0 * {GEAR_DEPTH['RST']}e0 * ({_CURRENT}) * run_s)) as m5 from evv where gear <> 'IPT' group by 1)
@@ -202,18 +203,36 @@ def paired_ratio(spark, folder):
 @register(
     "sampling_scheme_compare",
     f"""with {EXPANDED}, dc as (select date, category, sum(n_exp) as n from ex where category is not null group by 1, 2),
-    s as (select category, sum(n) as every, sum(case when day(date) % 2 = 1 then n else 0 end) as odd,
-      sum(case when day(date) % 2 = 1 and date >= date '1995-01-02' then n else 0 end) as alt from dc group by 1)
+    st as (select min(date) as lo from dc),
+    s as (select category, sum(n) as every, sum(case when (date - lo) % 2 = 0 then n else 0 end) as odd,
+      sum(case when (date - lo) % 2 = 1 then n else 0 end) as alt from dc, st group by 1)
     select category, {r('every', 4)} as sum_every, {r('every / sum(every) over ()')} as share_every,
       {r('odd', 4)} as sum_odd, {r('odd / sum(odd) over ()')} as share_odd,
       {r('alt', 4)} as sum_alt, {r('alt / sum(alt) over ()')} as share_alt from s""",
 )
 def sampling_scheme_compare(spark, folder):
     ex = expanded(spark, folder).where(F.col("category").isNotNull())
-    daily = ex.groupBy("date", "category").agg(F.sum("n_exp").alias("n"))
-    odd = F.dayofmonth("date") % 2 == 1
-    schemes = {"every": F.lit(True), "odd": odd, "alt": odd & (F.col("date") >= F.lit("1995-01-02").cast("date"))}
-    return rounded(catch.compare_schemes(daily, "date", "category", "n", schemes), sum_every=4, sum_odd=4, sum_alt=4)
+    daily = settle(ex.groupBy("date", "category").agg(F.sum("n_exp").alias("n")), "daily")
+    return rounded(catch.compare_schemes(daily, "date", "category", "n", _schemes(daily)), sum_every=4, sum_odd=4, sum_alt=4)
+
+
+def _schemes(daily):
+    """All days, every second day from the first one on, and the days between those."""
+    start = one_value(daily, F.min("date"))
+    return {"every": F.lit(True), "odd": catch.every_other_day("date", start), "alt": catch.every_other_day("date", start, 1)}
+
+
+@register(
+    "sampling_scheme_daily",
+    f"""with {EXPANDED}, dc as (select date, category, sum(n_exp) as n from ex where category is not null group by 1, 2),
+    sh as (select *, n / sum(n) over (partition by date) as share, (date - min(date) over ()) % 2 as turn from dc)
+    select date, category, {r('share')} as share_every, case when turn = 0 then {r('share')} end as share_odd,
+      case when turn = 1 then {r('share')} end as share_alt from sh""",
+)
+def sampling_scheme_daily(spark, folder):
+    ex = expanded(spark, folder).where(F.col("category").isNotNull())
+    daily = settle(ex.groupBy("date", "category").agg(F.sum("n_exp").alias("n")), "daily")
+    return rounded(catch.scheme_daily_share(daily, "date", "category", "n", _schemes(daily)))
 
 
 @register(

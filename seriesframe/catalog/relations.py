@@ -238,19 +238,26 @@ def minute_grid(spark, folder):
 
 @register(
     "resolve_overlaps",
-    """with i as (select user_id, event_id, epoch_us(date_trunc('minute', ts)) as s,
-      cast(user_id % 20 + 5 as bigint) * 60000000 as len from events),
-    c as (select *, sum(len) over w - len as c0 from i window w as (partition by user_id order by s, event_id)),
-    m as (select *, cast(c0 + len + max(s - c0) over (partition by user_id order by s, event_id) as bigint) as e2 from c),
-    n as (select *, lag(e2) over w as pe, lead(s) over w as ns from m
-      window w as (partition by user_id order by s, event_id))
-    select user_id, event_id, make_timestamp(e2 - len + case when s <= pe then 1000000 else 0 end) as start_adj,
-      make_timestamp(e2 - case when ns <= e2 then 1000000 else 0 end) as end_adj from n""",
+    # Interval by interval: each looks at where the one before it has ended.
+    """with recursive i as (select user_id, event_id, epoch_us(date_trunc('minute', ts)) as s,
+      case when event_id % 5 = 0 then event_id % 3 * 500000 else cast(user_id % 20 + 5 as bigint) * 60000000 end as own,
+      row_number() over (partition by user_id order by date_trunc('minute', ts), event_id) as k from events),
+    walk as (
+      select user_id, event_id, k, s as first, s + greatest(own, 2000000) as last, own, false as pushed from i where k = 1
+      union all
+      select i.user_id, i.event_id, i.k, greatest(i.s, w.last), greatest(i.s, w.last) + greatest(i.own, 2000000), i.own, i.s <= w.last
+      from walk w join i on i.user_id = w.user_id and i.k = w.k + 1),
+    n as (select w.*, coalesce(x.pushed, false) as pushes from walk w left join walk x on x.user_id = w.user_id and x.k = w.k + 1),
+    b as (select *, first + case when pushed then 1000000 else 0 end as begin_at from n)
+    select user_id, event_id, make_timestamp(begin_at) as start_adj,
+      make_timestamp(case when pushes then last - 1000000 else greatest(begin_at, first + own) end) as end_adj from b""",
 )
 def resolve_overlaps(spark, folder):
     start = F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("start")
     e = series_events(spark, folder).select("user_id", "event_id", start)
-    spans = e.withColumn("stop", add_seconds("start", (F.col("user_id") % 20 + 5) * 60))
+    # Every fifth interval is empty or shorter than the gap.
+    long, short = add_seconds("start", (F.col("user_id") % 20 + 5) * 60), add_seconds("start", F.col("event_id") % 3 * 0.5)
+    spans = e.withColumn("stop", F.when(F.col("event_id") % 5 == 0, short).otherwise(long))
     return repair(spans, "start", "stop", ["user_id"], "event_id").select(
         "user_id", "event_id", "start_adj", "end_adj"
     )

@@ -177,13 +177,17 @@ def duplicate_keys(spark, folder):
 @register(
     "duplicate_flags",
     """select l_orderkey, l_linenumber, l_partkey, l_suppkey,
-      row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_extendedprice) > 1 as dup_later,
-      count(*) over (partition by l_orderkey, l_linenumber) > 1 as dup_any from lineitem""",
+      row_number() over (partition by k, l_suppkey order by l_partkey nulls first, l_orderkey, l_linenumber) > 1 as dup_later,
+      count(*) over (partition by k, l_suppkey) > 1 as dup_any
+    from (select *, nullif(l_orderkey % 1000, 7) as k from (
+      select * replace (nullif(l_partkey, 3) as l_partkey) from lineitem union all select * from lineitem where l_linenumber = 1))""",
 )
 def duplicate_flags(spark, folder):
-    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    flagged = op.duplicate_flags(rows, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_extendedprice"])
-    return flagged.drop("l_extendedprice")
+    # Some rows twice, some without a key or an order value, as field sheets have them.
+    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    holes = rows.withColumn("l_partkey", F.nullif("l_partkey", F.lit(3)))
+    both = holes.unionByName(rows.where("l_linenumber = 1")).withColumn("k", F.nullif(F.col("l_orderkey") % 1000, F.lit(7)))
+    return op.duplicate_flags(both, ["k", "l_suppkey"], ["l_partkey", "l_orderkey", "l_linenumber"]).drop("k")
 
 
 @register(

@@ -23,8 +23,8 @@ FISHED_VOLUME = {
     },
 }
 
-# Fixed value: volume when gear and run length have no entry above.
-DEFAULT_VOLUME = 1865.71
+# Fixed value: volume by gear when the run length has no entry above. Other gears have none.
+DEFAULT_VOLUME = {"RST": 1865.71}
 
 # One of three equal bays of a 440 m wide river, and gear depth in metres.
 BAY_WIDTH = 440 / 3

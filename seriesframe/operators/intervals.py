@@ -16,7 +16,8 @@ def resolve_overlaps(
     In start order (ties by ``tie``), an interval that begins before the one before it has
     ended moves forward, keeping its length, to that end; the shift carries on down the
     line. Where two intervals then touch, the earlier ends and the later begins ``gap_s``
-    seconds away from the shared instant.
+    seconds away from the shared instant. An interval shorter than two gaps takes the room of two
+    gaps in line, so no end comes before its start and the results are disjoint.
 
     With running length C, the moved end is C + max(start - C before) over the rows so far:
     one running sum and one running maximum, both carried over chunk borders.
@@ -24,7 +25,11 @@ def resolve_overlaps(
     key, gap = [*by, "_s", tie], gap_s * 1000000
     base = df.withColumns({"_s": epoch_micros(start), "_e": epoch_micros(end)})
     rows = range_chunks(base, key, parts).withColumns(
-        {"_len": F.col("_e") - F.col("_s"), "_key": chunk_key(by)}
+        {
+            "_own": F.greatest(F.col("_e") - F.col("_s"), F.lit(0)),
+            "_len": F.greatest(F.col("_e") - F.col("_s"), F.lit(2 * gap)),
+            "_key": chunk_key(by),
+        }
     )
     inside = Window.partitionBy("_key").orderBy("_s", tie)
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
@@ -62,8 +67,11 @@ def resolve_overlaps(
     out = out.withColumn("_start", F.col("_end") - F.col("_len"))
     after_touch = F.coalesce(F.col("_s") <= F.col("_end0"), F.lit(False))
     before_touch = F.coalesce(F.coalesce("_ls", "_cnext") <= F.col("_end"), F.lit(False))
+    begin = F.col("_start") + F.when(after_touch, gap).otherwise(0)
     return out.select(
         *df.columns,
-        from_epoch_micros(F.col("_start") + F.when(after_touch, gap).otherwise(0)).alias("start_adj"),
-        from_epoch_micros(F.col("_end") - F.when(before_touch, gap).otherwise(0)).alias("end_adj"),
+        from_epoch_micros(begin).alias("start_adj"),
+        from_epoch_micros(
+            F.when(before_touch, F.col("_end") - gap).otherwise(F.greatest(begin, F.col("_start") + F.col("_own")))
+        ).alias("end_adj"),
     )

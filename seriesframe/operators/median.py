@@ -2,67 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from seriesframe.sources.files import settle
-from seriesframe.sources.spines import one_value
+from seriesframe.operators.scan import range_chunks, running_count
 
-# Half-width of the rank bracket around the middle, and the sketch accuracy that resolves it.
-BRACKET = 5e-5
-ACCURACY = 50_000
 
+def grouped_median(df: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:
+    """Exact median of ``value`` per group; null values take no part.
 
-# Groups up to this many values use the built-in median, which holds one group in memory.
-LARGE = 1_000_000
-
-# Groups above N / MOST_LARGE of N values are at most MOST_LARGE in number.
-MOST_LARGE = 1_000_000
-
-
-def grouped_median(df: DataFrame, by: list[str], value: str, name: str = "median", large: int = LARGE) -> DataFrame:
-    """Exact median of ``value`` per group.
-
-    Groups of more than ``large`` values are found by a count and take the way of
-    ``_large_median``; the others use the built-in median. The limit rises with the table so
-    that at most ``MOST_LARGE`` groups are above it: their names can be broadcast, and a hot
-    group is never shuffled as a whole. When no group is large, adaptive execution finds that
-    branch empty and drops it.
+    Equal values of a group are first counted, on the map side too. The counted values are cut by range
+    partitioning on (group, value), so a group of any size spreads over the tasks, and running counts
+    with one carried row per group and chunk tell which values hold the middle ranks. All groups
+    take this way, whatever their size.
     """
     key = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
     seen = df.where(F.col(value).isNotNull()).select(key.alias("_g"), F.col(value).cast("double").alias("_x"))
-    sizes = settle(seen.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")), "sizes")
-    limit = F.greatest(F.lit(large), one_value(sizes, F.sum("_n") / MOST_LARGE))
-    heavy = F.broadcast(sizes.where(F.col("_n") > limit).select("_g"))
-    light = seen.join(heavy, "_g", "left_anti").groupBy("_g").agg(F.median("_x").alias(name))
-    both = light.unionByName(_large_median(seen.join(heavy, "_g", "left_semi"), name))
-    return both.select(*[F.col("_g")[c].alias(c) for c in by], name)
-
-
-def _large_median(seen: DataFrame, name: str) -> DataFrame:
-    """Median without ever gathering a group.
-
-    A mergeable quantile sketch proposes a narrow value bracket around the middle. Exact
-    counts below, inside and above the bracket tell which of these parts holds the middle
-    ranks, and only that part is sorted. The sketch decides how much is sorted, never the
-    result: if it were wrong, the counts would point to a larger part.
-    """
-    cuts = seen.groupBy("_g").agg(
-        F.percentile_approx("_x", [0.5 - BRACKET, 0.5 + BRACKET], ACCURACY).alias("_cut"),
-        F.count(F.lit(1)).alias("_n"),
-    )
     weights = seen.groupBy("_g", "_x").agg(F.count(F.lit(1)).alias("_w"))
-    side = F.when(F.col("_x") < F.col("_cut")[0], 0).when(F.col("_x") <= F.col("_cut")[1], 1).otherwise(2)
-    placed = weights.join(cuts, "_g").select("_g", "_x", "_w", "_n", side.alias("_side"))
-    parts = placed.groupBy("_g", "_side").agg(F.sum("_w").alias("_part"), F.first("_n").alias("_n"))
-    sides = Window.partitionBy("_g").orderBy("_side").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_below", F.coalesce(F.sum("_part").over(sides), F.lit(0)))
+    cut = range_chunks(weights, ["_g", "_x"])
+    ranked = running_count(cut, ["_g"], ["_x"], F.col("_w"), "_upto")
+    sizes = cut.groupBy("_g").agg(F.sum("_w").alias("_n"))
     low, high = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
-    holds = (F.col("_below") < high) & (F.col("_below") + F.col("_part") >= low)
-    middle = parts.where(holds).select("_g", "_side", "_below")
-    chosen = placed.join(middle, ["_g", "_side"])
-    inside = Window.partitionBy("_g", "_side").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = chosen.withColumn("_upto", F.sum("_w").over(inside) + F.col("_below"))
     hit = lambda r: (F.col("_upto") - F.col("_w") < r) & (F.col("_upto") >= r)
-    return ranked.groupBy("_g").agg(
-        ((F.max(F.when(hit(low), F.col("_x"))) + F.max(F.when(hit(high), F.col("_x")))) / 2).alias(name)
-    )
+    middle = ranked.join(sizes, "_g").where(hit(low) | hit(high))
+    median = (F.max(F.when(hit(low), F.col("_x"))) + F.max(F.when(hit(high), F.col("_x")))) / 2
+    return middle.groupBy("_g").agg(median.alias(name)).select(*[F.col("_g")[c].alias(c) for c in by], name)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seriesframe.functions.semantics import nulls_last
 from seriesframe.operators.relate import attach
+from seriesframe.operators.scan import range_chunks, running_count
 
 
 def summarise(df: DataFrame, by: list[str], **aggs: Column) -> DataFrame:
@@ -47,14 +48,16 @@ def repeated(df: DataFrame, key: list[str], name: str = "n") -> DataFrame:
 def duplicate_flags(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Flags for repeats: ``dup_later`` (not the first of its key), ``dup_any`` (key repeats).
 
-    ``order`` must tell the rows of one key apart. The group's first row and size come from a
-    partial aggregate, not from a window over the group.
+    Rows are numbered in the given order, missing values first; of rows that are equal in it, such as
+    exact copies, any one counts as the first. Missing keys form a key of their own. Rows are
+    cut by range partitioning on key and order, so a hot key is no single task.
     """
-    # A single column keeps the aggregate hash-based; structs are compared by sorting.
-    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    stats = df.groupBy(*key).agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    flagged = attach(df, stats, key)
-    return flagged.withColumns({"dup_later": place > F.col("_first"), "dup_any": F.col("_n") > 1}).drop("_first", "_n")
+    columns = df.columns
+    cut = range_chunks(df, [*key, *[c for c in order if c not in key]])
+    counted = running_count(cut, key, order, F.lit(1), "_number")
+    sizes = cut.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    flagged = attach(counted, sizes, key)
+    return flagged.select(*columns, (F.col("_number") > 1).alias("dup_later"), (F.col("_n") > 1).alias("dup_any"))
 
 
 def keep_best(df: DataFrame, by: list[str], order: list[tuple[str, bool]]) -> DataFrame:

@@ -66,9 +66,15 @@ def expand_season(
 
 def with_volume(df: DataFrame, gear: str, seconds: str, volumes=FISHED_VOLUME, default=DEFAULT_VOLUME,
                 name: str = "fished_vol") -> DataFrame:
-    """Water volume by gear and run length; other run lengths take the default."""
+    """Water volume by gear and run length; other run lengths take their gear's default.
+
+    A gear without a default has no volume then: another gear's volume says nothing about it.
+    """
     table = {(g, s): v for g, runs in volumes.items() for s, v in runs.items()}
-    return lookup(df, table, [gear, seconds], name, default)
+    found = lookup(df, table, [gear, seconds], name)
+    for g, v in default.items():
+        found = found.withColumn(name, F.coalesce(name, F.when(F.col(gear) == g, F.lit(float(v)))))
+    return found
 
 
 def scaled_by_depth(x: str | Column, depth: str, factors: dict[int, float]) -> Column:
@@ -209,6 +215,20 @@ def catch_per_run(events: DataFrame, date: str, event: str, catch: str, seconds:
     )
 
 
+def every_other_day(date: str, start: Column, offset: int = 0) -> Column:
+    """Every second day counted from ``start``; offsets 0 and 1 part the days between them."""
+    return F.pmod(F.date_diff(F.col(date), start), F.lit(2)) == offset
+
+
+def scheme_daily_share(daily: DataFrame, date: str, category: str, value: str, schemes: dict[str, Column]) -> DataFrame:
+    """Each category's share of the day's total for the days of each scheme; other days are null.
+
+    ``daily`` has one row per date and category, so the window of a day holds a handful of rows.
+    """
+    shared = share_small(daily, value, [date])
+    return shared.select(date, category, *[F.when(p, F.col("share")).alias(f"share_{s}") for s, p in schemes.items()])
+
+
 def compare_schemes(daily: DataFrame, date: str, category: str, value: str, schemes: dict[str, Column]) -> DataFrame:
     """Category totals and shares under several choices of sampling days, in one pass."""
     sums = daily.groupBy(category).agg(

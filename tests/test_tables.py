@@ -85,6 +85,14 @@ def test_duplicate_flags(spark):
     ]
 
 
+def test_duplicate_flags_of_copies_and_missing_values(spark):
+    df = spark.createDataFrame([("a", 1)] * 3 + [("b", None), ("b", 2), (None, 5), (None, 5), ("c", None)], "k string, id int")
+    assert rows(summarise.duplicate_flags(df, ["k"], ["id"])) == sorted([
+        ("a", 1, False, True), ("a", 1, True, True), ("a", 1, True, True), ("b", None, False, True), ("b", 2, True, True),
+        (None, 5, False, True), (None, 5, True, True), ("c", None, False, False),
+    ], key=str)
+
+
 def test_missing_ids(spark):
     df = spark.createDataFrame([(1,), (2,), (5,)], "id long")
     assert rows(relate.missing_ids(df, "id")) == [(3,), (4,)]
