@@ -12,6 +12,7 @@ from seriesframe.plans.catch import with_volume
 from seriesframe.plans.sheets import event_base, table
 from seriesframe.session import new_stage_path
 from seriesframe.sources import files, spines
+from seriesframe.sources.spines import one_value
 
 QUERIES, SQL, register = registry()
 
@@ -299,6 +300,17 @@ def filter_time_range(spark, folder):
     return op.time_range(e, "ts", "2024-01-05 06:00:00", "2024-01-20 18:00:00").select("event_id", "ts", "value")
 
 
+@register(
+    "filter_time_range_open",
+    """select event_id, ts, value from events
+    where ts > (select min(ts) from events) and ts < (select max(ts) from events)""",
+)
+def filter_time_range_open(spark, folder):
+    e = table(spark, folder, "events")
+    ends = [one_value(e, f("ts")) for f in (F.min, F.max)]
+    return op.time_range(e, "ts", *ends, closed=False).select("event_id", "ts", "value")
+
+
 @register("filter_pattern", "select p_partkey, p_name from part where not regexp_matches(p_name, 'widget')")
 def filter_pattern(spark, folder):
     return table(spark, folder, "part").where(~F.col("p_name").rlike("widget")).select("p_partkey", "p_name")

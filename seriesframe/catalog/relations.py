@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seriesframe.catalog.common import E_SERIES, grid_sql, r, registry, rounded
-from seriesframe.functions.times import add_seconds, slot_start
+from seriesframe.functions.times import add_seconds, slot_start, trunc_to
 from seriesframe.operators import clean, relate, reshape
 from seriesframe.operators.grid import densify, grid_spine
 from seriesframe.operators.intervals import resolve_overlaps as repair
@@ -14,9 +14,10 @@ from seriesframe.operators.running import zero_fill
 from seriesframe.operators.scan import fill_down
 from seriesframe.plans.sheets import series_events, table
 from seriesframe.sources.files import settle
-from seriesframe.sources.spines import day_spine
+from seriesframe.sources.spines import day_spine, one_value
 
 QUERIES, SQL, register = registry()
+# The series of the test tables, for the SQL alone: it cannot take column names from the data.
 SERIES = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -63,7 +64,7 @@ def left_join_multi(spark, folder):
 def full_outer_join(spark, folder):
     e = series_events(spark, folder).select(
         F.nullif("series", F.lit("error")).alias("series"),
-        F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"),
+        trunc_to("ts", 3600).alias("hour"),
         "user_id",
         "value",
     )
@@ -83,7 +84,7 @@ def full_outer_join(spark, folder):
 def inner_join_time_key(spark, folder):
     e = series_events(spark, folder)
     clicks = e.where("series = 'click'").select("event_id", "ts", "value")
-    minute = F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("ts")
+    minute = trunc_to("ts", 60).alias("ts")
     gauge = e.where("series = 'view'").groupBy(minute).agg(F.avg("value").alias("gauge"))
     return rounded(relate.join_on_slot(clicks, gauge, "ts", "minute"))
 
@@ -121,6 +122,29 @@ def model_terms(spark, folder):
     return fold_terms(table(spark, folder, "lineitem"), "l_extendedprice", xs, digits=6)
 
 
+@register(
+    "join_full_many",
+    """select coalesce(a.k, b.k, c.k) as k, n_orders, n_lines, balance
+    from (select o_custkey % 700 as k, count(*) as n_orders from orders group by 1) a
+    full join (select l_suppkey * 9 as k, count(*) as n_lines from lineitem group by 1) b on a.k = b.k
+    full join (select c_custkey as k, round(c_acctbal, 2) as balance from customer) c on coalesce(a.k, b.k) = c.k""",
+)
+def join_full_many(spark, folder):
+    a = table(spark, folder, "orders").groupBy((F.col("o_custkey") % 700).alias("k")).agg(F.count(F.lit(1)).alias("n_orders"))
+    b = table(spark, folder, "lineitem").groupBy((F.col("l_suppkey") * 9).alias("k")).agg(F.count(F.lit(1)).alias("n_lines"))
+    c = table(spark, folder, "customer").select(F.col("c_custkey").alias("k"), F.round("c_acctbal", 2).alias("balance"))
+    return relate.join_full_many([a, b, c], ["k"])
+
+
+@register(
+    "missing_ids_in_bounds",
+    """select o_orderkey from (select unnest(generate_series(1, 120000)) as o_orderkey)
+    where o_orderkey not in (select o_orderkey from orders where o_orderkey is not null)""",
+)
+def missing_ids_in_bounds(spark, folder):
+    return relate.missing_ids(table(spark, folder, "orders"), "o_orderkey", (1, 120000))
+
+
 @register(
     "grid_densify",
     f"""with {grid_sql(3600)} select series, t, coalesce(n, 0) as n, {r('value')} as value from g""",
@@ -133,18 +157,18 @@ def grid_densify(spark, folder):
 
 @register(
     "zero_fill_daily",
-    f"""select cast(day as date) as date, coalesce(n, 0) as n, {r('coalesce(total, 0)', 2)} as total
-    from (select unnest(generate_series(min(date_trunc('day', ts)), max(ts), interval 1 day)) as day from events)
-    left join (select date_trunc('day', ts) as d, count(*) as n, sum(value) as total from events
-      where event_type = 'purchase' and value > 150 group by 1) on day = d""",
+    f"""select user_id, cast(day as date) as date, coalesce(n, 0) as n, {r('coalesce(total, 0)', 2)} as total
+    from (select user_id, unnest(generate_series((select min(date_trunc('day', ts)) from events),
+      (select max(ts) from events), interval 1 day)) as day from (select distinct user_id from events))
+    left join (select user_id, date_trunc('day', ts) as day, count(*) as n, sum(value) as total from events group by 1, 2)
+      using (user_id, day)""",
 )
 def zero_fill_daily(spark, folder):
     e = series_events(spark, folder).withColumn("date", F.to_date("ts"))
-    ends = e.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    daily = e.where("series = 'purchase' and value > 150").groupBy("date").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")
-    )
-    return rounded(zero_fill(daily, "date", ["n", "total"], day_spine(ends, "lo", "hi"), []), 2)
+    daily = settle(e.groupBy("user_id", "date").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), "daily")
+    lo, hi = one_value(daily, F.min("date")), one_value(daily, F.max("date"))
+    season = daily.select("user_id").distinct().select("user_id", lo.alias("lo"), hi.alias("hi"))
+    return rounded(zero_fill(daily, "date", ["n", "total"], day_spine(season, "lo", "hi"), ["user_id"]), 2)
 
 
 _WIDE = ", ".join(f"{r(f'avg(value) filter (where series = {chr(39)}{s}{chr(39)})')} as {s}" for s in SERIES)
@@ -152,8 +176,8 @@ _WIDE = ", ".join(f"{r(f'avg(value) filter (where series = {chr(39)}{s}{chr(39)}
 
 @register("pivot_bays", f"with {E_SERIES} select date_trunc('hour', ts) as hour, {_WIDE} from e group by 1")
 def pivot_bays(spark, folder):
-    e = series_events(spark, folder).withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
-    return rounded(reshape.to_wide(e, ["hour"], "series", SERIES, F.avg("value")))
+    e = series_events(spark, folder).withColumn("hour", trunc_to("ts", 3600))
+    return rounded(reshape.to_wide(e, ["hour"], "series", F.avg("value")))
 
 
 @register(
@@ -163,13 +187,13 @@ def pivot_bays(spark, folder):
     lateral (select s as series, case s {" ".join(f"when '{s}' then {s}" for s in SERIES)} end as value)""",
 )
 def unpivot_bays(spark, folder):
-    return reshape.to_long(pivot_bays(spark, folder), ["hour"], SERIES, "series", "value")
+    return reshape.to_long(pivot_bays(spark, folder), ["hour"], "series", "value")
 
 
 @register(
     "catch_table_long",
     f"""with {E_SERIES}, w as (select date_trunc('hour', ts) as hour, series, {r('avg(value)')} as cpue from e group by 1, 2),
-    c as (select series, cast(ts as date) as date, max(value) as top, count(*) as n_day from e group by 1, 2 having max(value) > 200)
+    c as (select series, cast(ts as date) as date, max(value) as top, count(*) as n_day from e group by 1, 2)
     select w.hour, w.series, w.cpue, c.top, c.n_day from w join c on c.series = w.series and c.date = cast(w.hour as date)
     where w.cpue is not null""",
 )
@@ -177,8 +201,8 @@ def catch_table_long(spark, folder):
     e = series_events(spark, folder)
     covariates = e.groupBy("series", F.to_date("ts").alias("date")).agg(
         F.max("value").alias("top"), F.count(F.lit(1)).alias("n_day")
-    ).where("top > 200")
-    long = reshape.to_long(pivot_bays(spark, folder), ["hour"], SERIES, "series", "cpue")
+    )
+    long = reshape.to_long(pivot_bays(spark, folder), ["hour"], "series", "cpue")
     joined = relate.join_keep_left(long.withColumn("date", F.to_date("hour")), covariates, ["series", "date"])
     return clean.drop_incomplete(joined).select("hour", "series", "cpue", "top", "n_day")
 
@@ -231,9 +255,9 @@ def minute_grid(spark, folder):
     cells = reshape.interval_grid(spans, "ts", "stop", 60, ["series", "value"])
     # One value per series and minute, then the pivot; the season spine keeps empty minutes.
     slots = settle(cells.groupBy("series", "slot").agg(F.max("value").alias("value")), "minutes")
-    wide = reshape.to_wide(slots, ["slot"], "series", SERIES, F.max("value"))
+    wide = reshape.to_wide(slots, ["slot"], "series", F.max("value"))
     out = relate.join_keep_left(grid_spine(slots, []), wide, ["slot"])
-    return out.select(slot_start("slot", 60).alias("t"), *SERIES)
+    return out.select(slot_start("slot", 60).alias("t"), *[c for c in out.columns if c != "slot"])
 
 
 @register(
@@ -253,7 +277,7 @@ def minute_grid(spark, folder):
       make_timestamp(case when pushes then last - 1000000 else greatest(begin_at, first + own) end) as end_adj from b""",
 )
 def resolve_overlaps(spark, folder):
-    start = F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("start")
+    start = trunc_to("ts", 60).alias("start")
     e = series_events(spark, folder).select("user_id", "event_id", start)
     # Every fifth interval is empty or shorter than the gap.
     long, short = add_seconds("start", (F.col("user_id") % 20 + 5) * 60), add_seconds("start", F.col("event_id") % 3 * 0.5)

@@ -54,6 +54,11 @@ def slot_start(slot: str | Column, step_s: int) -> Column:
     return from_epoch_seconds(as_col(slot) * step_s)
 
 
+def trunc_to(ts: str | Column, step_s: int) -> Column:
+    """Start of the ``step_s`` slot of a timestamp; no zone and no daylight saving enters."""
+    return slot_start(slot_of(ts, step_s), step_s)
+
+
 def round_to(ts: str | Column, step_s: int) -> Column:
     """Nearest multiple of ``step_s``, halves up; fractions of a second count."""
     micros = step_s * 1000000

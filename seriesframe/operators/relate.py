@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from seriesframe.functions.times import trunc_to
 from seriesframe.sources.spines import expand_slots, id_range
 
 
@@ -68,8 +69,9 @@ def join_full_many(tables: list[DataFrame], on: list[str]) -> DataFrame:
 
 
 def join_on_slot(a: DataFrame, b: DataFrame, ts: str, unit: str, name: str = "slot") -> DataFrame:
-    """Inner join of two tables whose timestamps share a calendar unit (a minute, an hour)."""
-    slot = lambda df: df.withColumn(name, F.date_trunc(unit, F.col(ts)).cast("timestamp_ntz")).drop(ts)
+    """Inner join of two tables whose timestamps share a calendar unit (minute, hour or day)."""
+    step_s = {"minute": 60, "hour": 3600, "day": 86400}[unit]
+    slot = lambda df: df.withColumn(name, trunc_to(ts, step_s)).drop(ts)
     return join_keep_left(slot(a), slot(b), [name], "inner")
 
 

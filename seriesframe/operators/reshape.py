@@ -10,13 +10,28 @@ from seriesframe.sources.files import settle
 from seriesframe.sources.spines import expand_slots
 
 
-def to_long(df: DataFrame, ids: list[str], cols: list[str], key: str, value: str) -> DataFrame:
-    return df.unpivot(ids, cols, key, value)
+#: Columns a wide table may get; more labels than this call for the long form.
+MOST_LABELS = 2_000
 
 
-def to_wide(df: DataFrame, ids: list[str], key: str, values: list[str], agg: Column) -> DataFrame:
-    """One column per listed key value; the list is given, so no pass looks for it."""
-    return df.groupBy(*ids).pivot(key, values).agg(agg)
+def to_long(df: DataFrame, ids: list[str], key: str, value: str) -> DataFrame:
+    """One row per row and column that is no id."""
+    return df.unpivot(ids, [c for c in df.columns if c not in ids], key, value)
+
+
+def labels_of(df: DataFrame, key: str, most: int = MOST_LABELS) -> list:
+    """The distinct labels of a column in order; an error if there are more than ``most`` or some are missing."""
+    found = [r[0] for r in df.select(key).distinct().orderBy(F.asc_nulls_first(key)).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} labels in {key}: keep the long form")
+    if found and found[0] is None:
+        raise ValueError(f"rows without a label in {key} would have no column: name or drop them first")
+    return found
+
+
+def to_wide(df: DataFrame, ids: list[str], key: str, agg: Column) -> DataFrame:
+    """One column per label found in ``key``, so no row is left out."""
+    return df.groupBy(*ids).pivot(key, labels_of(df, key)).agg(agg)
 
 
 def pad(df: DataFrame, ts: str, step_s: int, by: list[str], t: str = "t") -> DataFrame:

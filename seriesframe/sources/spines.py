@@ -23,9 +23,15 @@ def expand_slots(
     """
     first, last = F.floor(F.col(lo) / block), F.floor(F.col(hi) / block)
     keep = [c for c in df.columns if c not in (lo, hi)]
-    blocks = df.where(F.col(lo) <= F.col(hi)).select(*df.columns, F.explode(F.sequence(first, last)).alias("_block"))
+    rows = df.where(F.col(lo) <= F.col(hi))
     if spread:
-        blocks = blocks.repartition(*keep, "_block")
+        # Blocks of blocks first, so the list of a very long range is no single array either.
+        outer = F.sequence(F.floor(first / block), F.floor(last / block))
+        rows = rows.select(*df.columns, F.explode(outer).alias("_outer")).repartition(*keep, "_outer")
+        inner = F.sequence(F.greatest(first, F.col("_outer") * block), F.least(last, F.col("_outer") * block + (block - 1)))
+        blocks = rows.select(*df.columns, F.explode(inner).alias("_block")).repartition(*keep, "_block")
+    else:
+        blocks = rows.select(*df.columns, F.explode(F.sequence(first, last)).alias("_block"))
     start = F.greatest(F.col(lo), F.col("_block") * block)
     stop = F.least(F.col(hi), F.col("_block") * block + (block - 1))
     return blocks.select(*keep, F.explode(F.sequence(start, stop)).alias(slot))

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from seriesframe.functions.times import trunc_to
 from seriesframe.operators import clean, relate, reshape, summarise
 from seriesframe.operators.grid import densify
 from seriesframe.session import new_stage_path
@@ -107,11 +108,31 @@ def test_best_row_and_ties(spark):
 
 def test_wide_long_round_trip(spark):
     df = spark.createDataFrame([(1, "b2", 0.5), (1, "b6", 1.5), (2, "b2", 2.5)], "t int, bay string, v double")
-    wide = reshape.to_wide(df, ["t"], "bay", ["b2", "b6"], F.first("v"))
-    long = reshape.to_long(wide, ["t"], ["b2", "b6"], "bay", "v")
+    wide = reshape.to_wide(df, ["t"], "bay", F.first("v"))
+    long = reshape.to_long(wide, ["t"], "bay", "v")
     assert rows(long.dropna()) == rows(df) and long.count() == 4
 
 
+def test_wide_form_takes_every_label_or_fails(spark):
+    df = spark.createDataFrame([(1, c, 1.0) for c in "abcdef"], "t int, bay string, v double")
+    assert reshape.to_wide(df, ["t"], "bay", F.first("v")).columns == ["t", *"abcdef"]
+    with pytest.raises(ValueError):
+        reshape.labels_of(df, "bay", most=5)
+    with pytest.raises(ValueError):
+        reshape.to_wide(df.unionByName(spark.createDataFrame([(2, None, 1.0)], df.schema)), ["t"], "bay", F.first("v"))
+
+
+def test_truncation_knows_no_daylight_saving(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Vancouver")
+    try:
+        df = spark.createDataFrame([(dt.datetime(2017, 3, 12, 2, 30, 40),)], "ts timestamp_ntz")
+        got = df.select(trunc_to("ts", 60), trunc_to("ts", 3600)).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert tuple(got) == (dt.datetime(2017, 3, 12, 2, 30), dt.datetime(2017, 3, 12, 2))
+
+
 def test_densify_then_drop_gives_the_input(spark):
     t0 = dt.datetime(2017, 4, 3, 6)
     data = [("b2", t0, 1.0), ("b2", t0 + dt.timedelta(minutes=7), 2.0), ("b6", t0 + dt.timedelta(minutes=3), 3.0)]
