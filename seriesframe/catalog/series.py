@@ -97,45 +97,58 @@ def impute_seasonal(spark, folder):
     return rounded(out.select("series", "t", "filled"), 8)
 
 
-# Brute force over 0, 1 and 2 breaks with the same shortest segment and BIC.
+# Least costs for 0 to 5 breaks, place by place, with the same shortest segment and BIC.
 # Series ending in _run are running sums of the daily means, which do shift their level.
 _RUN = "dr as (select series, slot, t, sum(value) over (partition by series order by slot) as value from d)"
 _BOTH = f"""{daily_sql()}, {_RUN}, bsrc as (select series, slot, t, value from d
   union all select series || '_run', slot, t, value from dr)"""
 _ONLY_RUN = f"{daily_sql()}, {_RUN}, bsrc as (select * from dr)"
-_BREAKS = """
+_MOST_BREAKS = 5
+_COST = "p.s2 - a.s2 - (p.s1 - a.s1) * (p.s1 - a.s1) / (p.i - a.i)"
+_LEVELS = ",\n".join(
+    f"""l{m} as (select p.series, p.i, min(a.best + {_COST}) as best, arg_min(a.i, (a.best + {_COST}, a.i)) as origin
+  from ps p join (select l.*, s1, s2 from l{m - 1} l join ps using (series, i)) a
+    on a.series = p.series and a.i >= {m} * p.h and p.i - a.i >= p.h where p.i >= {m + 1} * p.h group by 1, 2)"""
+    for m in range(1, _MOST_BREAKS + 1)
+)
+_FITS = " union all ".join(
+    f"select series, {m} as m, n * ln(greatest(best, 2.2250738585072014e-308)) + ln(n) * {2 * (m + 1)} as bic, n "
+    f"from l{m} join en using (series) where i = n" for m in range(_MOST_BREAKS + 1)
+)
+_BACK = ",\n".join(
+    f"""c{m} as (select c.series, c.m, case when c.m >= {m} then l.origin else c.i end as i
+  from c{m + 1} c left join l{m} l on l.series = c.series and l.i = c.i)""" for m in range(_MOST_BREAKS, 0, -1)
+)
+_ENDS = " union ".join(f"select series, i from c{m}" for m in range(1, _MOST_BREAKS + 2))
+_BREAKS = f"""
 pt as (select series, t, value, row_number() over (partition by series order by slot) as i,
   count(*) over (partition by series) as n,
   avg(value) over (partition by series) as mu from bsrc where value is not null),
 ps as (select *, sum(value - mu) over w as s1, sum((value - mu) * (value - mu)) over w as s2,
   greatest(cast(floor(n * 0.15) as bigint), 2) as h from pt window w as (partition by series order by i)),
-en as (select series, n, h, s1, s2 from ps where i = n),
-k0 as (select series, 0 as m, 0 as b1, 0 as b2, s2 - s1 * s1 / n as rss from en),
-k1 as (select e.series, 1 as m, a.i as b1, 0 as b2,
-  a.s2 - a.s1 * a.s1 / a.i + (e.s2 - a.s2) - (e.s1 - a.s1) * (e.s1 - a.s1) / (e.n - a.i) as rss
-  from en e join ps a on a.series = e.series and a.i >= e.h and a.i <= e.n - e.h),
-k2 as (select e.series, 2 as m, a.i as b1, b.i as b2, a.s2 - a.s1 * a.s1 / a.i
-  + (b.s2 - a.s2) - (b.s1 - a.s1) * (b.s1 - a.s1) / (b.i - a.i)
-  + (e.s2 - b.s2) - (e.s1 - b.s1) * (e.s1 - b.s1) / (e.n - b.i) as rss
-  from en e join ps a on a.series = e.series and a.i >= e.h
-  join ps b on b.series = e.series and b.i >= a.i + e.h and b.i <= e.n - e.h),
-al as (select * from k0 union all select * from k1 union all select * from k2),
-bc as (select al.*, n, n * ln(rss) + ln(n) * 2 * (m + 1) as bic from al join en using (series)),
-pick as (select * from (select *, row_number() over (partition by series order by bic, m, b1, b2) as rn from bc) where rn = 1),
-seg as (select p.series, p.i, p.t, p.value,
-  1 + case when m >= 1 and p.i > b1 then 1 else 0 end + case when m = 2 and p.i > b2 then 1 else 0 end as segment
-  from pt p join pick using (series)),
+en as (select distinct series, n from ps),
+l0 as (select series, i, s2 - s1 * s1 / i as best, 0 as origin from ps),
+{_LEVELS},
+c{_MOST_BREAKS + 1} as (select series, m, n as i from (
+  select *, row_number() over (partition by series order by bic, m) as rn from ({_FITS})) where rn = 1),
+{_BACK},
+ends as (select distinct series, i from ({_ENDS})),
+seg as (select p.series, p.t, p.value, 1 + (select count(*) from ends e where e.series = p.series and e.i < p.i) as segment from ps p),
 segments as (select series, cast(segment as int) as segment, min(t) as from_t, max(t) as to_t, count(*) as n_points,
   avg(value) as mean from seg group by 1, 2)"""
 
 
 def _running(spark, folder):
-    d = running_total(daily_series(spark, folder), "t", "value", BY, "run")
+    return _run_of(daily_series(spark, folder))
+
+
+def _run_of(daily):
+    d = running_total(daily, "t", "value", BY, "run")
     return d.select("series", "t", F.col("run").alias("value"))
 
 
 def _breaks(spark, folder):
-    return settle(breaks.mean_breakpoints(_running(spark, folder), BY, "t", "value", max_breaks=2), "segments")
+    return settle(breaks.mean_breakpoints(_running(spark, folder), BY, "t", "value"), "segments")
 
 
 @register(
@@ -143,9 +156,10 @@ def _breaks(spark, folder):
     f"with {_BOTH}, {_BREAKS} select series, segment, from_t, to_t, n_points, {r('mean')} as mean from segments",
 )
 def mean_breakpoints(spark, folder):
-    run = _running(spark, folder).withColumn("series", F.concat("series", F.lit("_run")))
-    both = daily_series(spark, folder).select("series", "t", "value").unionByName(run)
-    return rounded(breaks.mean_breakpoints(both, BY, "t", "value", max_breaks=2))
+    daily = daily_series(spark, folder)
+    run = _run_of(daily).withColumn("series", F.concat("series", F.lit("_run")))
+    both = daily.select("series", "t", "value").unionByName(run)
+    return rounded(breaks.mean_breakpoints(both, BY, "t", "value"))
 
 
 @register(

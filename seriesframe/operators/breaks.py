@@ -4,48 +4,60 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seriesframe.operators.relate import attach
+from seriesframe.operators.scan import range_chunks, running_sums
+from seriesframe.sources.files import settle
 
-# Longest series one grouped call may hold; longer ones must come in with a coarser step.
-MAX_POINTS = 20_000
-
-
-def _segment(x: np.ndarray, max_breaks: int, h: float) -> list[int]:
-    """Break positions (last index of each segment but the final one) by least squares and BIC."""
-    n = len(x)
-    shortest = max(int(n * h), 2)
-    s1 = np.concatenate([[0.0], np.cumsum(x - x.mean())])
-    s2 = np.concatenate([[0.0], np.cumsum((x - x.mean()) ** 2)])
-
-    def cost(i, j):
-        return (s2[j] - s2[i]) - (s1[j] - s1[i]) ** 2 / (j - i)
-
-    # best[j]: least cost of the first j points in the present number of segments
-    best = np.full(n + 1, np.inf)
-    ends = np.arange(shortest, n + 1)
-    best[ends] = cost(0, ends)
-    came_from, totals = [], [best[n]]
-    for m in range(1, max_breaks + 1):
-        if (m + 1) * shortest > n:
-            break
-        step, origin = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int)
-        for j in range((m + 1) * shortest, n + 1):
-            i = np.arange(m * shortest, j - shortest + 1)
-            total = best[i] + cost(i, j)
-            at = int(np.argmin(total))
-            step[j], origin[j] = total[at], i[at]
-        best = step
-        came_from.append(origin)
-        totals.append(best[n])
-    tiny = np.finfo(float).tiny
-    bic = [n * np.log(max(r, tiny)) + np.log(n) * 2 * (m + 1) for m, r in enumerate(totals)]
-    m, j, out = int(np.argmin(bic)), n, []
-    for level in range(m, 0, -1):
-        j = int(came_from[level - 1][j])
-        out.append(j - 1)
-    return sorted(out)
+#: Positions of a block; two blocks meet in one matrix.
+BLOCK = 1_000
+
+
+def _prefix_sums(points: DataFrame) -> DataFrame:
+    """Per series (``_g``): position ``i`` from 1, and sums of the deviations from the mean and of their squares up to it."""
+    means = points.groupBy("_g").agg(F.avg("_v").alias("_mu"), F.count(F.lit(1)).alias("_n"))
+    x = F.col("_v") - F.col("_mu")
+    cut = range_chunks(points.join(means, "_g").withColumn("_x", x), ["_g", "_t"])
+    sums = {"i": F.lit(1.0), "s1": F.col("_x"), "s2": F.col("_x") * F.col("_x")}
+    return running_sums(cut, ["_g"], ["_t"], sums).withColumn("i", F.round("i").cast("long")).drop("_x", "_chunk")
+
+
+def _one_more_break(rows: DataFrame, before: DataFrame, breaks: int) -> DataFrame:
+    """Least cost of the first ``i`` points in ``breaks`` + 1 segments, and where the last but one ends.
+
+    Positions are cut into blocks. Each pair of an earlier and a later block is one small matrix of costs, so pairs of
+    positions are never rows, no group holds more than two blocks, and a long series spreads over many tasks.
+    """
+    pair = ["_k", "_a", "_b"]
+    block = lambda i: F.floor(i / BLOCK)
+    earlier = before.where(F.col("i") >= F.col("shortest") * breaks).select(
+        "_k", "i", "s1", "s2", "best", block(F.col("i")).alias("_a"), block(F.col("_n")).alias("_last")
+    )
+    earlier = earlier.withColumn("_b", F.explode(F.sequence("_a", "_last")))
+    later = rows.where(F.col("i") >= F.col("shortest") * (breaks + 1)).select(
+        "_k", "i", "s1", "s2", "shortest", block(F.col("i")).alias("_b"), block(F.col("i") - F.col("shortest")).alias("_high")
+    )
+    later = later.withColumn("_a", F.explode(F.sequence(F.lit(0).cast("long"), "_high")))
+
+    def least(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("i")
+        length = right["i"].to_numpy()[:, None] - left["i"].to_numpy()[None, :]
+        gap = right["s1"].to_numpy()[:, None] - left["s1"].to_numpy()[None, :]
+        total = left["best"].to_numpy() + (right["s2"].to_numpy()[:, None] - left["s2"].to_numpy()) - gap * gap / np.maximum(length, 1)
+        total[length < right["shortest"].to_numpy()[:, None]] = np.inf
+        if not total.size:
+            return pd.DataFrame({"_k": pd.Series([], dtype=object), "i": [], "best": [], "origin": []})
+        at = total.argmin(axis=1)
+        best = total[np.arange(len(at)), at]
+        fine = np.isfinite(best)
+        found = {"i": right["i"].to_numpy()[fine], "best": best[fine], "origin": left["i"].to_numpy()[at][fine]}
+        names = pd.Series([str(right["_k"].iloc[0])] * int(fine.sum()), dtype=object)
+        return pd.DataFrame({"_k": names, **found})
+
+    found = earlier.groupBy(*pair).cogroup(later.groupBy(*pair)).applyInPandas(least, "_k string, i long, best double, origin long")
+    found = found.groupBy("_k", "i").agg(F.min(F.struct("best", "origin")).alias("_least"))
+    return rows.join(found, ["_k", "i"]).select(*rows.columns, "_least.best", "_least.origin")
 
 
 def mean_breakpoints(
@@ -53,40 +65,60 @@ def mean_breakpoints(
 ) -> DataFrame:
     """Segments of constant mean: ``segment``, first and last ``t``, rows and mean.
 
-    Least-squares segmentation with at least ``h`` of the points per segment; BIC picks the
-    number of breaks. ``daily`` has one row per group and calendar step, so a group's length is
-    bounded by the calendar; series above ``MAX_POINTS`` are refused, never shortened. Null
-    values take no part.
+    Least-squares segmentation with at least ``h`` of the points (and two) per segment; BIC picks the number of breaks,
+    fewer ones and earlier places on ties. One row per group and ``t`` is expected; null values take no part. Series
+    may have any length: costs come from prefix sums, and each further break compares blocks of positions
+    with earlier blocks. The work grows with the square of a series' length, so aggregate long series to the step
+    that matters.
     """
-    types = dict(daily.dtypes)
-    keys = ", ".join(f"`{c}` {types[c]}" for c in by)
-    schema = f"{keys + ', ' if by else ''}segment int, from_t {types[t]}, to_t {types[t]}, n_points long, mean double"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf["_v"].notna()].sort_values("_t")
-        if len(pdf) > MAX_POINTS:
-            raise ValueError(f"series of {len(pdf)} points: aggregate to a coarser step first")
-        if not len(pdf):
-            return pd.DataFrame({c: [] for c in [*by, "segment", "from_t", "to_t", "n_points", "mean"]})
-        x = pdf["_v"].to_numpy(float)
-        cuts = _segment(x, max_breaks, h) if len(x) > 4 else []
-        starts, stops = [0, *[c + 1 for c in cuts]], [*cuts, len(x) - 1]
-        times = pdf["_t"].tolist()
-        out = pd.DataFrame(
-            {
-                "segment": range(1, len(starts) + 1),
-                "from_t": [times[i] for i in starts],
-                "to_t": [times[i] for i in stops],
-                "n_points": [b - a + 1 for a, b in zip(starts, stops)],
-                "mean": [float(x[a : b + 1].mean()) for a, b in zip(starts, stops)],
-            }
-        )
-        for c in by:
-            out[c] = pdf[c].iloc[0]
-        return out[[*by, "segment", "from_t", "to_t", "n_points", "mean"]]
-
-    points = daily.select(*by, F.col(t).alias("_t"), F.col(value).cast("double").alias("_v"))
-    return points.groupBy(*by).applyInPandas(fit, schema)
+    key = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
+    points = daily.where(F.col(value).isNotNull()).select(
+        key.alias("_g"), F.col(t).alias("_t"), F.col(value).cast("double").alias("_v")
+    )
+    shortest = F.greatest(F.floor(F.col("_n") * h), F.lit(2))
+    name = F.to_json("_g", {"ignoreNullFields": "false"})
+    rows = settle(_prefix_sums(points).withColumns({"shortest": shortest, "_k": name}), "prefix")
+    whole = F.col("s2") - F.col("s1") * F.col("s1") / F.col("i")
+    state = rows.select("*", whole.alias("best"), F.lit(0).cast("long").alias("origin"))
+    states = [state]
+    for breaks in range(1, max_breaks + 1):
+        state = settle(_one_more_break(rows, state, breaks), "breaks")
+        states.append(state)
+
+    rss = F.greatest("best", F.lit(2.2250738585072014e-308))  # the least normal number: a perfect fit has no logarithm
+    n = F.col("_n").cast("double")
+    fits = None
+    for breaks, state in enumerate(states):
+        bic = n * F.log(rss) + F.log(n) * 2 * (breaks + 1)
+        own = state.where("i = _n").select("_g", "_n", F.struct(bic.alias("bic"), F.lit(breaks).alias("m")).alias("_fit"))
+        fits = own if fits is None else fits.unionByName(own)
+    chosen = fits.groupBy("_g", "_n").agg(F.min("_fit").alias("_fit"))
+    now = chosen.select("_g", F.col("_fit.m").alias("m"), F.col("_n").alias("i"))
+    ends = now
+    for breaks in range(max_breaks, 0, -1):
+        step = now.join(states[breaks].select("_g", "i", "origin"), ["_g", "i"], "left")
+        used = F.col("m") >= breaks
+        now = step.select("_g", "m", F.when(used, F.col("origin")).otherwise(F.col("i")).alias("i"))
+        ends = ends.unionByName(now.where(used))
+
+    order = Window.partitionBy("_g").orderBy("i")  # a handful of segments per series
+    at_end = ends.select("_g", "i").join(rows, ["_g", "i"]).withColumns(
+        {
+            "segment": F.row_number().over(order),
+            "_from": F.coalesce(F.lag("i").over(order), F.lit(0)) + 1,
+            "_before": F.coalesce(F.lag("s1").over(order), F.lit(0.0)),
+        }
+    )
+    starts = rows.select("_g", F.col("i").alias("_from"), F.col("_t").alias("from_t"))
+    points_in = F.col("i") - F.col("_from") + 1
+    return at_end.join(starts, ["_g", "_from"]).select(
+        *[F.col("_g")[c].alias(c) for c in by],
+        "segment",
+        "from_t",
+        F.col("_t").alias("to_t"),
+        points_in.alias("n_points"),
+        (F.col("_mu") + (F.col("s1") - F.col("_before")) / points_in).alias("mean"),
+    )
 
 
 def assign_segments(df: DataFrame, segments: DataFrame, by: list[str], at: Column, name: str = "segment") -> DataFrame:
@@ -94,7 +126,8 @@ def assign_segments(df: DataFrame, segments: DataFrame, by: list[str], at: Colum
 
     A segment reaches from its start up to the start of the next one, so no row is in two. The
     starts of a series travel as one short array: rows are not multiplied, and a hot series
-    is a hot key on the left side only.
+    is a hot key on the left side only. ``segments`` comes from ``mean_breakpoints``, which bounds the array by
+    its number of breaks.
     """
     starts = segments.groupBy(*by).agg(F.sort_array(F.collect_list("from_t")).alias("_starts"))
     found = attach(df.withColumn("_at", at), starts, by)

@@ -124,14 +124,21 @@ def with_halo(df: DataFrame, slot: str, reach: int, size: int = CHUNK) -> DataFr
     return copies.withColumn("_home", F.col("_chunk") == slot_chunk(slot, size))
 
 
-def running_count(chunked: DataFrame, by: list[str], order: list[str], flag: Column, name: str) -> DataFrame:
-    """Running number of rows with ``flag`` per group, for rows cut by ``range_chunks``."""
-    rows = chunked.withColumns({"_f": flag.cast("long"), "_key": chunk_key(by)})
+def running_sums(chunked: DataFrame, by: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """Running sums of several columns per group, for rows cut by ``range_chunks``."""
+    parts = list(enumerate(values.values()))
+    rows = chunked.withColumns({**{f"_f{k}": v for k, v in parts}, "_key": chunk_key(by)})
     inside = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = rows.withColumn("_l", F.sum("_f").over(inside))
-    sums = rows.groupBy("_key").agg(F.sum("_f").alias("_t"))
+    local = rows.withColumns({f"_l{k}": F.sum(f"_f{k}").over(inside) for k, _ in parts})
+    sums = rows.groupBy("_key").agg(*[F.sum(f"_f{k}").alias(f"_t{k}") for k, _ in parts])
     series = Window.partitionBy(*[F.col("_key")[c] for c in by]).orderBy(F.col("_key")["_chunk"])
     before = series.rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select("_key", F.sum("_t").over(before).alias("_c"))
-    total = F.col("_l") + F.coalesce(F.col("_c"), F.lit(0))
-    return join_carry(local, carry).select(*[c for c in chunked.columns if c != name], total.alias(name))
+    carry = sums.select("_key", *[F.sum(f"_t{k}").over(before).alias(f"_c{k}") for k, _ in parts])
+    total = lambda k: F.col(f"_l{k}") + F.coalesce(F.col(f"_c{k}"), F.lit(0))
+    kept = [c for c in chunked.columns if c not in values]
+    return join_carry(local, carry).select(*kept, *[total(k).alias(n) for k, n in enumerate(values)])
+
+
+def running_count(chunked: DataFrame, by: list[str], order: list[str], flag: Column, name: str) -> DataFrame:
+    """Running number of rows with ``flag`` per group, for rows cut by ``range_chunks``."""
+    return running_sums(chunked, by, order, {name: flag.cast("long")})

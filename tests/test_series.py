@@ -210,10 +210,21 @@ def test_breaks_match_brute_force(spark):
     assert placed.count() == len(rows)
 
 
-def test_too_long_a_series_is_refused(spark):
-    df = spark.range(breaks.MAX_POINTS + 1).select(F.lit("a").alias("k"), F.col("id").alias("slot"), F.lit(1.0).alias("x"))
-    with pytest.raises(Exception, match="coarser step"):
-        breaks.mean_breakpoints(df, ["k"], "slot", "x").collect()
+def test_breaks_of_a_long_series_and_of_four_points(spark):
+    n = 20_500
+    level = F.when(F.col("id") < 8_000, 0.0).when(F.col("id") < 14_000, 5.0).otherwise(-2.0)
+    noise = (F.pmod(F.xxhash64("id"), F.lit(1_000)) / 1_000).cast("double")
+    long = spark.range(n).select(F.lit("long").alias("k"), F.col("id").alias("slot"), (level + noise).alias("x"))
+    short = frame(spark, [("four", i, v) for i, v in enumerate([0.0, 0.1, 9.0, 9.1])] + [("two", 0, 1.0), ("two", 1, 5.0)])
+    out = breaks.mean_breakpoints(long.unionByName(short.select("k", "slot", "x")), ["k"], "slot", "x", max_breaks=2)
+    got = {}
+    for r in out.orderBy("k", "segment").collect():
+        got.setdefault(r.k, []).append((r.from_t, r.to_t, r.n_points))
+    assert got == {
+        "long": [(0, 7_999, 8_000), (8_000, 13_999, 6_000), (14_000, n - 1, 6_500)],
+        "four": [(0, 1, 2), (2, 3, 2)],
+        "two": [(0, 1, 2)],
+    }
 
 
 @pytest.mark.parametrize("size", [5, 4096])
