@@ -150,6 +150,58 @@ def abundance_m2(spark, folder):
     return rounded(catch.abundance_m2(ex, "date", "event", "velocity", "run_s", ["category"]), 4)
 
 
+@register(
+    "abundance_m2_curve",
+    f"""with {EXPANDED}, pe as (select category, date, event,
+      avg(cpue * ({BAY_WIDTH!r}e0 * {GEAR_DEPTH['RST']}e0 * velocity * run_s)) as ia
+      from exv where gear = 'RST' group by 1, 2, 3),
+    m as (select category, date, avg(ia) as ia from pe group by 1, 2),
+    f as (select c.category, days.date, coalesce(ia, 0) as ia from (select distinct category from m) c
+      cross join (select cast(unnest(generate_series(min(date), max(date), interval 1 day)) as date) as date from m) days
+      left join m on m.category is not distinct from c.category and m.date = days.date)
+    select category, date, {r('ia', 4)} as mean_ia, {r('sum(ia) over (partition by category order by date)', 2)} as running,
+      {r('sum(ia) over (partition by category order by date) / nullif(sum(ia) over (partition by category), 0)')} as cum_share from f""",
+)
+def abundance_m2_curve(spark, folder):
+    ex = expanded(spark, folder).where("gear = 'RST'")
+    daily = catch.abundance_m2(ex, "date", "event", "velocity", "run_s", ["category"])
+    return rounded(catch.season_curve(daily, "date", "mean_ia", ["category"]), mean_ia=4, running=2)
+
+
+@register(
+    "abundance_depth_totals",
+    f"""with {EXPANDED}, dd as (select depth_ft, sum(cpue * ({BAY_WIDTH!r}e0 * {_DEPTH} * velocity * run_s)) as x
+      from exv where gear <> 'IPT' group by 1)
+    select depth_ft, {r('x', 0)} as total, {r('x / sum(x) over ()')} as share from dd""",
+)
+def abundance_depth_totals(spark, folder):
+    ex = expanded(spark, folder).where("gear <> 'IPT'")
+    daily = catch.abundance_by_depth(ex, "date", "depth_ft", "velocity", "run_s", "gear")
+    return rounded(catch.depth_totals(daily, "depth_ft", "ia_depth"), total=0)
+
+
+@register(
+    "depth_scaled_shares",
+    f"""with {EXPANDED}, evv as (select ev.*, total / coalesce(v, {DEFAULTS}) as cpue from ev left join vol using (gear, run_s)),
+    a as (select date, depth_ft, sum(cpue * ({BAY_WIDTH!r}e0 * {_DEPTH} * ({_CURRENT}) * run_s)) as m4
+      from exv where gear <> 'IPT' group by 1, 2),
+    b as (select date, depth_ft, sum(cpue * case when depth_ft <> 0 then {GEAR_RATIO}e0 else 1 end
+      * ({BAY_WIDTH!r}e0 * {GEAR_DEPTH['RST']}e0 * ({_CURRENT}) * run_s)) as m5 from evv where gear <> 'IPT' group by 1, 2)
+    select date, depth_ft, {r('m4', 4)} as m4_total, {r('m4 / nullif(sum(m4) over (partition by date), 0)')} as m4_share,
+      {r('m5', 4)} as m5_total, {r('m5 / nullif(sum(m5) over (partition by date), 0)')} as m5_share
+    from a join b using (date, depth_ft)""",
+)
+def depth_scaled_shares(spark, folder):
+    unit = ["date", "depth_ft"]
+    ex, ev = (f(spark, folder).where("gear <> 'IPT'") for f in (expanded, events_with_cpue))
+    m4 = catch.abundance_m4(ex, "date", "depth_ft", "velocity", "run_s", "gear", by=["depth_ft"])
+    m5 = catch.abundance_m5(ev, "date", "depth_ft", "velocity", "run_s", by=["depth_ft"])
+    both = relate.join_keep_left(m4, m5, unit, "inner")
+    for m in ("m4", "m5"):
+        both = catch.share_small(both, f"{m}_total", ["date"], f"{m}_share")
+    return rounded(both, m4_total=4, m5_total=4)
+
+
 @register(
     "abundance_by_depth",
     f"""with {EXPANDED}, dd as (select date, depth_ft, sum(cpue * ({BAY_WIDTH!r}e0 * {_DEPTH} * velocity * run_s)) as x

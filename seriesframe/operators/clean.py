@@ -19,20 +19,22 @@ def clean(
 ) -> DataFrame:
     """One projection: rename, relabel, null out sentinels, cast leniently, flip signs, drop.
 
-    ``renames`` maps old to new names; the other arguments use the new names.
+    ``renames`` maps old to new names; the other arguments use the new names. Sentinels are nulled in
+    every column that is cast and in every text column.
     """
     out = df.withColumnsRenamed(renames or {})
     if drop:
         out = out.drop(*drop)
     casts, relabel, absolute = casts or {}, relabel or {}, absolute or []
     cols = {}
-    for name in dict.fromkeys([*relabel, *casts, *absolute]):
+    texts = [c for c, t in out.dtypes if t == "string"] if sentinels else []
+    for name in dict.fromkeys([*relabel, *casts, *absolute, *texts]):
         c = F.col(name)
         for old, new in relabel.get(name, {}).items():
             c = F.when(F.col(name) == old, F.lit(new)).otherwise(c)
+        if sentinels and (name in casts or name in texts):
+            c = blank_to_null(c, sentinels)
         if name in casts:
-            if sentinels:
-                c = blank_to_null(c, sentinels)
             c = lenient_cast(c, casts[name])
         if name in absolute:
             c = F.abs(c)

@@ -79,8 +79,12 @@ def impute_regression(df: DataFrame, by: list[str], y: str, x: str, name: str =
 
 
 def hash_uniform(*parts: Column | str) -> Column:
-    """Number in (0, 1) from an md5 of the parts: the same on every engine, task and retry."""
-    text = F.concat_ws("|", *[p if isinstance(p, Column) else F.col(p) for p in parts])
+    """Number in (0, 1) from an md5 of the parts: the same on every engine, task and retry.
+
+    A missing part counts as a text of its own, so it cannot be mistaken for another key pattern.
+    """
+    columns = [p if isinstance(p, Column) else F.col(p) for p in parts]
+    text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("\\N")) for c in columns])
     word = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
     return (word + F.lit(0.5)) / F.lit(4294967296.0)
 

@@ -17,7 +17,10 @@ from seriesframe.functions.semantics import safe_divide
 from seriesframe.functions.times import DAY_S
 from seriesframe.operators.clean import lookup
 from seriesframe.operators.relate import attach, join_full, join_keep_left
+from seriesframe.operators.running import cumulative_share, zero_fill
 from seriesframe.operators.summarise import share_small
+from seriesframe.sources.files import settle
+from seriesframe.sources.spines import day_spine, one_value
 
 
 def category_counts(specimens: DataFrame, keys: list[str], ids: list[str], name: str = "n_cat") -> DataFrame:
@@ -151,19 +154,36 @@ def abundance_by_depth(expanded: DataFrame, date: str, depth: str, velocity: str
 
 
 def abundance_m4(expanded: DataFrame, date: str, depth: str, velocity: str, seconds: str, gear: str,
-                 factors: dict[int, float] = CURRENT_SCALE) -> DataFrame:
-    """Daily totals with the current scaled down by depth."""
+                 factors: dict[int, float] = CURRENT_SCALE, by: list[str] | None = None) -> DataFrame:
+    """Daily totals with the current scaled down by depth; ``by`` (such as the depth) parts them further."""
     current = scaled_by_depth(velocity, depth, factors)
     ia = event_abundance(expanded, current, seconds, gear)
-    return ia.groupBy(date).agg(F.sum("ia").alias("m4_total"))
+    return ia.groupBy(date, *(by or [])).agg(F.sum("ia").alias("m4_total"))
 
 
 def abundance_m5(events: DataFrame, date: str, depth: str, velocity: str, seconds: str,
-                 ratio: float = GEAR_RATIO, factors: dict[int, float] = CURRENT_SCALE) -> DataFrame:
-    """Daily totals with catches below the surface raised to the surface gear."""
+                 ratio: float = GEAR_RATIO, factors: dict[int, float] = CURRENT_SCALE,
+                 by: list[str] | None = None) -> DataFrame:
+    """Daily totals with catches below the surface raised to the surface gear; ``by`` parts them further."""
     raised = F.when(F.col(depth) != 0, F.col("cpue") * ratio).otherwise(F.col("cpue"))
     ia = raised * swept_volume(scaled_by_depth(velocity, depth, factors), seconds, GEAR_DEPTH["RST"])
-    return events.withColumn("_ia", ia).groupBy(date).agg(F.sum("_ia").alias("m5_total"))
+    return events.withColumn("_ia", ia).groupBy(date, *(by or [])).agg(F.sum("_ia").alias("m5_total"))
+
+
+def season_curve(daily: DataFrame, date: str, value: str, by: list[str]) -> DataFrame:
+    """Every day of the season for each group: empty days as 0, running sum, and its part of the group's total.
+
+    ``daily`` has one row per group and date, so a group's window is bounded by the calendar.
+    """
+    daily = settle(daily.select(*by, date, value), "curve")
+    ends = {"_lo": one_value(daily, F.min(date)), "_hi": one_value(daily, F.max(date))}
+    spine = day_spine(daily.select(*by).distinct().withColumns(ends), "_lo", "_hi", date)
+    return cumulative_share(zero_fill(daily, date, [value], spine, by), date, value, by)
+
+
+def depth_totals(by_depth: DataFrame, depth: str, value: str) -> DataFrame:
+    """Season total per depth and its part of the whole; depths are a handful."""
+    return share_small(by_depth.groupBy(depth).agg(F.sum(value).alias("total")), "total", [])
 
 
 def surface_to_depth(events: DataFrame, unit: list[str], depth: str, value: str,
