@@ -11,7 +11,7 @@ from seriesframe.functions.semantics import collapse, safe_divide
 from seriesframe.operators import relate
 from seriesframe.operators.running import zero_fill
 from seriesframe.plans import catch
-from seriesframe.plans.sheets import IDS, discharge, event_base, event_sheet, series_events, specimen_sheet
+from seriesframe.plans.sheets import IDS, category_sums, discharge, event_base, event_sheet, series_events, specimen_sheet
 from seriesframe.plans.timing import compare_sites
 from seriesframe.sources.files import settle
 from seriesframe.sources.spines import day_spine, one_value
@@ -19,16 +19,21 @@ from seriesframe.sources.spines import day_spine, one_value
 QUERIES, SQL, register = registry()
 
 
-def expanded(spark, folder):
+def _expand(spark, folder, sums=None):
+    sums = category_sums(spark, folder) if sums is None else sums
+    counts = sums.where(F.col("category").isNotNull()).select("event", "category", "n_cat")
+    return catch.expand_counts(event_sheet(spark, folder, sums), counts, "event", "total", "released")
+
+
+def expanded(spark, folder, sums=None):
     """Expanded counts per event and category with volume and CPUE."""
-    ex = catch.expand_run(event_sheet(spark, folder), specimen_sheet(spark, folder), "event", "category", IDS, "total", "released")
-    ex = catch.with_volume(ex, "gear", "run_s")
+    ex = catch.with_volume(_expand(spark, folder, sums), "gear", "run_s")
     return ex.withColumn("cpue", safe_divide("n_exp", "fished_vol"))
 
 
-def events_with_cpue(spark, folder):
+def events_with_cpue(spark, folder, sums=None):
     """One row per event with volume and CPUE of its whole catch."""
-    ev = catch.with_volume(event_sheet(spark, folder), "gear", "run_s")
+    ev = catch.with_volume(event_sheet(spark, folder, sums), "gear", "run_s")
     return ev.withColumn("cpue", safe_divide("total", "fished_vol"))
 
 
@@ -45,7 +50,7 @@ _CURRENT = f"case depth_ft when 6 then velocity * {CURRENT_SCALE[6]}e0 when 12 t
       {r('n_exp')} as n_exp from ex""",
 )
 def subsample_expansion_run(spark, folder):
-    ex = catch.expand_run(event_sheet(spark, folder), specimen_sheet(spark, folder), "event", "category", IDS, "total", "released")
+    ex = _expand(spark, folder)
     return rounded(ex.select("event", "category", "total", "released", "n_cat", "propn_obs", "n_exp"))
 
 
@@ -193,7 +198,8 @@ def abundance_depth_totals(spark, folder):
 )
 def depth_scaled_shares(spark, folder):
     unit = ["date", "depth_ft"]
-    ex, ev = (f(spark, folder).where("gear <> 'IPT'") for f in (expanded, events_with_cpue))
+    sums = category_sums(spark, folder)
+    ex, ev = (f(spark, folder, sums).where("gear <> 'IPT'") for f in (expanded, events_with_cpue))
     m4 = catch.abundance_m4(ex, "date", "depth_ft", "velocity", "run_s", "gear", by=["depth_ft"])
     m5 = catch.abundance_m5(ev, "date", "depth_ft", "velocity", "run_s", by=["depth_ft"])
     both = relate.join_keep_left(m4, m5, unit, "inner")
@@ -222,8 +228,10 @@ def abundance_by_depth(spark, folder):
     select date, {r('m4', 4)} as m4_total, {r('m5', 4)} as m5_total from a join b using (date)""",
 )
 def depth_scaled(spark, folder):
-    m4 = catch.abundance_m4(expanded(spark, folder).where("gear <> 'IPT'"), "date", "depth_ft", "velocity", "run_s", "gear")
-    m5 = catch.abundance_m5(events_with_cpue(spark, folder).where("gear <> 'IPT'"), "date", "depth_ft", "velocity", "run_s")
+    sums = category_sums(spark, folder)
+    ex, ev = (f(spark, folder, sums).where("gear <> 'IPT'") for f in (expanded, events_with_cpue))
+    m4 = catch.abundance_m4(ex, "date", "depth_ft", "velocity", "run_s", "gear")
+    m5 = catch.abundance_m5(ev, "date", "depth_ft", "velocity", "run_s")
     return rounded(relate.join_keep_left(m4, m5, ["date"], "inner"), 4)
 
 

@@ -10,6 +10,7 @@ from seriesframe.operators import relate, summarise as op
 from seriesframe.operators.grid import densify
 from seriesframe.operators.median import grouped_median
 from seriesframe.plans.sheets import IDS, event_base, series_events, specimen_sheet, table
+from seriesframe.sources.files import settle
 
 QUERIES, SQL, register = registry()
 
@@ -243,13 +244,17 @@ def group_argmax_ties(spark, folder):
 def having_topk(spark, folder):
     part = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     lines = table(spark, folder, "lineitem").withColumnRenamed("l_returnflag", "category")
-    rev = relate.join_keep_left(lines, part, ["l_partkey"], "inner").withColumn(
-        "x", F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    rev = relate.join_keep_left(lines, part, ["l_partkey"], "inner")
+    # Lines are joined and summed once; brands are ranked from the sums.
+    sums = rev.groupBy("p_brand", "category").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("l_quantity").alias("qty"),
+        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("x"),
     )
+    sums = settle(sums, "sums")
     # The list of winners has k rows, so it is broadcast.
-    top = F.broadcast(op.top_categories(rev, "p_brand", "x", 5, above=19).select("p_brand"))
-    kept = relate.join_keep_left(rev, top, ["p_brand"], "left_semi")
-    return rounded(kept.groupBy("p_brand", "category").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("qty")), 2)
+    top = F.broadcast(op.top_categories(sums, "p_brand", "x", 5, above=19).select("p_brand"))
+    return rounded(relate.join_keep_left(sums, top, ["p_brand"], "left_semi").drop("x"), 2)
 
 
 @register(

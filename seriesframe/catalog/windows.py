@@ -8,6 +8,7 @@ from seriesframe.catalog.common import EV_BASE, SPEC, daily_sql, r, registry, ro
 from seriesframe.operators import relate, running, summarise
 from seriesframe.plans.sheets import daily_series, event_base, specimen_sheet
 from seriesframe.plans.timing import run_timing as timing
+from seriesframe.sources.files import settle
 
 QUERIES, SQL, register = registry()
 
@@ -34,7 +35,9 @@ def daily_catch(spark, folder):
       {r('n / sum(n) over ()', 10)} as season_share from d""",
 )
 def share_of_group(spark, folder):
-    d = summarise.share(daily_catch(spark, folder), "n", ["date"], "day_share")
+    # Written once: the day's and the season's totals are read from it. A day has a handful of categories.
+    d = settle(daily_catch(spark, folder), "daily")
+    d = summarise.share_small(d, "n", ["date"], "day_share")
     out = summarise.share(d, "n", [], "season_share").select("date", "category", "n", "day_share", "season_share")
     return rounded(out, n=2, season_share=10)
 

@@ -10,6 +10,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesframe.operators.relate import attach
+from seriesframe.sources.files import settle
 
 
 def _aic(n: Column, rss: Column, k: int) -> Column:
@@ -118,6 +119,7 @@ def pairwise_means(df: DataFrame, y: str, g: str) -> DataFrame:
     groups = df.where(F.col(y).isNotNull() & F.col(g).isNotNull()).groupBy(g).agg(
         F.count(y).cast("double").alias("n"), F.avg(y).alias("m"), F.var_pop(y).alias("v")
     )
+    groups = settle(groups, "groups")
     pooled = groups.agg(
         (F.sum(F.col("n") * F.col("v")) / (F.sum("n") - F.count(F.lit(1)))).alias("_ms")
     )

@@ -38,7 +38,11 @@ def expand_run(
     sampled, or no category) the event total stands.
     """
     known = specimens.where(F.col(category).isNotNull())
-    counts = category_counts(known, [event, category], ids)
+    return expand_counts(events, category_counts(known, [event, category], ids), event, total, released)
+
+
+def expand_counts(events: DataFrame, counts: DataFrame, event: str, total: str, released: str) -> DataFrame:
+    """``expand_run`` for counts (``n_cat``) that exist already, one row per event and category."""
     out = join_keep_left(events, counts, [event])
     out = out.withColumn("propn_obs", safe_divide(F.col("n_cat"), F.col(total) - F.col(released)))
     expanded = F.col("n_cat") + F.col(released) * F.col("propn_obs")

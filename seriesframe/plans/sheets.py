@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seriesframe.operators.grid import densify
 from seriesframe.operators.relate import join_keep_left
+from seriesframe.sources.files import settle
 
 IDS = ["l_partkey", "l_linenumber"]
 STEP_S = 600
@@ -47,10 +48,25 @@ def specimen_sheet(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def event_sheet(spark: SparkSession, folder: str) -> DataFrame:
+def category_sums(spark: SparkSession, folder: str) -> DataFrame:
+    """Specimens, distinct specimens and velocity sums per event and category.
+
+    This is the one pass over the specimens; events and categories are both read from it.
+    """
+    sums = specimen_sheet(spark, folder).groupBy("event", "category").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("velocity").alias("velocity_sum"),
+        F.count("velocity").alias("velocity_n"),
+        F.countDistinct(*IDS).alias("n_cat"),
+    )
+    return settle(sums, "category_sums")
+
+
+def event_sheet(spark: SparkSession, folder: str, sums: DataFrame | None = None) -> DataFrame:
     """One row per event: total (specimens plus released) and mean velocity."""
-    per_event = specimen_sheet(spark, folder).groupBy("event").agg(
-        F.count(F.lit(1)).alias("_n"), F.avg("velocity").alias("velocity")
+    sums = category_sums(spark, folder) if sums is None else sums
+    per_event = sums.groupBy("event").agg(
+        F.sum("n").alias("_n"), F.try_divide(F.sum("velocity_sum"), F.sum("velocity_n")).alias("velocity")
     )
     out = join_keep_left(event_base(spark, folder), per_event, ["event"])
     return out.withColumn("total", F.coalesce(F.col("_n"), F.lit(0)) + F.col("released")).drop("_n")
