@@ -14,9 +14,9 @@ from seriesframe.sources.files import settle
 
 #: Independent chunkings, lines a rolling hash spans, and one line in so many ends a chunk.
 LAYERS, WINDOW, DIVISOR = 6, 1, 2
-#: A chunk counts from so many lines and words on. A match is carried on over equal lines on both sides, in steps of
-#: so many lines that travel with a chunk.
-LEAST_LINES, LEAST_WORDS, AROUND = 2, 10, 8
+#: A chunk counts from so many lines and words on. A match is carried on over up to so many lines on both sides whose
+#: 128-bit digests are equal; the digests travel with the chunk.
+LEAST_LINES, LEAST_WORDS, AROUND = 2, 10, 16
 
 
 def cuts(hashes: np.ndarray, layer: int) -> np.ndarray:
@@ -43,7 +43,11 @@ def _lines(text: bytes | None) -> list[bytes]:
     return text.split(b"\n") if text else []
 
 
-def chunks(lines: list[bytes]) -> list[tuple[bytes, int, int]]:
+def chunk_hash(line_hashes: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(line_hashes.tobytes())).astype(np.int64))
+
+
+def chunks(lines: list[bytes]) -> list[tuple[int, int, int]]:
     """(hash, first line, number of lines) of all chunks that count, each once."""
     if len(lines) < LEAST_LINES:
         return []
@@ -56,10 +60,10 @@ def chunks(lines: list[bytes]) -> list[tuple[bytes, int, int]]:
             if end - start >= LEAST_LINES and words[end] - words[start] >= LEAST_WORDS:
                 found.add((start, end - start))
             start = end
-    return [(xxhash.xxh3_128_digest(hashes[s : s + n].tobytes()), s, n) for s, n in sorted(found)]
+    return [(chunk_hash(hashes[s : s + n]), s, n) for s, n in sorted(found)]
 
 
-CHUNKS = pa.list_(pa.struct([("chunk", pa.binary()), ("start", pa.int32()), ("n", pa.int32())]))
+CHUNKS = pa.list_(pa.struct([("chunk", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]))
 
 
 def _chunker() -> Callable:
@@ -71,7 +75,21 @@ def _chunker() -> Callable:
     return cut
 
 
-EXTRACT = "chunk binary, doc_id long, start int, n int, own boolean, before array<binary>, body binary, after array<binary>"
+EXTRACT = "chunk long, doc_id long, start int, n int, own boolean, before binary, body binary, after binary"
+
+
+def _digests(lines: list[bytes]) -> bytes:
+    return b"".join(map(xxhash.xxh3_128_digest, lines))
+
+
+def _needed(wanted: list[dict]) -> list[dict]:
+    """First copies, and of the other chunks those that lie in no longer one: that one covers their lines."""
+    out, reached = [w for w in wanted if w["own"]], -1
+    for w in sorted((w for w in wanted if not w["own"]), key=lambda w: (w["start"], -w["n"])):
+        if w["start"] + w["n"] > reached:
+            reached = w["start"] + w["n"]
+            out.append(w)
+    return out
 
 
 def _extractor() -> Callable:
@@ -82,18 +100,24 @@ def _extractor() -> Callable:
             for doc_id, text, wanted in zip(batch.column(0).to_pylist(), texts_of(batch), batch.column(2).to_pylist()):
                 lines = _lines(text)
                 have = {(s, n): h for h, s, n in chunks(lines)}
-                for w in wanted:
+                for w in _needed(wanted):
                     s, n = w["start"], w["n"]
                     if have.get((s, n)) == w["chunk"]:  # rows that repeat an id can have other lines
-                        rows.append({**w, "doc_id": doc_id, "before": lines[max(0, s - AROUND) : s][::-1],
-                                     "body": b"\n".join(lines[s : s + n]), "after": lines[s + n : s + n + AROUND]})
+                        rows.append({**w, "doc_id": doc_id, "before": _digests(lines[max(0, s - AROUND) : s][::-1]),
+                                     "body": b"\n".join(lines[s : s + n]), "after": _digests(lines[s + n : s + n + AROUND])})
             names = ("chunk", "doc_id", "start", "n", "own", "before", "body", "after")
-            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.binary()), pa.binary(), pa.list_(pa.binary()))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in zip(names, kinds)], names=list(names))
 
     return extract
 
 
+def _alike(x: bytes, y: bytes) -> int:
+    """Leading digests that two rows of digests share."""
+    n = min(len(x), len(y)) // 16
+    return next((k for k in range(n) if x[16 * k : 16 * k + 16] != y[16 * k : 16 * k + 16]), n)
+
+
 def _comparer() -> Callable:
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Lines that a later copy shares with the first one: the chunk, if its bytes are equal, and equal lines around it."""
@@ -102,8 +126,7 @@ def _comparer() -> Callable:
             for r in batch.to_pylist():
                 if r["body"] != r["first_body"]:
                     continue
-                up = next((k for k, (x, y) in enumerate(zip(r["before"], r["first_before"])) if x != y), min(len(r["before"]), len(r["first_before"])))
-                down = next((k for k, (x, y) in enumerate(zip(r["after"], r["first_after"])) if x != y), min(len(r["after"]), len(r["first_after"])))
+                up, down = _alike(r["before"], r["first_before"]), _alike(r["after"], r["first_after"])
                 for c, v in zip(out, (r["doc_id"], r["start"] - up, r["n"] + up + down, r["start"])):
                     c.append(v)
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
@@ -120,7 +143,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     the comparison joins copies to one first copy, and skew handling splits the copies.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
-    found = docs.mapInArrow(_chunker(), "doc_id long, chunks array<struct<chunk:binary,start:int,n:int>>").select(
+    found = docs.mapInArrow(_chunker(), "doc_id long, chunks array<struct<chunk:long,start:int,n:int>>").select(
         "doc_id", F.inline("chunks")
     )
     found = settle(found, "chunks")
@@ -130,7 +153,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     wanted = found.join(repeated, "chunk").select(
         "doc_id", "chunk", "start", "n", ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))).alias("own")
     )
-    wanted = wanted.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("chunk", "start", "n", "own")).alias("wanted"))
+    wanted = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("chunk", "start", "n", "own")).alias("wanted"))
     extracts = settle(docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_extractor(), EXTRACT), "extracts")
     first = (
         extracts.filter("own")
