@@ -244,6 +244,30 @@ def impute_norm_noise(spark, folder):
     return rounded(out.select("series", "t", "m", "filled"))
 
 
+def _normal_sql(*parts: str) -> str:
+    r, a = (_uniform_sql(*parts, f"'{x}'") for x in "ra")
+    return f"(sqrt(-2 * ln({r})) * cos(2 * pi() * {a}))"
+
+
+@register(
+    "impute_norm_drawn",
+    f"""with {grid_sql()}, {_GX}, {_FIT}, mm as (select unnest(generate_series(1, 5)) as m),
+    mo as (select series, count(*) as n, avg(slot) as mx, avg(value) as my, regr_sxx(value, slot) as sxx from gx
+      where value is not null group by 1),
+    dr as (select *, s * sqrt((n - 2) / greatest((n - 2) * power(1 - 2.0e0 / (9 * (n - 2))
+      + {_normal_sql('series', 'm', "'1'", "'v'")} * sqrt(2.0e0 / (9 * (n - 2))), 3), 1e-9)) as sd
+      from fit join mo using (series), mm),
+    pa as (select *, b + {_normal_sql('series', 'm', "'1'", "'b'")} * sd / sqrt(sxx) as slope,
+      my + {_normal_sql('series', 'm', "'1'", "'c'")} * sd / sqrt(n) as level from dr)
+    select series, t, cast(m as int) as m,
+      {r(f"coalesce(value, level + slope * (slot - mx) + sd * {_normal_sql('series', 'slot', 'm', chr(39) + '1' + chr(39))})", 5)} as filled
+    from gx join pa using (series)""",
+)
+def impute_norm_drawn(spark, folder):
+    out = impute.impute_norm_drawn(_indexed(spark, folder), BY, "value", "slot", "slot")
+    return rounded(out.select("series", "t", "m", "filled"), 5)
+
+
 _PMM = f"""{_GX}, {_FIT}, pr as (select gx.*, a + b * slot as pred from gx join fit using (series)),
 rk as (select *, sum(case when value is not null then 1 else 0 end) over (partition by series order by pred, slot) as rnk from pr),
 dn as (select series, rnk, pred as dp, value as dy from rk where value is not null),

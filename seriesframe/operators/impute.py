@@ -89,6 +89,45 @@ def hash_uniform(*parts: Column | str) -> Column:
     return (word + F.lit(0.5)) / F.lit(4294967296.0)
 
 
+def hash_normal(*parts: Column | str) -> Column:
+    """Standard normal number from two hashed uniforms: the same on every engine, task and retry."""
+    radius = F.sqrt(-2 * F.log(hash_uniform(*parts, F.lit("r"))))
+    return radius * F.cos(2 * math.pi * hash_uniform(*parts, F.lit("a")))
+
+
+def impute_norm_drawn(
+    df: DataFrame, by: list[str], y: str, x: str, row_id: str, m: int = 5, seed: int = 1, name: str = "filled"
+) -> DataFrame:
+    """``m`` completed copies, each from a regression of its own: variance, slope and level are drawn from their posterior.
+
+    The residual variance is the estimate times k / chi-square(k), k = n - 2, the chi-square number from a normal one by
+    the cube-root approximation; slope and mean level are drawn around their estimates with that variance. So
+    the copies differ by what is not known about the line, too, and pooling sees it.
+    """
+    known = F.col(y).isNotNull() & F.col(x).isNotNull()
+    more = df.where(known).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), F.avg(x).alias("_mx"), F.avg(y).alias("_my"), F.regr_sxx(y, x).alias("_sxx")
+    )
+    fits = attach(regression_stats(df, by, y, x), more, by)
+    fits = fits.withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(m))))
+    group = [*by, "m", F.lit(str(seed))]
+    k = F.col("_n") - 2
+    spread = F.lit(2.0) / (9 * k)
+    chi = k * F.pow(1 - spread + hash_normal(*group, F.lit("v")) * F.sqrt(spread), F.lit(3.0))
+    fits = fits.withColumn("_sd", F.when(k > 0, F.col("_s") * F.sqrt(k / F.greatest(chi, F.lit(1e-9)))))
+    fits = fits.withColumns(
+        {
+            "_slope": F.col("_b") + hash_normal(*group, F.lit("b")) * F.try_divide(F.col("_sd"), F.sqrt("_sxx")),
+            "_level": F.col("_my") + hash_normal(*group, F.lit("c")) * F.col("_sd") / F.sqrt("_n"),
+        }
+    ).select(*by, "m", "_sd", "_slope", "_level", "_mx")
+    copies = df.withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(m))))
+    out = attach(copies, fits, [*by, "m"])
+    noise = hash_normal(*by, row_id, "m", F.lit(str(seed)))
+    drawn = F.col("_level") + F.col("_slope") * (F.col(x) - F.col("_mx")) + F.col("_sd") * noise
+    return out.withColumn(name, F.coalesce(F.col(y), drawn)).drop("_sd", "_slope", "_level", "_mx")
+
+
 def impute_norm(
     df: DataFrame, by: list[str], y: str, x: str, row_id: str, m: int = 5, seed: int = 1, name: str = "filled"
 ) -> DataFrame:
@@ -96,8 +135,7 @@ def impute_norm(
     out = attach(df, regression_stats(df, by, y, x), by)
     out = out.withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(m))))
     key = [*[F.col(c).cast("string") for c in [*by, row_id, "m"]], F.lit(str(seed))]
-    radius = F.sqrt(-2 * F.log(hash_uniform(*key, F.lit("r"))))
-    noise = radius * F.cos(2 * math.pi * hash_uniform(*key, F.lit("a")))
+    noise = hash_normal(*key)
     drawn = F.col("_a") + F.col("_b") * F.col(x) + F.col("_s") * noise
     return out.withColumn(name, F.coalesce(F.col(y), drawn)).drop("_a", "_b", "_s")
 

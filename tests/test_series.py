@@ -176,6 +176,18 @@ def test_noise_is_seeded_and_centred(spark):
     assert math.isclose(same, out.agg(F.sum("filled")).first()[0], rel_tol=1e-12)
 
 
+def test_drawn_lines_differ_between_copies(spark):
+    rows = [("a", i, float(i % 10), None if i % 2 else float(i % 10) * 2 + (i % 7) - 3) for i in range(2000)]
+    rows += [("tiny", 0, 1.0, 2.0), ("tiny", 1, 2.0, None)]
+    df = spark.createDataFrame(rows, "k string, id long, z double, y double")
+    out = impute.impute_norm_drawn(df, ["k"], "y", "z", "id", m=40, seed=4)
+    per_copy = out.where("y is null and k = 'a'").groupBy("m").agg(F.avg(F.col("filled") - 2 * F.col("z")).alias("d")).toPandas()["d"]
+    assert len(per_copy) == 40 and abs(per_copy.mean()) < 0.1
+    # 1,000 observed and 1,000 drawn rows of standard deviation 2: the mean moves by the level's error and the noise.
+    assert 0.05 < per_copy.std() < 0.14
+    assert out.where("k = 'tiny' and y is null and filled is null").count() == 40
+
+
 def brute_breaks(x, max_breaks, h=0.15):
     n, short = len(x), max(int(len(x) * h), 2)
     rss = lambda a, b: float(((x[a:b] - x[a:b].mean()) ** 2).sum())
