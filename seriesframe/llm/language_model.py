@@ -266,7 +266,9 @@ def trained(encoded: DataFrame, unigrams: Unigrams) -> Chain:
     spark = encoded.sparkSession
     base = 10**unigrams.logs
     train = encoded.filter("not held_out").select("classes")
-    by_hash = encoded.filter("not held_out").orderBy(F.xxhash64("classes"), "classes").select("classes").limit(START_TEXTS)
+    texts = train.count()
+    drawn = F.pmod(F.xxhash64("classes"), F.lit(2**40)) < 2**40 * min(1.0, 4 * START_TEXTS / max(texts, 1))
+    by_hash = train.filter(drawn).orderBy(F.xxhash64("classes"), "classes").limit(START_TEXTS)
     sample = [np.frombuffer(r.classes, np.uint16).astype(np.int64) for r in by_hash.collect()]
     chain = start_chain(base, sample)
     columns = [f"s{s}" for s in range(STATES)]
@@ -282,6 +284,16 @@ def trained(encoded: DataFrame, unigrams: Unigrams) -> Chain:
     return chain
 
 
+def _most_frequent(counts: DataFrame) -> list:
+    """The OWN most frequent codes. Counts per octave sixteenth give a floor first, so that no more than these and the
+    codes just under them are sorted and sent to the driver, from however many partitions."""
+    octave = F.floor(F.log2("c") * 16)
+    sizes = sorted(((r.o, r["count"]) for r in counts.groupBy(octave.alias("o")).count().collect()), reverse=True)
+    reached = np.cumsum([n for _, n in sizes])
+    floor = sizes[min(int(np.searchsorted(reached, OWN)), len(sizes) - 1)][0] if sizes else 0
+    return counts.filter(octave >= floor).orderBy(F.desc("c"), "code").limit(OWN).collect()
+
+
 def _scorer(shared) -> Callable:
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = received(shared)
@@ -312,7 +324,7 @@ def scores(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = settle(docs.mapInArrow(_counter(), "code long, n long").groupBy("code").agg(F.sum("n").alias("c")), "counts")
     tokens, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "code").limit(OWN).collect()
+    top = _most_frequent(counts)
     own = {r.code: k for k, r in enumerate(top)}
     last = (top[-1].c, top[-1].code) if top else (0, 0)
     others = counts.filter((F.col("c") < last[0]) | ((F.col("c") == last[0]) & (F.col("code") > last[1])))
