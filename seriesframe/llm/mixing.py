@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from seriesframe.sources.files import settle
 
 #: Rows of one running sum; larger sources get more chunks.
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 4_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
