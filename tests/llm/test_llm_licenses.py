@@ -76,3 +76,27 @@ def test_sliding_minimum():
     x = np.random.default_rng(0).integers(0, 100, 50)
     for width in (1, 2, 3, 7, 16, 50):
         assert licenses.Scanner._sliding(x, width).tolist() == [x[k : k + width].min() for k in range(51 - width)]
+
+
+def test_texts_and_wordings_of_licenses(spark, odd_rows):
+    """None of these is a line of the tables: full texts with marks of comments, headers, names in other words, tags."""
+    filler = next(t for _, t in [(r[0], r[1]) for r in odd_rows] if t and 20 < len(t.split()) < 100)
+    full = dict(licenses.full_texts())
+    cases = [(f"{name}.", filler + "\n" + "\n".join(" * " + x for x in full[name].split("\n")), {name}) for name in ("MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "ISC")]
+    cases += [
+        ("bare", "Copyright Somebody, all rights reserved", {"LicenseRef-all-rights-reserved"}),
+        ("quoted", "It is “Released under the MIT License”, so use it", {"MIT"}),
+        ("words", "You may use this code under the terms of the Mozilla Public License 2.0 only", {"MPL-2.0"}),
+        ("gpl", "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as\n"
+                "# published by the Free Software Foundation; either version 2 of the\n# License, or (at your option) any later version.", {"GPL-2.0", "LicenseRef-GPL"}),
+        ("tag", "x = 1  # SPDX-License-Identifier: (mit OR Apache-2.0) AND GPL-2.0-only WITH Classpath-exception-2.0\ny = 2", {"MIT", "Apache-2.0", "GPL-2.0"}),
+        ("other tag", "// SPDX-License-Identifier: OFL-1.1\n", {"OFL-1.1"}),
+        ("none", filler + " The license of my car is under the seat, and rights are reserved.", set()),
+    ]
+    frame = spark.createDataFrame([(k, text) for k, (_, text, _) in enumerate(cases)], "doc_id long, text string")
+    rows = licenses.license_matches(frame).collect()
+    got = [{r.license for r in rows if r.doc_id == k} for k in range(len(cases))]
+    for (name, _, want), have in zip(cases, got):
+        assert (want <= have) if name.endswith(".") else want == have, (name, have)
+    assert len({(r.doc_id, r.license) for r in rows}) == len(rows)
+    assert next(r.first_word for r in rows if r.doc_id == 10) == 4
