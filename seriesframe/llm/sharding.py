@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seriesframe.sources.files import settle
 
@@ -10,6 +10,8 @@ from seriesframe.sources.files import settle
 BUCKET_ROWS = 20_000
 #: Equal rows beyond this number are spread over the tasks before they are unfolded.
 SPREAD_COPIES = 1_000_000
+#: Column for the hash of a whole row.
+KEY = "_row_key"
 
 
 def shuffled_slots(docs: DataFrame, shards: int = 24, seed: int = 8) -> DataFrame:
@@ -30,7 +32,14 @@ def shuffled_slots(docs: DataFrame, shards: int = 24, seed: int = 8) -> DataFram
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.encode("text", "utf-8")).alias("text_crc32"),
     )
-    kinds = settle(rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies")), "kinds")
+    return _placed(rows, ["doc_id", "size", "text_crc32"], shards, seed).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def _placed(rows: DataFrame, keys: list[str], shards: int, seed: int) -> DataFrame:
+    """One row per row of ``rows``: its ``keys``, ``shard`` and ``slot``."""
+    kinds = settle(rows.groupBy(*keys).agg(F.count("*").alias("copies")), "kinds")
     total, most = kinds.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0))).first()
     if most > SPREAD_COPIES:
         part = F.col("part") * F.lit(SPREAD_COPIES)
@@ -38,49 +47,55 @@ def shuffled_slots(docs: DataFrame, shards: int = 24, seed: int = 8) -> DataFram
             kinds.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / SPREAD_COPIES))))
             .withColumn("first", part + 1)
             .withColumn("last", F.least("copies", part + SPREAD_COPIES))
-            .repartition(F.xxhash64("doc_id", "size", "text_crc32", "part"))
+            .repartition(F.xxhash64(*keys, "part"))
         )
     else:
         kinds = kinds.select("*", F.lit(1).cast("long").alias("first"), F.col("copies").alias("last"))
     buckets = max(1, -(-total // BUCKET_ROWS))
-    records = kinds.select("doc_id", "size", "text_crc32", F.explode(F.sequence("first", "last")).alias("copy"))
-    records = records.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32", "copy"))
-    records = settle(
-        records.select(F.pmod("h", F.lit(buckets)).cast("int").alias("bucket"), "h", "doc_id", "size", "text_crc32"), "scattered"
-    )
+    records = kinds.select(*keys, F.explode(F.sequence("first", "last")).alias("copy"))
+    records = records.withColumn("h", F.xxhash64(F.lit(seed), *keys, "copy"))
+    records = settle(records.select(F.pmod("h", F.lit(buckets)).cast("int").alias("bucket"), "h", *keys), "scattered")
     counts = records.groupBy("bucket").agg(F.count("*").alias("rows"))
     offsets = counts.select("bucket", (F.sum("rows").over(Window.orderBy("bucket")) - F.col("rows")).alias("offset"))
     gathered = (
         records.repartition(buckets, "bucket")
         .groupBy("bucket")
-        .agg(F.sort_array(F.collect_list(F.struct("h", "doc_id", "size", "text_crc32"))).alias("records"))
+        .agg(F.sort_array(F.collect_list(F.struct("h", *keys))).alias("records"))
         .sortWithinPartitions("bucket")
     )
     placed = gathered.select("bucket", F.posexplode(F.shuffle("records", F.lit(seed))).alias("place", "record"))
     position = F.col("offset") + F.col("place")
     return placed.join(offsets, "bucket").select(
-        "record.doc_id",
-        "record.size",
-        "record.text_crc32",
-        F.lit("rows").alias("law"),
+        *[f"record.{k}" for k in keys],
         F.pmod(position, F.lit(shards)).cast("int").alias("shard"),
         F.floor(position / shards).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """256-bit hash of all columns. Strings enter by the hash of their bytes, the rest as JSON in full precision."""
+    values = []
+    for k, f in enumerate(docs.schema.fields):
+        c = docs[f"`{f.name}`"]
+        kind = f.dataType.typeName()
+        if kind in ("string", "varchar", "char", "binary"):
+            c = F.sha2(c.cast("binary"), 256)
+        values.append(c.alias(f"c{k}"))
+    options = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    return F.unhex(F.sha2(F.to_json(F.struct(*values), options).cast("binary"), 256))
+
+
+
 def sharded_documents(docs: DataFrame, shards: int = 24, seed: int = 8) -> DataFrame:
-    """The records themselves with ``shard`` and ``slot``: the plan above, joined to one copy of each record.
+    """The records themselves with ``shard`` and ``slot``, placed as in the plan above by a hash of all columns, so only rows
+    that are equal in every column stand for each other.
 
     Columns of ``docs`` named ``shard`` or ``slot`` are replaced.
     """
-    slots = shuffled_slots(docs, shards, seed)
-    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long")
-    keyed = docs.drop("shard", "slot").select(
-        "*", F.xxhash64(F.col("doc_id").cast("long"), size, F.crc32(F.encode("text", "utf-8"))).alias("record_key")
-    )
-    slots = slots.select(F.xxhash64("doc_id", "size", "text_crc32").alias("record_key"), "shard", "slot")
-    return slots.join(keyed.dropDuplicates(["record_key"]), "record_key").drop("record_key")
+    docs = docs.drop("shard", "slot")
+    keyed = docs.select("*", _row_key(docs).alias(KEY))
+    placed = _placed(keyed.select(KEY), [KEY], shards, seed)
+    return placed.join(keyed.dropDuplicates([KEY]), KEY).select(*[f"`{c}`" for c in docs.columns], "shard", "slot")
 
 
 def write_shards(docs: DataFrame, folder: str, shards: int = 24, seed: int = 8) -> None:

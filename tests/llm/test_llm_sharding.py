@@ -58,3 +58,19 @@ def test_records_and_files(spark, odd_docs, odd_rows, tmp_path, no_docs):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == len(odd_rows) and sorted(p.name for p in (tmp_path / "out").glob("shard=*")) == ["shard=0", "shard=1", "shard=2"]
     assert sharding.shuffled_slots(no_docs).collect() == [] and sharding.sharded_documents(no_docs).collect() == []
+
+
+def test_rows_that_share_id_size_and_checksum_stay_apart(spark):
+    """Equal texts with other sources, and two texts of equal size and checksum, with null ids and with one id."""
+    seen = {}
+    for k in range(2_000_000):
+        text = f"{k * 2_654_435_761 % 2**32:08x}{k:08x}"
+        other = seen.setdefault(zlib.crc32(text.encode()), text)
+        if other != text:
+            break
+    assert other != text and zlib.crc32(other.encode()) == zlib.crc32(text.encode())
+    rows = [(i, t, s, x) for i in (None, 7) for t, s, x in ((text, "a", 0.5), (text, "b", 0.5), (text, None, None), (other, "a", 0.5), (other, "a", 0.5), (None, "a", -0.0), (None, "a", 0.0))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, x double").selectExpr("*", "array(source, null) as more", "map('k', x) as m")
+    out = sharding.sharded_documents(docs, 3)
+    assert out.columns == [*docs.columns, "shard", "slot"]
+    assert Counter((r.doc_id, r.text, r.source, str(r.x)) for r in out.collect()) == Counter((i, t, s, str(x)) for i, t, s, x in rows)
