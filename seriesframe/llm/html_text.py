@@ -23,9 +23,12 @@ BLOCK = frozenset(
     "form h1 h2 h3 h4 h5 h6 head header hr html label legend li main nav ol option p pre section select summary table tbody td "
     "textarea tfoot th thead tr ul".split()
 )
-UNSEEN = frozenset("script style noscript template head title svg iframe object canvas math".split())
+UNSEEN = frozenset("script style noscript template head title svg iframe canvas annotation annotation-xml".split())
+#: What a head can hold; any other element, and text, is the body's.
+HEAD = frozenset("base basefont bgsound link meta title style script noscript template noframes head html".split())
 #: What a new block ends if it is still open.
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_ROWS = {"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}
+ENDS = {"thead": _ROWS, "tbody": _ROWS, "tfoot": _ROWS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 PIECES = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|iframe)\b(?P<rawattrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>(?P<body>.*?)(?:</(?P=raw)\s*>|\Z)"
@@ -64,12 +67,30 @@ def _names(attrs: str) -> str:
 
 
 def blocks_of(page: str | None) -> list[Block]:
-    """Blocks of visible text in page order. Broken markup is read leniently: missing ends are added, stray ones ignored."""
-    page, out, stack, at = page or "", [], [], 0
+    """Blocks of visible text in page order. Broken markup is read leniently: missing ends are added, stray ones ignored.
+
+    Text and elements of the body end a head that is still open. Unseen elements without an end of their own hide what
+    follows only up to the next block; which these are shows when the page has been read once.
+    """
+    out, unended = _walk(page or "", frozenset())
+    return _walk(page or "", unended)[0] if unended else out
+
+
+def _walk(page: str, unended: frozenset[int]) -> tuple[list[Block], frozenset[int]]:
+    """Blocks, and where the unseen elements start that something else than their own end tag ended."""
+    out, stack, at = [], [], 0
     current: Block | None = None
+    open_at: list[int] = []  # beside the stack: where its elements start
+    lost: set[int] = set()
+
+    def cut(k: int) -> None:
+        lost.update(o for (t, _), o in zip(stack[k:], open_at[k:]) if t in UNSEEN and t != "head")
+        del stack[k:], open_at[k:]
 
     def say(text: str) -> None:
         nonlocal current
+        if stack and stack[-1][0] == "head" and text and not text.isspace():
+            cut(len(stack) - 1)
         if not text or any(t in UNSEEN for t, _ in stack):
             return
         if current is None:
@@ -87,6 +108,8 @@ def blocks_of(page: str | None) -> list[Block]:
         if m["raw"]:
             if m["raw"].lower() == "textarea":
                 current = None
+                if stack and stack[-1][0] == "head":
+                    cut(len(stack) - 1)
                 stack.append(("textarea", _names(m["rawattrs"])))
                 say(m["body"])
                 stack.pop()
@@ -101,21 +124,34 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag in BLOCK:
             current = None
         if m["end"]:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            if k is not None:
+                cut(k + 1)
+                del stack[k:], open_at[k:]
             continue
+        if tag == "body":
+            k = next((k for k, (t, _) in enumerate(stack) if t == "head"), None)
+            if k is not None and all(t != "template" or o in unended for (t, _), o in zip(stack[k:], open_at[k:])):
+                cut(k)
+        if tag in BLOCK:
+            k = next((k for k, o in enumerate(open_at) if o in unended), None)
+            if k is not None:
+                cut(k)
+        if tag not in HEAD and stack and stack[-1][0] == "head":
+            cut(len(stack) - 1)
         if tag in BLOCK:
             ended = ENDS.get(tag, set()) | {"p"}
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in ended:
-                    del stack[k:]
-                elif stack[k][0] in BLOCK:
+                    cut(k)
+                elif stack[k][0] in BLOCK or stack[k][0] in UNSEEN:
                     break
         if tag not in VOID and not m["attrs"].endswith("/"):
             stack.append((tag, _names(m["attrs"])))
+            open_at.append(m.start())
     say(page[at:])
-    return [b for b in out if b.text]
+    cut(0)
+    return [b for b in out if b.text], frozenset(lost)
 
 
 class Vectors:

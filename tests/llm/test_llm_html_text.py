@@ -87,3 +87,17 @@ def test_gradients():
                 sums.append((net.run(x, active, "f").astype(np.float64) * pull).sum())
             net.w[name][at] = old
             assert abs((sums[0] - sums[1]) / 2e-3 - grads[name][at]) < 2e-3 * max(1, abs(grads[name][at]))
+
+
+def test_ends_left_out():
+    texts = lambda page: [b.text for b in h.blocks_of(page)]
+    for start in ("<html><head><title>T</title><meta charset=x><body>", "<head><title>T</title>", "<head><script>x</script>\n<noscript><img src=x></noscript><body class=c>", "<head><noscript><link><body>"):
+        assert texts(start + "<p>One<p>Two") == ["One", "Two"], start
+    assert texts("<head><title>T</title>Bare text<p>Two") == ["Bare text", "Two"]
+    assert texts("<head><noscript><div>not seen</div></noscript></head><body><p>One") == ["One"]
+    for name in ("noscript", "svg", "template", "canvas"):
+        assert texts(f"<body><article><p>One<{name}>not seen<p>Two</p><div>Three</div></article><p>Four") == ["One", "Two", "Three", "Four"], name
+        assert texts(f"<body><p>One<{name}><p>not seen</p></{name}><p>Two") == ["One", "Two"], name
+        assert texts(f"<div><{name}></div><p>One</p><{name}><p>not seen</p></{name}><p>Two") == ["One", "Two"], name
+    assert texts("<article><p>Let <math><mi>x</mi><annotation>not seen</annotation></math> be <object>an object</object>.</p></article>") == ["Let x be an object."]
+    assert [b.path for b in h.blocks_of("<table><thead><tr><th>A<tbody><tr><td>B")] == ["table/thead/tr/th", "table/tbody/tr/td"]
