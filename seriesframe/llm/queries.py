@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seriesframe.llm import decontaminate, html_text, language_model, licenses, line_dedup, mixing, near_dup, neighbours, quality, sharding
+from seriesframe.llm import bpe, decontaminate, fill_middle, html_text, language_model, licenses, line_dedup, mixing, near_dup, neighbours, quality, sharding, vector_codes
 from seriesframe.llm.sql import SQL as SQL
+from seriesframe.operators.relate import attach
+from seriesframe.sources.files import settle
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,4 +59,34 @@ def op10_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return language_model.scores(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_decontamination, op3_quality, op4_neighbours, op5_mixing, op6_line_dedup, op7_licenses, op8_sharding, op9_html_text, op10_language_model)}
+def op11_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(_table(spark, folder, "documents"), unit="line", percent=100, suffix_first=50, seed=7)
+    back = fill_middle.restored(F.col("form"), F.col("output"))
+    return out.withColumns({"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(back, 256)}).drop("output")
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = vector_codes.compress(_table(spark, folder, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+    coded = settle(coded, "codes")
+    most = F.lit(vector_codes.LARGEST).cast("decimal(38,0)")
+    total = F.sum(F.col("error").cast("decimal(38,0)"))
+    by_label = coded.groupBy("label").agg(F.least(total, most).cast("long").alias("label_error"))
+    # One text for each length of the vectors.
+    digests = [F.when(F.col("d") == d, books.digest(d)) for d in books]
+    digest = F.coalesce(*digests) if digests else F.lit(None).cast("string")
+    out = attach(coded, by_label, ["label"]).withColumn("codebooks_sha256", digest)
+    return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers  # the driver's; tasks get the vocabulary itself
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = bpe.decode(bpe.encode(_table(spark, folder, "documents"), path), path)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_decontamination, op3_quality, op4_neighbours, op5_mixing, op6_line_dedup, op7_licenses, op8_sharding, op9_html_text, op10_language_model, op11_fill_middle, op12_vector_codes, op13_bpe)}

@@ -86,4 +86,58 @@ select doc_id, cast(size as bigint) as size, source_size, target,
 from q
 """
 
-SQL = {"op1_near_duplicates": OP1, "op2_decontamination": OP2, "op4_neighbours": OP4, "op5_mixing": OP5}
+#: Cuts after hashed numbers of lines; the text that is rebuilt is the text itself.
+OP11 = r"""
+with h as (
+  select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(cast(doc_id as varchar), 'null')) as h from documents),
+u as (
+  select doc_id, text, case when text = '' then []::varchar[] else regexp_extract_all(text, '[^\n]*\n|[^\n]+') end as units,
+    cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2, cast('0x' || h[25:32] as bigint) as h4 from h),
+c as (select *, len(units) as n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) as a,
+    greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) as b from u),
+p as (
+  select doc_id, text, n, array_to_string(units[1:a], '') as prefix, array_to_string(units[a + 1:b], '') as middle,
+    array_to_string(units[b + 1:], '') as suffix,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') then 'plain'
+      when h4 % 100 < 50 then 'spm' else 'psm' end as form from c)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then cast(length(prefix) as bigint) end as prefix_chars,
+  case when form <> 'plain' then cast(length(middle) as bigint) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256
+from p
+"""
+
+_ROUND = """
+n{k} as (
+  select vec_id, part, e from (
+    select v.vec_id, v.part, b.e, row_number() over (partition by v.vec_id, v.part order by sum((v.x - b.x) * (v.x - b.x)), b.e) as o
+    from v join b{k} b using (part, place) group by v.vec_id, v.part, b.e) where o = 1)"""
+_MOVE = """
+s{k} as (
+  select part, e, place, cast(sum(x) as bigint) as s, count(*) as n from n{k} join v using (vec_id, part) group by 1, 2, 3),
+b{next} as (
+  select part, e, place, case when n is null then x else (s - ((s % n) + n) % n) // n end as x from b{k} left join s{k} using (part, e, place))"""
+
+#: The rounds one after the other, every part against every entry.
+OP12 = """
+with kept as (
+  select vec_id, label, embedding from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+v as (
+  select vec_id, (i - 1) // (len(embedding) // 8) as part, (i - 1) % (len(embedding) // 8) as place,
+    cast(floor(4096 * cast(embedding[i] as double)) as bigint) as x
+  from kept, unnest(generate_series(1, len(embedding))) as t(i)),
+b0 as (
+  select part, o - 1 as e, place, x from v join (select vec_id, row_number() over (order by vec_id) as o from kept) using (vec_id) where o <= 16),
+""" + ",".join(_ROUND.format(k=k) + "," + _MOVE.format(k=k, next=k + 1) for k in range(6)) + "," + _ROUND.format(k=6) + """,
+f as (
+  select vec_id, cast(sum((v.x - b.x) * (v.x - b.x)) as bigint) as error
+  from v join n6 using (vec_id, part) join b6 b on b.part = v.part and b.e = n6.e and b.place = v.place group by 1),
+c as (select vec_id, string_agg(printf('%02x', e), '' order by part) as code from n6 group by 1),
+l as (select kept.label, cast(sum(error) as bigint) as label_error from kept join f using (vec_id) group by 1)
+select kept.vec_id, code, error, label_error, (select sha256(string_agg(cast(x as varchar), ',' order by part, e, place)) from b6) as codebooks_sha256
+from kept join f using (vec_id) join c using (vec_id) join l on l.label is not distinct from kept.label
+"""
+
+SQL = {"op1_near_duplicates": OP1, "op2_decontamination": OP2, "op4_neighbours": OP4, "op5_mixing": OP5, "op11_fill_middle": OP11, "op12_vector_codes": OP12}
