@@ -5,8 +5,8 @@ from __future__ import annotations
 import heapq
 import json
 import os
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 from seriesframe.llm.sharing import received, sent
 from seriesframe.llm.words import in_pieces, values_of
 
-#: Words a task remembers before it starts anew, and the longest word it remembers; bounds memory, never results.
-MEMO_WORDS, MEMO_CHARS = 200_000, 64
+#: Words a task remembers twice over before it forgets the older ones, and the longest word; bounds memory, never results.
+MEMO_WORDS, MEMO_CHARS = 250_000, 64
 #: Largest vocabulary file that is sent to the tasks.
 VOCABULARY_BYTES = 64_000_000
 
@@ -32,6 +32,7 @@ NEWER = (
     r"\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4"
     r"\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
 )
+FIRST_NEWER = "\u0558"
 # The split of byte-level vocabularies before the merges, for code points as the regex module knows them.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same where a text holds newer letters or numbers, which belong to neither class.
@@ -72,62 +73,68 @@ class Vocabulary:
         self.first = [None] * 256
         for name, byte in names.items():
             self.first[byte] = ids.get(name)
-        #: (left id, right id) -> (rank, id of both).
-        self.merges = {}
+        #: left id * size + right id -> rank, and the id of both by rank.
+        self.size, self.ranks, self.joined = len(self.symbols), {}, []
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((ids[left], ids[right]), (rank, ids[left + right]))
+            self.ranks.setdefault(ids[left] * self.size + ids[right], rank)
+            self.joined.append(ids[left + right])
         #: Added symbols are found in the text before it is split; the longest of several at one place counts.
         self.added = {t["content"]: t["id"] for t in added}
 
     def merged(self, word: bytes) -> list[int]:
         """Ids of one word: the pair of least rank is joined first, the leftmost of equal ones.
 
-        Symbols form a doubly linked list. The queue holds a pair's rank and place; an entry is stale, and skipped,
-        when one of its symbols has been joined to another meanwhile.
+        Symbols form a doubly linked list. The queue holds a pair's rank and place in one number; an entry is stale, and
+        skipped, when the pair that now begins at its place has another rank.
         """
-        merges = self.merges
+        size, rank_of, joined = self.size, self.ranks.get, self.joined
+        push, pop = heapq.heappush, heapq.heappop
         symbol = [i for i in map(self.first.__getitem__, word) if i is not None]
         end = len(symbol)
+        pairs = enumerate(zip(symbol, symbol[1:]))
+        queue = [rank * end + at for at, (a, b) in pairs if (rank := rank_of(a * size + b)) is not None]
+        if not queue:
+            return symbol
         after, before = list(range(1, end + 1)), list(range(-1, end - 1))
-        queue = []
-        for at in range(end - 1):
-            found = merges.get((symbol[at], symbol[at + 1]))
-            if found:
-                queue.append((found[0], at, symbol[at], symbol[at + 1], found[1]))
         heapq.heapify(queue)
         while queue:
-            _, at, left, right, both = heapq.heappop(queue)
+            rank, at = divmod(pop(queue), end)
             gone = after[at]
-            if symbol[at] != left or gone == end or symbol[gone] != right:
+            if gone == end or rank_of(symbol[at] * size + symbol[gone]) != rank:
                 continue
-            symbol[at], symbol[gone] = both, -1
-            after[at] = far = after[gone]
+            both = symbol[at] = joined[rank]
+            symbol[gone] = -size * size  # no pair with it has a rank
+            far = after[at] = after[gone]
             if far != end:
                 before[far] = at
-                found = merges.get((both, symbol[far]))
-                if found:
-                    heapq.heappush(queue, (found[0], at, both, symbol[far], found[1]))
+                rank = rank_of(both * size + symbol[far])
+                if rank is not None:
+                    push(queue, rank * end + at)
             near = before[at]
             if near >= 0:
-                found = merges.get((symbol[near], both))
-                if found:
-                    heapq.heappush(queue, (found[0], near, symbol[near], both, found[1]))
+                rank = rank_of(symbol[near] * size + both)
+                if rank is not None:
+                    push(queue, rank * end + near)
         return [i for i in symbol if i >= 0]
 
 
 class _Words(dict):
-    """Ids of words, remembered within a task."""
+    """Ids of words as bytes of 32-bit numbers, remembered within a task: the latest words, and those before them."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.vocabulary.merged(word.encode())
-        if len(word) <= MEMO_CHARS:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = ids
+        self.vocabulary, self.older = vocabulary, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("i", self.vocabulary.merged(word.encode())).tobytes()
+            if len(word) > MEMO_CHARS:
+                return ids
+        if len(self) >= MEMO_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
         return ids
 
 
@@ -143,16 +150,16 @@ class Encoder:
         self.marks = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
 
     def ids(self, text: str) -> np.ndarray:
-        split = self.split_old if not text.isascii() and self.newer.search(text) else self.split
+        split = self.split_old if not text.isascii() and max(text) >= FIRST_NEWER and self.newer.search(text) else self.split
         # Every second piece is an added symbol.
         pieces = self.marks.split(text) if self.marks else [text]
-        runs: list = []
+        runs: list[bytes] = []
         for k, piece in enumerate(pieces):
             if k % 2:
-                runs.append([self.added[piece]])
+                runs.append(array("i", [self.added[piece]]).tobytes())
             elif piece:
                 runs.extend(map(self.words.__getitem__, split.findall(piece)))
-        return np.fromiter(chain.from_iterable(runs), np.int32)
+        return np.frombuffer(b"".join(runs), np.int32)
 
 
 def _vocabulary(docs: DataFrame, path: str):
