@@ -17,7 +17,7 @@ from seriesframe.llm.sharing import received, sent
 from seriesframe.sources.files import settle
 
 #: Components of a chunk of vectors, whose trees are built and searched together, and most points of an undivided ball.
-CHUNK_VALUES, LEAF = 1 << 19, 24
+CHUNK_VALUES, LEAF = 1 << 19, 64
 #: Bits of a sum that travel in one row.
 LIMB = 60
 LARGEST = 2**63 - 1
