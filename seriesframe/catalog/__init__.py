@@ -1,8 +1,8 @@
 """Registered queries: each operator on the test tables, with the same statement as plain SQL."""
 
-from seriesframe.catalog import cleaning, models, pipelines, relations, series, summaries, windows
+from seriesframe.catalog import cleaning, dynamics, fits, models, multiple, nearby, pipelines, relations, series, significance, summaries, windows
 
-_MODULES = (cleaning, relations, summaries, windows, series, models, pipelines)
+_MODULES = (cleaning, relations, summaries, windows, series, dynamics, models, fits, significance, multiple, nearby, pipelines)
 
 
 def all_queries() -> dict:

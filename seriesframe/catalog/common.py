@@ -107,3 +107,18 @@ sl as (select series, cast(floor(epoch(ts) / 86400) as bigint) as slot, avg(valu
   from (select series, slot from (select distinct series from sl),
         (select unnest(generate_series((select min(slot) from sl), (select max(slot) from sl))) as slot))
   left join sl using (series, slot))"""
+
+
+def sweep_sql(source: str, out: str, pivots: list[int], keys: list[str]) -> str:
+    """Gauss-Jordan exchange of the pivots, one table each; matrices (keys, i, j, v) without a pivot's row stay."""
+    tables, before = [], source
+    same = lambda other: " and ".join(f"{other}.{k} is not distinct from a.{k}" for k in keys)
+    for k in pivots:
+        tables.append(f"""{out}{k} as materialized (
+      select {', '.join(f'a.{c}' for c in keys)}, a.i, a.j, case when p.v is null then a.v when a.i = {k} and a.j = {k} then 1 / p.v
+        when a.i = {k} then a.v / p.v when a.j = {k} then -a.v / p.v else a.v - c.v * w.v / p.v end as v
+      from {before} a left join {before} p on {same('p')} and p.i = {k} and p.j = {k}
+        left join {before} c on {same('c')} and c.i = a.i and c.j = {k}
+        left join {before} w on {same('w')} and w.i = {k} and w.j = a.j)""")
+        before = f"{out}{k}"
+    return ",\n    ".join([*tables, f"{out} as materialized (select * from {before})"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seriesframe.catalog.common import E_SERIES, grid_sql, r, registry, rounded
+from seriesframe.catalog.common import E_SERIES, grid_sql, r, registry, rounded, sweep_sql
 from seriesframe.functions.semantics import presence
 from seriesframe.operators import impute, models as op
 from seriesframe.operators.grid import densify
@@ -183,6 +183,49 @@ def glm_binomial(spark, folder):
     return rounded(op.glm_coefficients(fit, [], ["bay"], spark), 4)
 
 
+#: Reweighted least squares, step by step; terms 1 to 9 are the constant, the price, four bays and three quarters.
+_LOGIT_BAYS = ("2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+_LOGIT_STEPS = 7
+
+
+def _logit_step(k: int) -> str:
+    eta = "0.0e0" if k == 0 else "sum(b * v)"
+    start = f"""e{k} as (select x.id, max(y) as y, {'(max(y) + 0.5e0) / 2' if k == 0 else f'1 / (1 + exp(-({eta})))'} as mu
+      from x {'' if k == 0 else f'join b{k} using (i)'} group by 1)"""
+    return f"""{start},
+    w{k} as materialized (select id, mu * (1 - mu) as w, ln(mu / (1 - mu)) + (y - mu) / (mu * (1 - mu)) as z from e{k}),
+    d{k} as (select id, 0 as i, z as v, w from w{k} union all select id, i, v, w from x join w{k} using (id)),
+    g{k} as (select 1 as one, a.i, b.i as j, sum(a.w * a.v * b.v) as v from d{k} a join d{k} b using (id) group by 2, 3),
+    {sweep_sql(f'g{k}', f's{k}_', list(range(1, 10)), ['one'])},
+    b{k + 1} as materialized (select i, v as b from s{k}_ where j = 0 and i > 0)"""
+
+
+@register(
+    "glm_binomial_terms",
+    f"""with c as (select o_orderkey as id, o_totalprice / 100000.0e0 as price, o_orderpriority as bay, quarter(o_orderdate) as q,
+      case when n > 0 then 1.0e0 else 0.0e0 end as y from orders left join (
+      select l_orderkey, count(*) as n from lineitem where l_returnflag = 'R' group by 1) on o_orderkey = l_orderkey),
+    x as materialized (select id, y, unnest([1, 2, {', '.join(map(str, range(3, 10)))}]) as i, unnest([1.0e0, price,
+      {', '.join(f"case when bay = '{b}' then 1.0e0 else 0.0e0 end" for b in _LOGIT_BAYS)},
+      {', '.join(f"case when q = {q} then 1.0e0 else 0.0e0 end" for q in (2, 3, 4))}]) as v from c),
+    {','.join(_logit_step(k) for k in range(_LOGIT_STEPS))},
+    t(i, term) as (values (1, '(intercept)'), (2, 'price'), {', '.join(f"({k}, 'bay={b}')" for k, b in enumerate(_LOGIT_BAYS, 3))},
+      {', '.join(f"({k}, 'quarter={q}')" for k, q in enumerate((2, 3, 4), 7))})
+    select term, {r('b', 4)} as estimate from b{_LOGIT_STEPS} join t using (i)""",
+)
+def glm_binomial_terms(spark, folder):
+    caught = table(spark, folder, "lineitem").where("l_returnflag = 'R'").groupBy(
+        F.col("l_orderkey").alias("o_orderkey")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    o = table(spark, folder, "orders").select(
+        "o_orderkey", F.col("o_orderpriority").alias("bay"), (F.col("o_totalprice") / 100000).alias("price"),
+        F.quarter("o_orderdate").cast("string").alias("quarter"),
+    )
+    rows = join_keep_left(o, caught, ["o_orderkey"]).withColumn("caught", presence(F.coalesce("n", F.lit(0))))
+    fit = op.glm(rows, "caught", ["price"], ["bay", "quarter"], "binomial", "logit")
+    return rounded(op.glm_coefficients(fit, ["price"], ["bay", "quarter"], spark), 4)
+
+
 _HOURS = "(slot % 144) / 6.0"
 
 

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from seriesframe.catalog.common import E_SERIES, grid_sql, r, registry, rounded
 from seriesframe.functions.times import add_seconds, slot_start, trunc_to
 from seriesframe.operators import clean, relate, reshape
-from seriesframe.operators.grid import densify, grid_spine
+from seriesframe.operators.grid import densify, densify_filled, grid_spine
 from seriesframe.operators.intervals import resolve_overlaps as repair
 from seriesframe.operators.models import model_terms as fold_terms
 from seriesframe.operators.running import zero_fill
-from seriesframe.operators.scan import fill_down
 from seriesframe.plans.sheets import series_events, table
 from seriesframe.sources.files import settle
 from seriesframe.sources.spines import day_spine, one_value
@@ -233,8 +232,8 @@ def pad_by_group(spark, folder):
 def locf_fill(spark, folder):
     e = series_events(spark, folder)
     aggs = [F.max("event_id").alias("last_event"), F.max("series").alias("kind")]
-    grid = densify(e, "ts", 3600, ["user_id"], aggs, common=False)
-    return fill_down(grid, ["user_id"], "slot", ["last_event", "kind"]).select("user_id", "t", "last_event", "kind")
+    filled = densify_filled(e, "ts", 3600, ["user_id"], aggs, ["last_event", "kind"])
+    return filled.select("user_id", "t", "last_event", "kind")
 
 
 _MINUTE_WIDE = ", ".join(f"max(value) filter (where series = '{s}') as {s}" for s in SERIES)

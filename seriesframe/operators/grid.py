@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seriesframe.functions.times import slot_of, slot_start
 from seriesframe.operators.relate import attach, join_keep_left
+from seriesframe.operators.scan import CHUNK, fill_down
 from seriesframe.sources.files import settle
 from seriesframe.sources.spines import expand_slots, one_value
 
@@ -53,6 +54,18 @@ def densify(
     return settle(out, "grid") if reuse else out
 
 
+def densify_filled(
+    df: DataFrame, ts: str, step_s: int, by: list[str], aggs: list[Column], cols: list[str], t: str = "t", size: int = CHUNK
+) -> DataFrame:
+    """``densify`` from each group's own first to its last slot, with the last values carried into empty slots.
+
+    What a chunk hands on is known from the slots that have data, so the dense grid is neither written nor read twice.
+    """
+    slotted = settle(to_slots(df, ts, step_s, by, aggs), "slots")
+    grid = join_keep_left(grid_spine(slotted, by, False), slotted, [*by, "slot"], "left", null_safe=True)
+    return fill_down(grid, by, "slot", cols, size, slotted).withColumn(t, slot_start("slot", step_s))
+
+
 def with_index(df: DataFrame, by: list[str], slot: str = "slot", name: str = "idx") -> DataFrame:
     """Row number of a dense series from its slot: no sort and no window."""
     first = df.groupBy(*by).agg(F.min(slot).alias("_lo"))

@@ -165,6 +165,21 @@ def impute_pmm(
     fits = regression_stats(df, by, y, x).drop("_s")
     fitted = attach(df, fits, by).withColumn("_pred", F.col("_a") + F.col("_b") * F.col(x))
     fitted = fitted.select(*by, row_id, y, "_pred")
+    copies = F.explode(F.sequence(F.lit(1), F.lit(m)))
+    drawn = donor_draws(fitted, by, y, row_id, k, copies, [*by, row_id, "m"], seed, parts, digits)
+    observed = df.where(F.col(y).isNotNull()).withColumn("m", copies)
+    observed = observed.withColumn(name, F.col(y))
+    missing = df.where(F.col(y).isNull()).withColumn("m", copies)
+    missing = join_keep_left(missing, drawn, [*by, row_id, "m"], "left", null_safe=True)
+    missing = missing.withColumn(name, F.col("_draw")).drop("_draw")
+    return observed.unionByName(missing)
+
+
+def donor_draws(
+    fitted: DataFrame, by: list[str], y: str, row_id: str, k: int, copies: Column | None, key: list[str], seed: int | str,
+    parts: int | None = None, digits: int = 9,
+) -> DataFrame:
+    """``by``, ``row_id``, (``m``) and ``_draw``: a hashed draw among the ``k`` donors nearest in ``_pred`` for each missing ``y``."""
     chunked = range_chunks(fitted, [*by, "_pred", row_id], parts)
     ranked = running_count(chunked, by, ["_pred", row_id], F.col(y).isNotNull(), "_rank")
     donors = ranked.where(F.col(y).isNotNull()).select(
@@ -180,16 +195,10 @@ def impute_pmm(
     distance = lambda d: F.round(F.abs(d["p"] - F.col("_pred")), digits)
     by_distance = F.transform("_pool", lambda d: F.struct(distance(d).alias("d"), d["r"].alias("r"), d["y"].alias("y")))
     near = attach(need, pools, [*by, "_rank"]).withColumn("_pool", F.slice(F.sort_array(by_distance), 1, k))
-    drawn = near.withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(m))))
-    key = [*[F.col(c).cast("string") for c in [*by, row_id, "m"]], F.lit(str(seed))]
-    place = F.floor(hash_uniform(*key) * F.size("_pool")).cast("int")
-    drawn = drawn.select(*by, row_id, "m", F.get(F.col("_pool"), place)["y"].alias("_draw"))
-    observed = df.where(F.col(y).isNotNull()).withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(m))))
-    observed = observed.withColumn(name, F.col(y))
-    missing = df.where(F.col(y).isNull()).withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(m))))
-    missing = join_keep_left(missing, drawn, [*by, row_id, "m"], "left", null_safe=True)
-    missing = missing.withColumn(name, F.col("_draw")).drop("_draw")
-    return observed.unionByName(missing)
+    drawn = near if copies is None else near.withColumn("m", copies)
+    place = F.floor(hash_uniform(*[F.col(c).cast("string") for c in key], F.lit(str(seed))) * F.size("_pool")).cast("int")
+    extra = [] if copies is None else ["m"]
+    return drawn.select(*by, row_id, *extra, F.get(F.col("_pool"), place)["y"].alias("_draw"))
 
 
 def pool_estimates(completed: DataFrame, by: list[str], y: str, x: str, m: str = "m") -> DataFrame:

@@ -3,16 +3,26 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import StringIndexer, OneHotEncoder, VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
+from seriesframe.functions.tails import chi_square_tail, f_tail, studentised_range_point, studentised_range_tail, t_tails
 from seriesframe.operators.relate import attach
+from seriesframe.operators.summarise import rank_rows
 from seriesframe.sources.files import settle
 
 
+#: Groups of a factor in a block of pairs.
+LEVELS = 256
+
+
 def _aic(n: Column, rss: Column, k: int) -> Column:
     """Gaussian AIC with ``k`` estimated parameters, the variance among them."""
     return n * (math.log(2 * math.pi) + F.log(rss / n) + 1) + 2 * k
@@ -114,27 +124,73 @@ def pairwise_means(df: DataFrame, y: str, g: str) -> DataFrame:
     """Differences of group means with standard error and studentised range statistic.
 
     Pairs are formed between groups of the factor (the result is the list of pairs), never
-    between rows: the rows are summed up first.
+    between rows: the rows are summed up first. Groups are numbered in their order and cut into blocks of ``LEVELS``; a pair of
+    blocks is one key of an equality join, so no task holds all groups.
     """
     groups = df.where(F.col(y).isNotNull() & F.col(g).isNotNull()).groupBy(g).agg(
         F.count(y).cast("double").alias("n"), F.avg(y).alias("m"), F.var_pop(y).alias("v")
     )
     groups = settle(groups, "groups")
     pooled = groups.agg(
-        (F.sum(F.col("n") * F.col("v")) / (F.sum("n") - F.count(F.lit(1)))).alias("_ms")
+        (F.sum(F.col("n") * F.col("v")) / (F.sum("n") - F.count(F.lit(1)))).alias("_ms"), F.count(F.lit(1)).alias("_k")
+    )
+    numbered = attach(rank_rows(groups.drop("v"), g, "_place"), pooled, [])
+    block, last = F.floor(F.col("_place") / LEVELS), F.floor(F.col("_k") / LEVELS)
+    one = numbered.select(F.col(g).alias("group_a"), "n", "m", "_ms", "_place", block.alias("_a"), F.explode(F.sequence(block, last)).alias("_b"))
+    other = numbered.select(
+        F.col(g).alias("group_b"), F.col("n").alias("_n2"), F.col("m").alias("_m2"), F.col("_place").alias("_place2"), block.alias("_b"),
+        F.explode(F.sequence(F.lit(0).cast("long"), block)).alias("_a"),
+    )
+    pairs = one.join(other, ["_a", "_b"]).where("_place < _place2")
+    se = F.sqrt(F.col("_ms") / 2 * (1 / F.col("n") + 1 / F.col("_n2")))
+    diff = F.col("_m2") - F.col("m")
+    # Groups without any spread have a standard error of 0 and no statistic.
+    return pairs.select("group_a", "group_b", diff.alias("diff"), se.alias("std_error"), F.try_divide(F.abs(diff), se).alias("q_value"))
+
+
+def anova_test(df: DataFrame, y: str, g: str) -> DataFrame:
+    """The one-way table with the probability of a larger F value if all groups had one mean."""
+    return anova(df, y, g).withColumn("p_value", f_tail(F.col("f_value"), F.col("df_between"), F.col("df_within")))
+
+
+def tukey_test(df: DataFrame, y: str, g: str, level: float = 0.95) -> DataFrame:
+    """Differences of all pairs of group means with joint bounds and adjusted probabilities (Tukey and Kramer).
+
+    ``lower`` and ``upper`` hold all true differences at once with probability ``level``; ``p_value`` is the chance of so large a
+    studentised range among all groups. One distribution for all pairs, from the number of groups and the
+    degrees of freedom within them.
+    """
+    groups = df.where(F.col(y).isNotNull() & F.col(g).isNotNull()).groupBy(g).agg(F.count(y).alias("_n"))
+    sizes = groups.agg(F.count(F.lit(1)).cast("double").alias("_k"), F.sum("_n").cast("double").alias("_total"))
+    pairs = attach(pairwise_means(df, y, g), sizes, [])
+    k, within = F.col("_k"), F.col("_total") - F.col("_k")
+    reach = studentised_range_point(1 - level)(k, within) * F.col("std_error")
+    out = pairs.withColumns({"_reach": reach, "p_value": studentised_range_tail(F.col("q_value"), k, within)})
+    return out.select(
+        "group_a", "group_b", "diff", (F.col("diff") - F.col("_reach")).alias("lower"), (F.col("diff") + F.col("_reach")).alias("upper"), "p_value"
     )
-    levels = groups.agg(F.sort_array(F.collect_list(F.struct(F.col(g).alias("g"), "n", "m"))).alias("_levels"))
-    one = attach(groups.drop("v"), attach(pooled, levels, []), [])
-    other = F.explode(F.filter("_levels", lambda s: s["g"] > F.col(g))).alias("o")
-    pairs = one.select(F.col(g).alias("group_a"), "n", "m", "_ms", other)
-    se = F.sqrt(F.col("_ms") / 2 * (1 / F.col("n") + 1 / F.col("o.n")))
-    return pairs.select(
-        "group_a",
-        F.col("o.g").alias("group_b"),
-        (F.col("o.m") - F.col("m")).alias("diff"),
-        se.alias("std_error"),
-        (F.abs(F.col("o.m") - F.col("m")) / se).alias("q_value"),
+
+
+def ols_test(df: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
+    """Line per group with standard errors, t values and the probabilities of values farther from 0."""
+    n, sxx = F.regr_count(y, x).cast("double"), F.regr_sxx(y, x)
+    slope = F.regr_slope(y, x)
+    rss = F.greatest(F.regr_syy(y, x) - slope * slope * sxx, F.lit(0.0))
+    fits = df.groupBy(*by).agg(
+        n.alias("_n"), slope.alias("slope"), F.regr_intercept(y, x).alias("intercept"), rss.alias("_rss"), sxx.alias("_sxx"), F.regr_avgx(y, x).alias("_mx")
     )
+    variance = F.when(F.col("_n") > 2, F.col("_rss") / (F.col("_n") - 2))
+    fits = fits.withColumns(
+        {
+            "se_slope": F.sqrt(F.try_divide(variance, F.col("_sxx"))),
+            "se_intercept": F.sqrt(variance * (1 / F.col("_n") + F.try_divide(F.col("_mx") * F.col("_mx"), F.col("_sxx")))),
+        }
+    )
+    for c in ("slope", "intercept"):
+        fits = fits.withColumn(f"t_{c}", F.try_divide(F.col(c), F.col(f"se_{c}")))
+        fits = fits.withColumn(f"p_{c}", F.when(F.col("_n") > 2, t_tails(F.col(f"t_{c}"), F.col("_n") - 2)))
+    names = [f"{a}{c}" for c in ("slope", "intercept") for a in ("", "se_", "t_", "p_")]
+    return fits.select(*by, F.col("_n").cast("long").alias("n"), *names)
 
 
 def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -161,6 +217,11 @@ def zero_test(df: DataFrame, by: list[str], n: str) -> DataFrame:
     return sums.withColumn("score", F.try_divide(F.pow(F.col("n_zero") - rows * p0, F.lit(2)), spread))
 
 
+def zero_test_p(df: DataFrame, by: list[str], n: str) -> DataFrame:
+    """``zero_test`` with the probability of a larger score if counts were Poisson."""
+    return zero_test(df, by, n).withColumn("p_value", chi_square_tail(F.col("score"), 1))
+
+
 def decay_fits(df: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
     """Exponential (ln y on x) and power (ln y on ln x) decay by log-linear regression."""
     data = df.where((F.col(y) > 0) & (F.col(x) > 0)).select(
@@ -229,33 +290,76 @@ def glm(
     return PipelineModel(stages=[*design.stages, last])
 
 
-def _gamma_inverse(rows: DataFrame, y: str, tol: float, max_iter: int):
-    """Gamma regression with inverse link by reweighted least squares.
+class InverseLine(Transformer):
+    """Adds ``_eta``, the linear predictor, which is 1 / mean."""
+
+    def __init__(self, intercept: float, coefficients: list[float]):
+        super().__init__()
+        self.intercept, self.coefficients = intercept, coefficients
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        parts = F.zip_with(vector_to_array("_features"), F.array(*map(F.lit, self.coefficients)), lambda a, b: a * b)
+        return dataset.withColumn("_eta", F.aggregate(parts, F.lit(self.intercept), lambda s, v: s + v))
+
+
+def _weighted_sums(rows: DataFrame, beta: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, float, int, float, int]:
+    """X'WX, X'Wz, deviance, rows outside of the positive range, sum of y and rows at these coefficients, in one pass.
+
+    Each task adds up its own rows; what is added up across tasks, and brought to the driver, has the size of the model squared.
+    Without coefficients the mean of each row is its response.
+    """
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            y = batch.column(1).to_numpy()
+            x = np.column_stack([np.ones(len(y)), np.asarray(batch.column(0).flatten()).reshape(len(y), -1)])
+            eta = 1 / np.where(y > 0, y, np.nan) if beta is None else x @ beta
+            bad = ~(eta > 0)
+            mu = 1 / np.where(bad, 1.0, eta)
+            w = np.where(bad, 0.0, mu * mu)
+            z = np.where(bad, 0.0, eta - (y - mu) / (mu * mu))
+            deviance = 2 * np.where(bad, 0.0, (y - mu) / mu - np.log(y / mu)).sum()
+            now = np.concatenate([((x * w[:, None]).T @ x).ravel(), x.T @ (w * z), [deviance, bad.sum(), y.sum(), len(y)]])
+            total = now if total is None else total + now
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["place", "v"])
+
+    found = rows.mapInArrow(work, "place int, v double").groupBy("place").agg(F.sum("v").alias("v")).collect()
+    sums = np.array([r.v for r in sorted(found, key=lambda r: r.place)])
+    size = (math.isqrt(4 * (len(sums) - 4) + 1) - 1) // 2
+    return sums[: size * size].reshape(size, size), sums[size * size : -4], float(sums[-4]), int(sums[-3]), float(sums[-2]), int(sums[-1])
+
+
+def _gamma_inverse(rows: DataFrame, y: str, tol: float, max_iter: int) -> InverseLine:
+    """Gamma regression with inverse link by reweighted least squares, one pass over the rows a step.
 
     The built-in fit starts from an unweighted line through 1/y, which small responses pull so
     far up that later steps leave the positive range. Starting from mean = response with
-    weights mean^2 avoids that. Every step is one distributed weighted fit; a fit that
-    leaves the positive range is an error. ``_eta`` of the
-    returned linear stage is 1 / mean.
+    weights mean^2 avoids that. A step that leaves the positive range or raises the deviance is halved towards the
+    last good one, at first the common mean, until it does neither.
     """
-    line = LinearRegression(
-        labelCol="_z", featuresCol="_features", weightCol="_w", predictionCol="_eta", solver="normal", standardization=False
-    )
-    data = rows.select("_features", F.col(y).alias("_y"))
-    eta, model, before, current = 1 / F.col("_y"), None, None, data
+    data = rows.select(vector_to_array("_features").alias("x"), F.col(y).alias("y"))
+    cross, right, _, bad, total, n = _weighted_sums(data, None)
+    if bad:
+        raise ValueError(f"{bad} responses of a gamma model are not positive")
+    beta = np.linalg.lstsq(cross, right, rcond=None)[0]
+    good, least = np.concatenate([[n / total], np.zeros(len(beta) - 1)]), math.inf
     for _ in range(max_iter):
-        mu = 1 / eta
-        step = current.select("_features", (eta - (F.col("_y") - mu) / (mu * mu)).alias("_z"), (mu * mu).alias("_w"))
-        model = line.fit(step)
-        now = [float(model.intercept), *map(float, model.coefficients)]
-        current, eta = model.transform(data), F.col("_eta")
-        lowest = current.agg(F.min("_eta")).first()[0]
-        if lowest is not None and lowest <= 0:
-            raise ValueError("gamma fit with inverse link left the positive range")
-        if before and max(abs(a - b) for a, b in zip(now, before)) <= tol * max(map(abs, now)):
+        cross, right, deviance, bad, _, _ = _weighted_sums(data, beta)
+        if bad or not deviance <= least + 1e-12 * abs(least):
+            if np.abs(beta - good).max() <= tol * np.abs(good).max():
+                break
+            beta = (beta + good) / 2
+            continue
+        good, least = beta, deviance
+        beta = np.linalg.lstsq(cross, right, rcond=None)[0]
+        if np.abs(beta - good).max() <= tol * np.abs(beta).max():
+            good = beta
             break
-        before = now
-    return model
+    return InverseLine(float(good[0]), [float(c) for c in good[1:]])
 
 
 def glm_coefficients(model, numeric: list[str], factors: list[str], spark) -> DataFrame:

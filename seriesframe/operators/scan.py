@@ -94,12 +94,25 @@ def nearest_observed(df: DataFrame, by: list[str], slot: str, value: str, size:
     )
 
 
-def fill_down(df: DataFrame, by: list[str], slot: str, cols: list[str], size: int = CHUNK) -> DataFrame:
-    """Carry the last value of each column forward inside its group."""
+def fill_down(
+    df: DataFrame, by: list[str], slot: str, cols: list[str], size: int = CHUNK, seen: DataFrame | None = None
+) -> DataFrame:
+    """Carry the last value of each column forward inside its group.
+
+    ``seen`` may hold the rows of ``df`` that have values, the first and last of each group among them: then ``df``
+    itself, with its empty slots, is worked out once only.
+    """
     rows = df.withColumn("_chunk", slot_chunk(slot, size)).withColumn("_key", chunk_key(by))
     back = Window.partitionBy("_key").orderBy(slot).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumns({f"_l_{c}": F.last(c, True).over(back) for c in cols})
-    ends = rows.groupBy("_key").agg(
+    held = rows
+    if seen is not None:
+        # Chunks without values have an end, too: that of the chunk before them.
+        bounds = seen.groupBy(*by).agg(F.min(slot).alias("_lo"), F.max(slot).alias("_hi"))
+        chunks = F.explode(F.sequence(slot_chunk("_lo", size), slot_chunk("_hi", size)))
+        every = bounds.withColumn("_chunk", chunks).withColumn("_key", chunk_key(by)).select("_key")
+        held = seen.withColumn("_chunk", slot_chunk(slot, size)).withColumn("_key", chunk_key(by)).unionByName(every, allowMissingColumns=True)
+    ends = held.groupBy("_key").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(slot))).alias(f"_e_{c}") for c in cols]
     )
     series = Window.partitionBy(*[F.col("_key")[c] for c in by]).orderBy(F.col("_key")["_chunk"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from seriesframe.functions.tails import t_quantile
 from seriesframe.operators.relate import attach
 from seriesframe.operators.scan import CHUNK, chunk_key, with_halo
 
@@ -53,6 +54,26 @@ def trend_forecast(df: DataFrame, by: list[str], idx: str, value: str, horizon:
     return ahead.withColumn("forecast", F.col("intercept") + F.col("slope") * F.col("idx"))
 
 
+def forecast_bounds(df: DataFrame, by: list[str], idx: str, value: str, horizon: int, levels: tuple[float, ...] = (0.8, 0.95)) -> DataFrame:
+    """``trend_forecast`` with the bounds that hold a new value with each probability, ``lower_80``, ``upper_80`` and so on.
+
+    Fewer than three values give a forecast without bounds.
+    """
+    n, sxx, slope = F.regr_count(value, idx).cast("double"), F.regr_sxx(value, idx), F.regr_slope(value, idx)
+    rss = F.greatest(F.regr_syy(value, idx) - slope * slope * sxx, F.lit(0.0))
+    spread = df.groupBy(*by).agg(n.alias("_n"), sxx.alias("_sxx"), F.regr_avgx(value, idx).alias("_mx"), rss.alias("_rss"))
+    # One quantile for each series, before the steps ahead multiply the rows.
+    spread = spread.withColumns({f"_t{k}": t_quantile(1 - p, F.col("_n") - 2) for k, p in enumerate(levels)})
+    out = attach(trend_forecast(df, by, idx, value, horizon), spread, by)
+    off = F.col("idx") - F.col("_mx")
+    variance = F.when(F.col("_n") > 2, F.col("_rss") / (F.col("_n") - 2) * (1 + 1 / F.col("_n") + F.try_divide(off * off, F.col("_sxx"))))
+    bounds = {}
+    for k, p in enumerate(levels):
+        reach = F.col(f"_t{k}") * F.sqrt(variance)
+        bounds |= {f"lower_{round(100 * p)}": F.col("forecast") - reach, f"upper_{round(100 * p)}": F.col("forecast") + reach}
+    return out.withColumns(bounds).drop("_n", "_sxx", "_mx", "_rss", *[f"_t{k}" for k in range(len(levels))])
+
+
 def centred_average(
     df: DataFrame, by: list[str], slot: str, value: str, period: int, name: str = "trend", size: int = CHUNK
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seriesframe.functions.semantics import nulls_last
 from seriesframe.operators.relate import attach
-from seriesframe.operators.scan import range_chunks, running_count
+from seriesframe.operators.scan import range_chunks, running_sums
 
 
 def summarise(df: DataFrame, by: list[str], **aggs: Column) -> DataFrame:
@@ -45,19 +45,50 @@ def repeated(df: DataFrame, key: list[str], name: str = "n") -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > 1)
 
 
+#: Copies of one row that a task writes at most.
+COPIES = 10_000
+
+
+def repeat_rows(df: DataFrame, times: str, name: str = "copy") -> DataFrame:
+    """Each row as often as its column ``times`` says, numbered from 1; rows with very many copies are dealt to many tasks."""
+    few = df.where(F.col(times) <= COPIES)
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / COPIES)))
+    many = df.where(F.col(times) > COPIES).withColumn("_block", blocks).repartition("_block", *df.columns)
+    low, high = F.col("_block") * COPIES + 1, F.least((F.col("_block") + 1) * COPIES, F.col(times))
+    few = few.withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times).cast("long"))))
+    many = many.withColumn(name, F.explode(F.sequence(low.cast("long"), high.cast("long")))).drop("_block")
+    return few.unionByName(many)
+
+
 def duplicate_flags(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Flags for repeats: ``dup_later`` (not the first of its key), ``dup_any`` (key repeats).
 
-    Rows are numbered in the given order, missing values first; of rows that are equal in it, such as
-    exact copies, any one counts as the first. Missing keys form a key of their own. Rows are
-    cut by range partitioning on key and order, so a hot key is no single task.
+    Rows are numbered in the given order, missing values first; of rows that are equal in it any one counts as the
+    first. Missing keys form a key of their own. Exact copies are counted first, on the map side, and
+    written out again at the end, a bounded number a task; the different rows are cut by range partitioning on all their
+    columns, key and order first. So neither a hot key nor copies of a row are a single task.
     """
     columns = df.columns
-    cut = range_chunks(df, [*key, *[c for c in order if c not in key]])
-    counted = running_count(cut, key, order, F.lit(1), "_number")
-    sizes = cut.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    flagged = attach(counted, sizes, key)
-    return flagged.select(*columns, (F.col("_number") > 1).alias("dup_later"), (F.col("_n") > 1).alias("dup_any"))
+    different = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
+    full = [*order, *[c for c in columns if c not in order]]
+    cut = range_chunks(different, [*key, *[c for c in full if c not in key]])
+    counted = running_sums(cut, key, full, {"_upto": F.col("_copies")})
+    sizes = cut.groupBy(*key).agg(F.sum("_copies").alias("_n"))
+    flagged = repeat_rows(attach(counted, sizes, key), "_copies", "_copy")
+    first = (F.col("_upto") == F.col("_copies")) & (F.col("_copy") == 1)
+    return flagged.select(*columns, (~first).alias("dup_later"), (F.col("_n") > 1).alias("dup_any"))
+
+
+def rank_rows(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
+    """Rank of each row under ``value``, ties alike and counted (1, 1, 3), missing values first.
+
+    Equal values are counted, the counts are cut into ranges and summed up in order, and the ranks join back: no
+    window goes over the whole table.
+    """
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    upto = running_sums(range_chunks(counts, [value]), [], [value], {"_upto": F.col("_n")})
+    ranks = upto.select(value, (F.col("_upto") - F.col("_n") + 1).cast("long").alias(name))
+    return attach(df, ranks, [value])
 
 
 def keep_best(df: DataFrame, by: list[str], order: list[tuple[str, bool]]) -> DataFrame:
