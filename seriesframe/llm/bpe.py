@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -35,6 +36,8 @@ NEWER = (
 FIRST_NEWER = "\u0558"
 # The split of byte-level vocabularies before the merges, for code points as the regex module knows them.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of ASCII, for which the standard module is faster.
+SPLIT_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 #: The same where a text holds newer letters or numbers, which belong to neither class.
 SPLIT_OLD = (
     r"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}--[" + NEWER + r"]]+| ?[\p{N}--[" + NEWER + r"]]+"
@@ -73,11 +76,12 @@ class Vocabulary:
         self.first = [None] * 256
         for name, byte in names.items():
             self.first[byte] = ids.get(name)
-        #: left id * size + right id -> rank, and the id of both by rank.
-        self.size, self.ranks, self.joined = len(self.symbols), {}, []
+        #: For each left id the rank of each right id, and the id of both by rank; the last entry stands for no symbol.
+        self.ranks: list[dict] = [{} for _ in range(len(self.symbols) + 1)]
+        self.joined = []
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks.setdefault(ids[left] * self.size + ids[right], rank)
+            self.ranks[ids[left]].setdefault(ids[right], rank)
             self.joined.append(ids[left + right])
         #: Added symbols are found in the text before it is split; the longest of several at one place counts.
         self.added = {t["content"]: t["id"] for t in added}
@@ -88,34 +92,37 @@ class Vocabulary:
         Symbols form a doubly linked list. The queue holds a pair's rank and place in one number; an entry is stale, and
         skipped, when the pair that now begins at its place has another rank.
         """
-        size, rank_of, joined = self.size, self.ranks.get, self.joined
-        push, pop = heapq.heappush, heapq.heappop
+        ranks, joined, push, pop = self.ranks, self.joined, heapq.heappush, heapq.heappop
         symbol = [i for i in map(self.first.__getitem__, word) if i is not None]
         end = len(symbol)
-        pairs = enumerate(zip(symbol, symbol[1:]))
-        queue = [rank * end + at for at, (a, b) in pairs if (rank := rank_of(a * size + b)) is not None]
+        queue = []
+        for at in range(end - 1):
+            right_of = ranks[symbol[at]]
+            if symbol[at + 1] in right_of:
+                queue.append(right_of[symbol[at + 1]] * end + at)
         if not queue:
             return symbol
         after, before = list(range(1, end + 1)), list(range(-1, end - 1))
         heapq.heapify(queue)
         while queue:
-            rank, at = divmod(pop(queue), end)
+            entry = pop(queue)
+            rank, at = entry // end, entry % end
             gone = after[at]
-            if gone == end or rank_of(symbol[at] * size + symbol[gone]) != rank:
+            if gone == end or ranks[symbol[at]].get(symbol[gone]) != rank:
                 continue
             both = symbol[at] = joined[rank]
-            symbol[gone] = -size * size  # no pair with it has a rank
+            symbol[gone] = -1
             far = after[at] = after[gone]
             if far != end:
                 before[far] = at
-                rank = rank_of(both * size + symbol[far])
-                if rank is not None:
-                    push(queue, rank * end + at)
+                right_of = ranks[both]
+                if symbol[far] in right_of:
+                    push(queue, right_of[symbol[far]] * end + at)
             near = before[at]
             if near >= 0:
-                rank = rank_of(symbol[near] * size + both)
-                if rank is not None:
-                    push(queue, rank * end + near)
+                right_of = ranks[symbol[near]]
+                if both in right_of:
+                    push(queue, right_of[both] * end + near)
         return [i for i in symbol if i >= 0]
 
 
@@ -143,6 +150,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.words = _Words(vocabulary)
+        self.split_ascii = re.compile(SPLIT_ASCII, re.ASCII)
         self.split, self.split_old = regex.compile(SPLIT), regex.compile(SPLIT_OLD)
         self.newer = regex.compile(f"[{NEWER}]")
         self.added = vocabulary.added
@@ -150,7 +158,10 @@ class Encoder:
         self.marks = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
 
     def ids(self, text: str) -> np.ndarray:
-        split = self.split_old if not text.isascii() and max(text) >= FIRST_NEWER and self.newer.search(text) else self.split
+        if text.isascii():
+            split = self.split_ascii
+        else:
+            split = self.split_old if max(text) >= FIRST_NEWER and self.newer.search(text) else self.split
         # Every second piece is an added symbol.
         pieces = self.marks.split(text) if self.marks else [text]
         runs: list[bytes] = []
