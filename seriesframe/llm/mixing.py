@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from seriesframe.llm.sharing import unused
 from seriesframe.sources.files import settle
 
 #: Rows of one running sum; larger sources get more chunks.
@@ -121,8 +122,8 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     many of its words count.
     """
     columns = docs.columns
-    numbers = {c: f"carried_{k}" for k, c in enumerate(columns)}
-    carried = docs.select(*docs.columns, *[F.col(c).alias(n) for c, n in numbers.items()])
+    numbers = {c: unused(columns, f"carried_{k}") for k, c in enumerate(columns)}
+    carried = docs.select("*", *[F.col(f"`{c}`").alias(n) for c, n in numbers.items()])
     queue = fair_queue(carried, carry=tuple(numbers.values()), **settings)
     passes = F.ceil(F.col("taken") / F.col("size")).cast("int")
     return (

@@ -8,9 +8,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import MapType
 
 from seriesframe.llm.components import components
+from seriesframe.llm.sharing import unused
 from seriesframe.llm.words import MULTIPLIER, WordHash, in_pieces, mixed, shingle_set, texts_of, values_of, words_of
 from seriesframe.sources.files import settle
 
@@ -212,3 +214,37 @@ def _labelled(sketches: DataFrame, final: DataFrame) -> DataFrame:
     columns = ["doc_id", "n_shingles", "component_id"]
     out = linked.select(columns).unionByName(alone.select(columns))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, share: int = 80) -> DataFrame:
+    """The rows of ``docs``, one of each group of near copies: that with the smallest id, rows without an id last.
+
+    A document is an id with a text. So rows that share an id but not a text are told apart, each with a number of its own
+    behind all ids, and so are rows without an id; of rows equal in id and text one stays, the first in the order of the other
+    columns. Texts without words are linked with nothing: those with an id stay one row an id, those without one stay all.
+    Any column names go; extra columns stay with their rows.
+    """
+    id_, mark, node, at = (unused(docs.columns, c) for c in ("own_id", "own_mark", "own_node", "own_place"))
+    rows = docs.withColumn(id_, F.col("doc_id").cast("long"))
+    rows = rows.withColumn(mark, F.coalesce(F.md5(F.col("text").cast("string")), F.lit("")))
+    unnamed = F.col(id_).isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    texts = rows.filter(~unnamed).groupBy(id_).agg(F.min(mark).alias("least"), F.max(mark).alias("most"))
+    unclear = texts.filter(F.col(id_).isNull() | (F.col("least") != F.col("most"))).select(F.col(id_).alias("id"))
+    unclear = settle(unclear, "unclear")
+    keyed = rows.filter(~unnamed)
+    if unclear.isEmpty():
+        keyed = keyed.withColumn(node, F.col(id_))
+    else:
+        told = keyed.select(F.col(id_).alias("_id"), F.col(mark).alias("_mark")).join(unclear, F.col("_id").eqNullSafe(F.col("id")), "left_semi")
+        told = settle(told.distinct().withColumn("_number", F.monotonically_increasing_id()), "told")
+        most = docs.agg(F.coalesce(F.max(F.col("doc_id").cast("long")), F.lit(0))).first()[0]
+        if most > 2**62:
+            raise ValueError("ids leave no room for rows that share an id or have none")
+        keyed = keyed.join(told, F.col(id_).eqNullSafe(F.col("_id")) & (F.col(mark) == F.col("_mark")), "left")
+        keyed = keyed.withColumn(node, F.coalesce(F.col("_number") + (max(most, 0) + 1), F.col(id_))).drop("_id", "_mark", "_number")
+    kept = near_duplicates(keyed, size, share, doc_id=node).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text") and not isinstance(docs.schema[c].dataType, MapType)]
+    first = Window.partitionBy(node).orderBy(*others or [F.lit(0)])
+    named = keyed.join(kept, F.col(node) == F.col("_kept"), "left_semi").withColumn(at, F.row_number().over(first)).filter(F.col(at) == 1)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return named.select(*columns).unionByName(rows.filter(unnamed).select(*columns))

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from seriesframe.llm.sharing import unused
 from seriesframe.sources.files import settle
 
 #: Records of one bucket, so that its shuffle fits into a task's memory.
 BUCKET_ROWS = 20_000
 #: Equal rows beyond this number are spread over the tasks before they are unfolded.
 SPREAD_COPIES = 1_000_000
-#: Column for the hash of a whole row.
-KEY = "_row_key"
 
 
 def shuffled_slots(docs: DataFrame, shards: int = 24, seed: int = 8) -> DataFrame:
@@ -85,7 +84,6 @@ def _row_key(docs: DataFrame) -> Column:
     return F.unhex(F.sha2(F.to_json(F.struct(*values), options).cast("binary"), 256))
 
 
-
 def sharded_documents(docs: DataFrame, shards: int = 24, seed: int = 8) -> DataFrame:
     """The records themselves with ``shard`` and ``slot``, placed as in the plan above by a hash of all columns, so only rows
     that are equal in every column stand for each other.
@@ -93,9 +91,10 @@ def sharded_documents(docs: DataFrame, shards: int = 24, seed: int = 8) -> DataF
     Columns of ``docs`` named ``shard`` or ``slot`` are replaced.
     """
     docs = docs.drop("shard", "slot")
-    keyed = docs.select("*", _row_key(docs).alias(KEY))
-    placed = _placed(keyed.select(KEY), [KEY], shards, seed)
-    return placed.join(keyed.dropDuplicates([KEY]), KEY).select(*[f"`{c}`" for c in docs.columns], "shard", "slot")
+    key = unused([*docs.columns, "bucket", "copy", "copies", "first", "last", "part", "h"], "row_key")
+    keyed = docs.select("*", _row_key(docs).alias(key))
+    placed = _placed(keyed.select(key), [key], shards, seed)
+    return placed.join(keyed.dropDuplicates([key]), key).select(*[f"`{c}`" for c in docs.columns], "shard", "slot")
 
 
 def write_shards(docs: DataFrame, folder: str, shards: int = 24, seed: int = 8) -> None:

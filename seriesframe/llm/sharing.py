@@ -19,3 +19,11 @@ def sent(spark: SparkSession, value: Any) -> Broadcast:
 
 def received(shared: Broadcast) -> Any:
     return pickle.loads(shared.value)
+
+
+def unused(columns: list[str], stem: str) -> str:
+    """A column name that a table with these columns does not have; names differ in more than case."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
