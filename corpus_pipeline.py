@@ -7,11 +7,11 @@ and extra columns are handled as the operators' docstrings say.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from seriesframe.llm.decontaminate import decontaminated
 from seriesframe.llm.mixing import mixed_documents
-from seriesframe.llm.near_dup import near_duplicates
+from seriesframe.llm.near_dup import one_of_each
 from seriesframe.llm.quality import good_documents
 from seriesframe.llm.sharding import sharded_documents
 from seriesframe.sources.files import settle
@@ -27,13 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group: the smallest id. Of rows that repeat an id the one with the least text stays; rows
-    without an id stay."""
-    kept = near_duplicates(docs, size=5, share=80).filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id"))
-    one = Window.partitionBy("doc_id").orderBy("text")
-    named = docs.join(kept.distinct(), F.col("doc_id") == F.col("kept_id"), "left_semi")
-    named = named.withColumn("kept_place", F.row_number().over(one)).filter("kept_place = 1").drop("kept_place")
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One document of each group: the smallest id, documents without one last. Rows that share an id are told apart by their texts."""
+    return one_of_each(docs, size=5, share=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
