@@ -162,6 +162,47 @@ def mean_breakpoints(spark, folder):
     return rounded(breaks.mean_breakpoints(both, BY, "t", "value"))
 
 
+#: Normal tail in logarithms: steps of 1/1024 up to 16, the series of its end beyond.
+_LOG_TAIL = """nd as (select i, exp(-(i / 1024.0e0) * (i / 1024.0e0) / 2) / sqrt(2 * pi()) as f from (select unnest(generate_series(0, 20480)) as i)),
+    nt as materialized (select i, (sum(f) over (order by i desc rows unbounded preceding) - f / 2) / 1024 as p, f from nd)"""
+
+
+def _log_tail(z: str, cell: str) -> str:
+    return f"""(case when {z} > 16 then -{z} * {z} / 2 - ln({z} * sqrt(2 * pi())) + ln(1 - 1 / ({z} * {z}) + 3 / pow({z}, 4)) else
+        ln({cell}.p - {cell}.f * ({z} - {cell}.i / 1024.0e0) + {cell}.f * {cell}.i / 1024.0e0 * ({z} - {cell}.i / 1024.0e0) * ({z} - {cell}.i / 1024.0e0) / 2) end)"""
+
+
+_BELOW = f"""1 - (1 + exp(-x / (8 * q)) * root / sqrt(2 * pi()) + (2 * q + 1) / q / (1 + q) * exp(x * (1 + q) / 2 + {_log_tail('(root * (q + 0.5))', 'c1')})
+      - ((2 * q + 1) * (2 * q + 1) / ((1 + q) * q) - 2 + x / (2 * q)) * exp({_log_tail('(root / 2)', 'c2')}))"""
+
+
+@register(
+    "break_intervals",
+    f"""with recursive {_ONLY_RUN}, {_BREAKS}, {_LOG_TAIL},
+    st as (select series, segment, count(*) as n, avg(value) as m, var_pop(value) as s from seg group by 1, 2),
+    sx as (select *, sum(n) over (partition by series order by segment) as i, sum(n) over (partition by series) as n_all,
+      lead(m) over (partition by series order by segment) - m as shift, lead(s) over (partition by series order by segment) as s2 from st),
+    sy as (select *, greatest(s, greatest(s, s2) * 1e-9) as a, greatest(s2, greatest(s, s2) * 1e-9) as b from sx where shift is not null),
+    hv as (
+      select series, segment, side, q, 0.0e0 as lo, 200.0e0 * (1 + q) * (1 + q) as hi, 0 as k from (
+        select series, segment, 0 as side, b / a as q from sy union all select series, segment, 1, a / b from sy) union all
+      select series, segment, side, q, case when v > 0.025e0 then x else lo end, case when v > 0.025e0 then hi else x end, k + 1 from (
+        select h.*, {_BELOW} as v from (select *, (lo + hi) / 2 as x, sqrt((lo + hi) / 2 / q) as root from hv where k < 60) h
+          left join nt c1 on c1.i = cast(round(root * (q + 0.5) * 1024) as bigint) left join nt c2 on c2.i = cast(round(root / 2 * 1024) as bigint))),
+    rc as (select series, segment, max(case when side = 0 then (lo + hi) / 2 end) as r0, max(case when side = 1 then (lo + hi) / 2 end) as r1
+      from hv where k = 60 group by 1, 2),
+    bd as (select sy.series, sy.segment, shift, i, greatest(i - ceil(r0 * a / (shift * shift)), 1) as l, least(i + ceil(r1 * b / (shift * shift)), n_all) as u
+      from sy join rc using (series, segment))
+    select bd.series, cast(segment as int) as segment, {r('shift', 5)} as shift, x.t as lower_t, y.t as place_t, z.t as upper_t, cast(l as bigint) as n_lower,
+      cast(bd.i as bigint) as n_place, cast(u as bigint) as n_upper
+    from bd join ps x on x.series = bd.series and x.i = l join ps y on y.series = bd.series and y.i = bd.i join ps z on z.series = bd.series and z.i = u""",
+)
+def break_intervals(spark, folder):
+    run = settle(_running(spark, folder), "run")
+    segments = settle(breaks.mean_breakpoints(run, BY, "t", "value"), "segments")
+    return rounded(breaks.break_intervals(run, BY, "t", "value", segments), 5)
+
+
 @register(
     "assign_segments",
     f"""with {_ONLY_RUN}, {_BREAKS} select e.series, cast(coalesce(s.segment, 1) as int) as segment, count(*) as n,

@@ -6,8 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from seriesframe.operators.relate import attach
-from seriesframe.operators.scan import range_chunks, running_sums
+from pyspark.sql.types import DoubleType
+
+from seriesframe.functions.breakdist import reach
+from seriesframe.operators.relate import attach, join_keep_left
+from seriesframe.operators.scan import range_chunks, running_count, running_sums
 from seriesframe.sources.files import settle
 
 #: Positions of a block; two blocks meet in one matrix.
@@ -121,6 +124,55 @@ def mean_breakpoints(
     )
 
 
+def break_intervals(
+    daily: DataFrame, by: list[str], t: str, value: str, segments: DataFrame, level: float = 0.95
+) -> DataFrame:
+    """For each break of ``mean_breakpoints`` the earliest and the latest place that ``level`` allows for it.
+
+    The error of a break's place has the distribution of the highest point of two drifting random walks, whose scales are the
+    variances in the segments on both sides over the squared shift; both ends are found by halving, one row a break.
+    Columns: ``by``, ``segment`` (the one that the break ends), ``shift``, ``lower_t``, ``place_t``, ``upper_t`` (``t`` of a last point
+    before the break) and ``n_lower``, ``n_place``, ``n_upper`` (points up to it). Points are numbered by running counts over
+    ranges, so no series is one task. Segments without any spread give the place itself.
+    """
+
+    @F.pandas_udf(DoubleType())
+    def far(ratio: pd.Series) -> pd.Series:
+        return pd.Series([reach((1 - level) / 2, float(r)) for r in ratio], dtype="float64")
+
+    points = daily.where(F.col(value).isNotNull()).select(*by, F.col(t).alias("_t"), F.col(value).cast("double").alias("_v"))
+    placed = assign_segments(points, segments, by, F.col("_t"))
+    stats = placed.groupBy(*by, "segment").agg(F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("_m"), F.var_pop("_v").alias("_s"))
+    w = Window.partitionBy(*by).orderBy("segment")  # a handful of segments per series
+    stats = stats.withColumns(
+        {
+            "n_place": F.sum("_n").over(w), "shift": F.lead("_m").over(w) - F.col("_m"), "_next": F.lead("_s").over(w),
+            "_all": F.sum("_n").over(Window.partitionBy(*by)),
+        }
+    ).where("shift is not null")
+    # A segment without spread counts as one with hardly any, so both scales stay finite.
+    least = F.greatest("_s", "_next") * 1e-9
+    a, b = F.greatest("_s", least), F.greatest("_next", least)
+    square = F.col("shift") * F.col("shift")
+    steps = lambda own, other: F.coalesce(F.ceil(far(F.try_divide(other, own)) * F.try_divide(own, square)), F.lit(0)).cast("long")
+    found = settle(
+        stats.select(
+            *by, "segment", "shift", "n_place",
+            F.when(b > 0, F.greatest(F.col("n_place") - steps(a, b), F.lit(1))).otherwise(F.col("n_place")).alias("n_lower"),
+            F.when(b > 0, F.least(F.col("n_place") + steps(b, a), F.col("_all"))).otherwise(F.col("n_place")).alias("n_upper"),
+        ),
+        "intervals",
+    )
+    numbered = running_count(range_chunks(points, [*by, "_t"]), by, ["_t"], F.lit(1), "_i").select(*by, "_t", "_i")
+    ends = ("lower", "place", "upper")
+    asked = found.unpivot([*by, "segment"], [f"n_{e}" for e in ends], "_end", "_i")
+    times = join_keep_left(asked, numbered, [*by, "_i"], "inner", null_safe=True).groupBy(*by, "segment").agg(
+        *[F.max(F.when(F.col("_end") == f"n_{e}", F.col("_t"))).alias(f"{e}_t") for e in ends]
+    )
+    out = join_keep_left(found, times, [*by, "segment"], "inner", null_safe=True)
+    return out.select(*by, "segment", "shift", *[f"{e}_t" for e in ends], *[f"n_{e}" for e in ends])
+
+
 def assign_segments(df: DataFrame, segments: DataFrame, by: list[str], at: Column, name: str = "segment") -> DataFrame:
     """Number of the segment each row lies in.
 
