@@ -13,8 +13,8 @@ from seriesframe.operators.relate import attach, join_keep_left
 from seriesframe.operators.scan import range_chunks, running_count, running_sums
 from seriesframe.sources.files import settle
 
-#: Positions of a block; two blocks meet in one matrix.
-BLOCK = 1_000
+#: Positions of a block, whose ends meet their candidates in one matrix, and blocks of a stretch, which share a list of candidates.
+BLOCK, SPAN = 1_000, 32
 
 
 def _prefix_sums(points: DataFrame) -> DataFrame:
@@ -26,22 +26,89 @@ def _prefix_sums(points: DataFrame) -> DataFrame:
     return running_sums(cut, ["_g"], ["_t"], sums).withColumn("i", F.round("i").cast("long")).drop("_x", "_chunk")
 
 
-def _one_more_break(rows: DataFrame, before: DataFrame, breaks: int) -> DataFrame:
+def contenders(i: np.ndarray, s1: np.ndarray, s2: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """Which places of an ascending list can be the last break for any end behind all of them.
+
+    With the last break at j, the cost up to an end is g_j(m) plus what depends on the end and the last segment's level m
+    alone. So a place counts only if its g is least for some level. An earlier place p is at least as good as a later one j
+    between two levels around the mean of what lies between them, if at all; p goes when these intervals of all later places
+    have no level in common, or when earlier places are as good on all of what they have.
+    """
+    # Rounding must not drop a place: intervals are taken a little wider, and narrower where they speak against a place.
+    loose = 1e-9 * (np.abs(best).max(initial=0.0) + np.abs(s2).max(initial=0.0))
+
+    def as_good(p: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Middle, slack and length of the intervals of earlier places p against later ones j."""
+        d = np.maximum(i[j] - i[p], 1).astype(np.float64)
+        middle = (s1[j] - s1[p]) / d
+        return middle, best[j] - best[p] - (s2[j] - s2[p]) + middle * middle * d, d
+
+    low, high, places = np.full(len(i), -np.inf), np.full(len(i), np.inf), np.arange(len(i))
+    for at in range(0, len(i), 256):  # a bounded part of the pairs at a time
+        p, j = places[at : at + 256, None], places[None, at:]
+        middle, slack, d = as_good(p, j)
+        half = np.sqrt(np.maximum(slack + loose, 0) / d)
+        later, some = j > p, slack + loose >= 0
+        low[at : at + 256] = np.where(later, np.where(some, middle - half, np.inf), -np.inf).max(axis=1)
+        high[at : at + 256] = np.where(later, np.where(some, middle + half, -np.inf), np.inf).min(axis=1)
+    kept: list[int] = []
+    for p in np.flatnonzero(low <= high).tolist():
+        middle, slack, d = as_good(np.array(kept, np.int64), np.full(len(kept), p))
+        half = np.sqrt(np.maximum(slack - loose, 0) / d)
+        speak = slack >= loose
+        start, stop = (middle - half)[speak], (middle + half)[speak]
+        reach, met = low[p], False
+        for k in np.argsort(start):
+            if start[k] > reach or reach > high[p]:
+                break
+            if stop[k] >= reach:
+                reach, met = stop[k], True
+        if not (met and reach >= high[p]):
+            kept.append(p)
+    out = np.zeros(len(i), bool)
+    out[kept] = True
+    return out
+
+
+def _pruned(places: DataFrame, group: str) -> DataFrame:
+    """The contenders of each group of places."""
+
+    def prune(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i")
+        return rows[contenders(*(rows[c].to_numpy() for c in ("i", "s1", "s2", "best")))]
+
+    return places.groupBy("_k", group).applyInPandas(prune, places.schema)
+
+
+def _one_more_break(rows: DataFrame, before: DataFrame, breaks: int, most: int) -> DataFrame:
     """Least cost of the first ``i`` points in ``breaks`` + 1 segments, and where the last but one ends.
 
-    Positions are cut into blocks. Each pair of an earlier and a later block is one small matrix of costs, so pairs of
-    positions are never rows, no group holds more than two blocks, and a long series spreads over many tasks.
+    Positions are cut into blocks. A block of ends meets all places of the one or two blocks that a shortest segment separates from
+    it, and of the blocks before those only the contenders: each block's, and beyond the own stretch of SPAN blocks each
+    stretch's. The lists are short, so the work grows little faster than a series' length; pairs of positions are never rows.
     """
-    pair = ["_k", "_a", "_b"]
-    block = lambda i: F.floor(i / BLOCK)
-    earlier = before.where(F.col("i") >= F.col("shortest") * breaks).select(
-        "_k", "i", "s1", "s2", "best", block(F.col("i")).alias("_a"), block(F.col("_n")).alias("_last")
-    )
-    earlier = earlier.withColumn("_b", F.explode(F.sequence("_a", "_last")))
-    later = rows.where(F.col("i") >= F.col("shortest") * (breaks + 1)).select(
-        "_k", "i", "s1", "s2", "shortest", block(F.col("i")).alias("_b"), block(F.col("i") - F.col("shortest")).alias("_high")
-    )
-    later = later.withColumn("_a", F.explode(F.sequence(F.lit(0).cast("long"), "_high")))
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    # Blocks up to b - far - 1 are wholly a shortest segment away from block b, those after b - near not at all.
+    far, near = F.ceil(F.col("shortest") / BLOCK), F.floor(F.col("shortest") / BLOCK)
+    last = F.floor(F.col("_n") / BLOCK)
+    kept = ["_k", "i", "s1", "s2", "best"]
+
+    def sent(places: DataFrame, first: Column, end: Column) -> DataFrame:
+        """Places for each block of ends from ``first`` to ``end``."""
+        spans = places.withColumns({"_from": first, "_to": F.least(end, last)}).where("_from <= _to")
+        return spans.select(*kept, F.explode(F.sequence("_from", "_to")).alias("_b"))
+
+    places = before.where(F.col("i") >= F.col("shortest") * breaks).select(*kept, "shortest", "_n", block("i").alias("_a"))
+    a = F.col("_a")
+    earlier = sent(places, a + near, a + far)
+    if most >= BLOCK:
+        # Only blocks behind which another block can end are pruned.
+        of_block = settle(_pruned(places.where(a + far < last), "_a"), "contenders")
+        stretch = F.floor(a / SPAN)
+        earlier = earlier.unionByName(sent(of_block, a + far + 1, (stretch + 1) * SPAN - 1 + far))
+        whole = of_block.withColumn("_s", stretch).where((F.col("_s") + 1) * SPAN + far <= last)
+        earlier = earlier.unionByName(sent(_pruned(whole, "_s"), (F.col("_s") + 1) * SPAN + far, last))
+    later = rows.where(F.col("i") >= F.col("shortest") * (breaks + 1)).select("_k", "i", "s1", "s2", "shortest", block("i").alias("_b"))
 
     def least(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("i")
@@ -58,9 +125,8 @@ def _one_more_break(rows: DataFrame, before: DataFrame, breaks: int) -> DataFram
         names = pd.Series([str(right["_k"].iloc[0])] * int(fine.sum()), dtype=object)
         return pd.DataFrame({"_k": names, **found})
 
-    found = earlier.groupBy(*pair).cogroup(later.groupBy(*pair)).applyInPandas(least, "_k string, i long, best double, origin long")
-    found = found.groupBy("_k", "i").agg(F.min(F.struct("best", "origin")).alias("_least"))
-    return rows.join(found, ["_k", "i"]).select(*rows.columns, "_least.best", "_least.origin")
+    found = earlier.groupBy("_k", "_b").cogroup(later.groupBy("_k", "_b")).applyInPandas(least, "_k string, i long, best double, origin long")
+    return rows.join(found, ["_k", "i"])
 
 
 def mean_breakpoints(
@@ -71,8 +137,7 @@ def mean_breakpoints(
     Least-squares segmentation with at least ``h`` of the points (and two) per segment; BIC picks the number of breaks,
     fewer ones and earlier places on ties. One row per group and ``t`` is expected; null values take no part. Series
     may have any length: costs come from prefix sums, and each further break compares blocks of positions
-    with earlier blocks. The work grows with the square of a series' length, so aggregate long series to the step
-    that matters.
+    with the few earlier places that can still be the last break. The result is that of comparing all of them.
     """
     key = F.struct(*by) if by else F.struct(F.lit(0).alias("_all"))
     points = daily.where(F.col(value).isNotNull()).select(
@@ -84,8 +149,9 @@ def mean_breakpoints(
     whole = F.col("s2") - F.col("s1") * F.col("s1") / F.col("i")
     state = rows.select("*", whole.alias("best"), F.lit(0).cast("long").alias("origin"))
     states = [state]
+    most = rows.agg(F.max("_n")).first()[0] or 0
     for breaks in range(1, max_breaks + 1):
-        state = settle(_one_more_break(rows, state, breaks), "breaks")
+        state = settle(_one_more_break(rows, state, breaks, most), "breaks")
         states.append(state)
 
     rss = F.greatest("best", F.lit(2.2250738585072014e-308))  # the least normal number: a perfect fit has no logarithm

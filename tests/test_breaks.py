@@ -56,3 +56,62 @@ def test_series_without_breaks(spark):
     df = spark.createDataFrame([("k", i, 1.0 + i % 2) for i in range(40)], "k string, i long, v double")
     segments = breaks.mean_breakpoints(df, ["k"], "i", "v")
     assert breaks.break_intervals(df, ["k"], "i", "v", segments).collect() == []
+
+
+def plain_segments(x, most, h):
+    """Ends of the segments by the full search over all pairs of places."""
+    n = len(x)
+    x = np.array(x) - np.mean(x)
+    s1, s2 = np.concatenate([[0], x.cumsum()]), np.concatenate([[0], (x * x).cumsum()])
+    shortest = max(math.floor(n * h), 2)
+    best, origin = [s2 - s1 * s1 / np.maximum(np.arange(n + 1), 1)], [None]
+    for m in range(1, most + 1):
+        now, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+        for i in range(shortest * (m + 1), n + 1):
+            j = np.arange(shortest * m, i - shortest + 1)
+            cost = best[-1][j] + (s2[i] - s2[j]) - (s1[i] - s1[j]) ** 2 / (i - j)
+            now[i], back[i] = cost.min(), j[cost.argmin()]
+        best.append(now)
+        origin.append(back)
+    fits = [n * math.log(max(b[n], 2.2250738585072014e-308)) + math.log(n) * 2 * (m + 1) for m, b in enumerate(best) if np.isfinite(b[n])]
+    m, ends = int(np.argmin(fits)), [n]
+    for k in range(m, 0, -1):
+        ends.append(int(origin[k][ends[-1]]))
+    return ends[::-1]
+
+
+@pytest.mark.parametrize(("block", "span"), [(1_000, 32), (6, 2), (9, 3)])
+def test_pruned_search_equals_the_full_one(spark, monkeypatch, block, span):
+    monkeypatch.setattr(breaks, "BLOCK", block)
+    monkeypatch.setattr(breaks, "SPAN", span)
+    rng = random.Random(21)
+    series = {
+        "noise": [rng.gauss(0, 1) for _ in range(150)],
+        "shifts": [(0, 3, 1, 5, 2)[k // 30] + rng.gauss(0, 1) for k in range(150)],
+        "walk": np.cumsum([rng.gauss(0, 1) for _ in range(140)]).tolist(),
+        "steps": [float(rng.randint(0, 2)) for _ in range(120)],
+        "constant": [4.0] * 60,
+        "cycle": [math.sin(k / 9) for k in range(130)],
+    }
+    rows = [(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "k string, i long, v double").repartition(3)
+    out = {}
+    for r in breaks.mean_breakpoints(df, ["k"], "i", "v", max_breaks=3, h=0.06).orderBy("k", "segment").collect():
+        out.setdefault(r.k, []).append(r.to_t + 1)
+    for k, x in series.items():
+        assert out[k] == plain_segments(x, 3, 0.06), k
+
+
+def test_contenders_hold_every_best_place():
+    rng = np.random.default_rng(22)
+    for kind in range(4):
+        x = rng.normal(size=900) + (np.arange(900) // 220 * kind)
+        x = np.round(x) if kind == 3 else x
+        s1, s2 = np.concatenate([[0], x.cumsum()]), np.concatenate([[0], (x * x).cumsum()])
+        i = np.arange(1, 600)
+        best = s2[i] - s1[i] ** 2 / i
+        kept = breaks.contenders(i, s1[i], s2[i], best)
+        assert kept.sum() < 60
+        for end in range(602, 901, 7):
+            cost = best + (s2[end] - s2[i]) - (s1[end] - s1[i]) ** 2 / (end - i)
+            assert cost[kept].min() == cost.min()
