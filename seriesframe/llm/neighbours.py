@@ -12,8 +12,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 from seriesframe.llm.sharing import received, sent
 from seriesframe.sources.files import settle
 
-#: Rows of a tile on the candidates' side, and bytes of query vectors that one broadcast holds.
-TILE, QUERY_BYTES = 2_048, 16_000_000
+#: Most rows of a tile on the candidates' side, bytes of query vectors that one broadcast holds, and most cells (queries times
+#: candidates) of a tile, a handful of whose matrices a task holds at once.
+TILE, QUERY_BYTES, CELLS = 2_048, 16_000_000, 4_000_000
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component near 1: cosines stay the same to the last digit, and no
+    square leaves the range of doubles."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,9 +65,11 @@ def _searcher(shared, k: int) -> Callable:
         q = quantised(unit)
         heaps: list[list] = [[] for _ in ids]
         floor = np.full(len(ids), -np.inf)
+        step = max(1, min(TILE, CELLS // max(len(ids), 1)))
         for batch in batches:
-            for at in range(0, batch.num_rows, TILE):
-                own, rows = _matrix(batch.slice(at, TILE))
+            for at in range(0, batch.num_rows, step):
+                own, rows = _matrix(batch.slice(at, step))
+                rows = scaled(rows)
                 near, off = bounds(q, quantised(rows / np.sqrt((rows * rows).sum(axis=1))[:, None]))
                 low = near - off
                 low[ids[:, None] == own[None, :]] = -np.inf
@@ -109,7 +118,7 @@ def nearest(vectors: DataFrame, queries: F.Column | str, k: int = 5) -> DataFram
     over the candidates. Only vectors of the query's length are compared.
 
     Null, zero and non-finite vectors and null ids take no part. Rows that repeat an id are compared each, but a row is no
-    neighbour of its own id. Fewer candidates than ``k`` give fewer rows; an empty table gives none.
+    neighbour of its own id; an id that several queries share gets the nearest of all of them, a candidate once for each. Fewer candidates than ``k`` give fewer rows; an empty table gives none.
     """
     spark = vectors.sparkSession
     vectors = usable(vectors).withColumn("d", F.size("embedding"))
@@ -121,7 +130,8 @@ def nearest(vectors: DataFrame, queries: F.Column | str, k: int = 5) -> DataFram
         for block in range(blocks):
             own = asked.filter((F.col("d") == d) & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block))
             own = sorted(map(tuple, own.select("vec_id", "embedding").collect()))
-            pack = (np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], np.float64).reshape(len(own), d))
+            vectors_of = scaled(np.array([v for _, v in own], np.float64).reshape(len(own), d))
+            pack = (np.array([i for i, _ in own], np.int64), vectors_of)
             found = candidates.mapInArrow(
                 _searcher(sent(spark, pack), k), "query_id long, vec_id long, score double"
             )

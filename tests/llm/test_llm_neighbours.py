@@ -53,3 +53,22 @@ def test_bounds_hold():
     x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in (rng.normal(size=(50, 33)), rng.normal(size=(70, 33)) ** 5))
     near, off = neighbours.bounds(neighbours.quantised(x), neighbours.quantised(y))
     assert (np.abs(x @ y.T - near) <= off).all() and off.max() < 0.1
+
+
+def test_vectors_of_any_size(spark):
+    """Squares of such components leave the range of doubles; their cosines do not."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(60, 8))
+    size = [1e200, 1e-200, 1.0, 1e-310, 1e307]
+    rows = [(k, (v * size[k % 5]).tolist()) for k, v in enumerate(base)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 10 = 0", 3).collect()
+    plain = [(k, (np.ldexp(np.array(v), -int(np.frexp(np.abs(v).max())[1]))).tolist()) for k, v in rows]
+    assert sorted(map(tuple, got)) == brute(plain, lambda i: i % 10 == 0, 3)
+
+
+def test_cells_of_a_tile_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELLS", 50)
+    rows = table()
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, neighbours.nearest(frame, "vec_id % 10 = 0", 5).collect()))
+    assert got == brute(rows, lambda i: i % 10 == 0, 5)
