@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from seriesframe.functions.semantics import nulls_last
 from seriesframe.operators.relate import attach
 from seriesframe.operators.scan import range_chunks, running_sums
+from seriesframe.sources.files import settle
 
 
 def summarise(df: DataFrame, by: list[str], **aggs: Column) -> DataFrame:
@@ -60,23 +61,39 @@ def repeat_rows(df: DataFrame, times: str, name: str = "copy") -> DataFrame:
     return few.unionByName(many)
 
 
+#: Buckets that keys are dealt to, and rows of one bucket that a single task may sort.
+BUCKETS = 16_384
+LARGE = 1_000_000
+
+
 def duplicate_flags(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Flags for repeats: ``dup_later`` (not the first of its key), ``dup_any`` (key repeats).
 
-    Rows are numbered in the given order, missing values first; of rows that are equal in it any one counts as the
-    first. Missing keys form a key of their own. Exact copies are counted first, on the map side, and
-    written out again at the end, a bounded number a task; the different rows are cut by range partitioning on all their
-    columns, key and order first. So neither a hot key nor copies of a row are a single task.
+    Rows are numbered in the given order, missing values first, then by the other columns; of rows that are equal in all
+    any one counts as the first. Missing keys form a key of their own. The rows of each bucket of keys are counted before,
+    so ``df`` is worked out twice. A window over the key flags the rows of common buckets in one shuffle. Where buckets are
+    large, the rows are written out with an id, and those of large buckets get the first id and the size of their key,
+    which are combined on the map side, by a join. So neither a hot key nor copies of a row are a single task.
     """
-    columns = df.columns
-    different = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
+    columns, types = df.columns, dict(df.dtypes)
     full = [*order, *[c for c in columns if c not in order]]
-    cut = range_chunks(different, [*key, *[c for c in full if c not in key]])
-    counted = running_sums(cut, key, full, {"_upto": F.col("_copies")})
-    sizes = cut.groupBy(*key).agg(F.sum("_copies").alias("_n"))
-    flagged = repeat_rows(attach(counted, sizes, key), "_copies", "_copy")
-    first = (F.col("_upto") == F.col("_copies")) & (F.col("_copy") == 1)
-    return flagged.select(*columns, (~first).alias("dup_later"), (F.col("_n") > 1).alias("dup_any"))
+    # Texts that a collation holds equal have other hashes: such a column does not choose the bucket.
+    bucket = F.pmod(F.xxhash64(F.lit(0), *[c for c in key if "collate" not in types[c]]), F.lit(BUCKETS))
+    sizes = df.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    large = [row["_bucket"] for row in sizes.where(F.col("_n") > LARGE).collect()]
+    if large:
+        df = settle(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    series = Window.partitionBy(*key).orderBy(*full)
+    whole = series.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    later, repeats = F.row_number().over(series) > 1, F.count(F.lit(1)).over(whole) > 1
+    flagged = df.where(~bucket.isin(large)).select(*columns, later.alias("dup_later"), repeats.alias("dup_any"))
+    if large:
+        hot = df.where(bucket.isin(large))
+        first = F.min(F.struct(*full, "_row"))["_row"]
+        known = attach(hot, hot.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), first.alias("_first")), key)
+        later, repeats = F.col("_row") != F.col("_first"), F.col("_n") > 1
+        flagged = flagged.unionByName(known.select(*columns, later.alias("dup_later"), repeats.alias("dup_any")))
+    return flagged
 
 
 def rank_rows(df: DataFrame, value: str, name: str = "rank") -> DataFrame:

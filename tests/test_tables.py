@@ -94,6 +94,51 @@ def test_duplicate_flags_of_copies_and_missing_values(spark):
     ], key=str)
 
 
+def flagged(rows_, key, order):
+    """Brute force: each row in order within its key, missing values first, with both flags."""
+    place = lambda r: tuple((r[i] is not None, r[i] if r[i] is not None else 0) for i in order)
+    groups = {}
+    for r in rows_:
+        groups.setdefault(tuple(r[i] for i in key), []).append(r)
+    return sorted([(*r, n > 0, len(g) > 1) for g in groups.values() for n, r in enumerate(sorted(g, key=place))], key=str)
+
+
+def odd_rows():
+    """A hot key, many exact copies, missing keys and values, single rows."""
+    rows_ = [("hot", 1, i % 97, i) for i in range(300)] + [("copy", 2, 5, 5)] * 200 + [("copy", 2, None, 9)] * 3
+    rows_ += [(None, k % 3 or None, k % 7 or None, k % 5) for k in range(60)]
+    return rows_ + [(f"k{k % 40}", k % 5, k % 3 or None, k % 2) for k in range(120)]
+
+
+def test_duplicate_flags_of_common_keys_take_one_shuffle(spark):
+    df = spark.createDataFrame(odd_rows(), "k string, s int, v int, w int").repartition(5)
+    out = summarise.duplicate_flags(df, ["k", "s"], ["v", "w"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Union" not in plan
+    assert rows(out) == flagged(odd_rows(), (0, 1), (2, 3))
+
+
+@pytest.mark.parametrize("buckets, large", [(16_384, 50), (3, 10), (1, 1)])
+def test_duplicate_flags_of_large_buckets(spark, monkeypatch, buckets, large):
+    monkeypatch.setattr(summarise, "BUCKETS", buckets)
+    monkeypatch.setattr(summarise, "LARGE", large)
+    df = spark.createDataFrame(odd_rows(), "k string, s int, v int, w int").repartition(5)
+    out = summarise.duplicate_flags(df, ["k", "s"], ["v", "w"])
+    assert rows(out) == flagged(odd_rows(), (0, 1), (2, 3))
+    assert "hot" in {r.k for r in out.collect()} and "Join" in out._jdf.queryExecution().sparkPlan().toString()
+    whole = summarise.duplicate_flags(df, [], ["v", "w", "k", "s"]).collect()
+    assert [r[:4] for r in whole if not r.dup_later] == [(None, None, None, 0)] and all(r.dup_any for r in whole)
+
+
+def test_duplicate_flags_of_keys_that_a_collation_holds_equal(spark, monkeypatch):
+    monkeypatch.setattr(summarise, "LARGE", 1)
+    df = spark.createDataFrame([("a", 2), ("A", 1), ("a", 3), ("b", 5)], "k string, v int")
+    out = summarise.duplicate_flags(df.withColumn("k", F.collate("k", "UTF8_LCASE")), ["k"], ["v"])
+    assert sorted((r.v, r.dup_later, r.dup_any) for r in out.collect()) == [
+        (1, False, True), (2, True, True), (3, True, True), (5, False, False)
+    ]
+
+
 def test_missing_ids(spark):
     df = spark.createDataFrame([(1,), (2,), (5,)], "id long")
     assert rows(relate.missing_ids(df, "id")) == [(3,), (4,)]
